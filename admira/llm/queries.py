@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import best_fit, language_id, line_dedup, mixing, ngram_join
+from . import best_fit, chat_windows, language_id, line_dedup, mixing, ngram_join
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,6 +26,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_windows.digest(chat_windows.windows(turns.unionByName(probe)))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -37,6 +44,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op7_language_id, op9_mixing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op5_chat_windows, op7_language_id, op9_mixing, op10_ngram_jaccard_join)}
 
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
