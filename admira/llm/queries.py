@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_windows, language_id, line_dedup, mixing, ngram_join
+from . import best_fit, chat_windows, gif_media, language_id, line_dedup, mixing, ngram_join
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -22,6 +22,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.read_texts(gif_media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +48,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op5_chat_windows, op7_language_id, op9_mixing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op5_chat_windows, op7_language_id, op9_mixing, op10_ngram_jaccard_join)}
 
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
