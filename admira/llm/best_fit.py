@@ -83,9 +83,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             at: list[int] = []
-            for a, b in text_slices(texts):
-                for i, data in enumerate(encoder.encode(texts[a:b]), a):
-                    data += end
+            for a, b in text_slices(texts, 1 << 21):
+                for i, ids_of in enumerate(encoder.encode(texts[a:b]), a):
+                    data = ids_of.astype("<u4").tobytes() + end
                     n = len(data) // 4
                     head = (n - 1) % capacity + 1
                     stops = [0, *range(head, n + 1, capacity)]

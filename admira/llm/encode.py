@@ -1,7 +1,8 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of pieces.
+"""Token ids of whole texts by the tokenizers library; words that come again are encoded once.
 
-The byte-level vocabularies cut a text before each space that stands between two other characters, so the pieces
-between single spaces can be encoded apart and joined. A text with two spaces in a row is encoded as it stands.
+The byte-level vocabularies start a new token at every space that a visible character follows. Texts are therefore cut
+there, each distinct piece is encoded once by the library and the ids are put together by numpy. A text in which white
+space or its end follows a space is encoded as it stands.
 """
 
 from __future__ import annotations
@@ -10,12 +11,23 @@ import os
 
 import numpy as np
 
-#: Pieces whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_PIECES = 300_000
+from .shingles import piece_hashes
+
+#: Distinct pieces whose ids a worker keeps; the store is emptied beyond.
+STORE_PIECES = 600_000
+#: Bytes that may begin white space: a space before one of them is no safe cut.
+_unsafe = np.zeros(256, dtype=bool)
+_unsafe[[*range(9, 14), 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indices start[i] .. start[i] + length[i] - 1 of all i, one after another."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as the bytes of little-endian unsigned 32-bit integers."""
+    """``encode(texts)`` gives each text's ids as an array of unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -23,28 +35,79 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.inner: dict[str, bytes] = {}  # pieces after a space
-        self.first: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t else t.split(" ") for t in texts]
-        if len(self.inner) + len(self.first) > CACHE_PIECES:
-            self.inner.clear()
-            self.first.clear()
-        if new := list({p[0] for p in split if p} - self.first.keys()):
-            self.first.update(zip(new, self._raw(new), strict=True))
-        wanted: set[str] = set()
-        for p in split:
-            if p:
-                wanted.update(p[1:])
-        if new := list(wanted - self.inner.keys()):
-            self.inner.update(zip(new, self._raw([" " + x for x in new]), strict=True))
-        whole = iter(self._raw([t for t, p in zip(texts, split, strict=True) if p is None]))
-        first, inner = self.first, self.inner
-        return [next(whole) if p is None else first[p[0]] + b"".join([inner[x] for x in p[1:]]) for p in split]
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of a token: its string has a letter for each
+        self.width[list(vocab.values())] = [len(t) for t in vocab]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known = np.empty(0, dtype=np.uint64)
+        self.start, self.length = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype=np.uint32)
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that begin with a space, and their numbers. Some thousand are encoded at a time."""
+        ids, counts = [], []
+        for a in range(0, len(pieces), 4096):
+            part = pieces[a : a + 4096]
+            got = self._raw([b"".join(part).decode()])[0]
+            ends = np.cumsum(self.width[got])
+            stops = np.searchsorted(ends, np.cumsum([len(p) for p in part]), side="left") + 1
+            ids.append(got)
+            counts.append(np.diff(stops, prepend=0))
+        return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.concatenate(counts) if counts else np.empty(0, np.int64)
+
+    def _learn(self, data: bytes, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> None:
+        inner = np.flatnonzero(~first)
+        ids, counts = self._pieces([data[a - 1 : b] for a, b in zip(start[inner].tolist(), end[inner].tolist(), strict=True)])
+        lead = np.flatnonzero(first)
+        own = self._raw([data[a:b].decode() for a, b in zip(start[lead].tolist(), end[lead].tolist(), strict=True)])
+        order = np.concatenate([inner, lead])
+        counts = np.concatenate([counts, np.array([len(x) for x in own], dtype=np.int64)])
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, ids, *own])
+        rank = np.argsort(hashes[order])
+        at = np.searchsorted(self.known, hashes[order][rank])
+        self.known = np.insert(self.known, at, hashes[order][rank])
+        self.start, self.length = np.insert(self.start, at, starts[rank]), np.insert(self.length, at, counts[rank])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b" ".join([*raw, b" "]), dtype=np.uint8)
+        space = np.flatnonzero(data[:-1] == 32)
+        risky = space[_unsafe[data[space + 1]]]
+        stops = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1) - 1  # the space behind each text
+        inside = risky[~np.isin(risky, stops)]
+        whole = set(np.searchsorted(stops, inside).tolist())
+        out: list = [None] * len(texts)
+        if whole:
+            for i, ids in zip(sorted(whole), self._raw([texts[i] for i in sorted(whole)]), strict=True):
+                out[i] = ids
+        rest = [i for i in range(len(texts)) if i not in whole]
+        if rest:
+            for i, ids in zip(rest, self._fast([raw[i] for i in rest]), strict=True):
+                out[i] = ids
+        return out
+
+    def _fast(self, raw: list[bytes]) -> list[np.ndarray]:
+        joined = b" ".join([*raw, b""])
+        hashes, start, end, first = piece_hashes(joined, raw)
+        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > STORE_PIECES:
+            self._empty()
+        place = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), dtype=bool) if not len(self.known) else self.known[np.minimum(place, len(self.known) - 1)] != distinct
+        if new.any():
+            at = at[new]
+            self._learn(joined, hashes[at], start[at], end[at], first[at])
+            place = np.searchsorted(self.known, distinct)
+        where, length = self.start[place][back], self.length[place][back]
+        ids = self.ids[_ragged(where, length)]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([np.flatnonzero(first)[1:], [len(first)]])]
+        return np.split(ids, ends[:-1])
 
 
 def text_slices(texts, chars: int = 1 << 20):

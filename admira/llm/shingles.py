@@ -41,11 +41,26 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _tables(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_lower[data] * power[: len(data)], out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     stops = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
     return hashes, np.diff(np.searchsorted(start, stops), prepend=0)
 
 
+def piece_hashes(joined: bytes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of the pieces between spaces of ``joined``, the texts with a space behind each; and whether a
+    piece is the first of its text."""
+    data = np.frombuffer(joined, dtype=np.uint8)
+    end = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], end[:-1] + 1])
+    power, inverse = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    first = np.zeros(len(start), dtype=bool)
+    stops = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+    first[np.searchsorted(start, np.concatenate([[0], stops[:-1]]))] = True
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + first.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), start, end, first
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """The sorted distinct shingles of ``k`` words of each text; of fewer words, their whole sequence as one."""
     hashes, counts = words(texts)
