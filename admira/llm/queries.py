@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_windows, gif_media, language_id, line_dedup, mixing, ngram_join
+from . import best_fit, chat_windows, gif_media, language_id, line_dedup, mixing, multi_index, ngram_join, token_files
+from .common import shared_dir
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,6 +33,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/token-files/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_files.read(spark, path)
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -40,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +61,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op5_chat_windows, op7_language_id, op9_mixing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op4_token_files, op5_chat_windows, op7_language_id, op8_multi_index, op9_mixing, op10_ngram_jaccard_join)}
 
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
