@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_windows, gif_media, language_id, line_dedup, mixing, multi_index, ngram_join, token_files
+from . import best_fit, chat_windows, gif_media, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, token_files
 from .common import shared_dir
 
 
@@ -45,6 +45,10 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.digest(chat_windows.windows(turns.unionByName(probe)))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op4_token_files, op5_chat_windows, op7_language_id, op8_multi_index, op9_mixing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op4_token_files, op5_chat_windows, op6_lm_scoring, op7_language_id, op8_multi_index, op9_mixing, op10_ngram_jaccard_join)}
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_lm_scoring": lm_scoring.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
