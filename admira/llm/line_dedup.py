@@ -5,7 +5,8 @@ position), is a repeat, and every line that some repeat covers is removed; overl
 positions form a set. The first occurrence stays.
 
 Only hashes move in the search: windows are counted with map-side combining, and the repeated hashes, stored, are joined
-back by an equi-join whose hot keys Spark can split. Texts move once, to meet the positions they lose.
+back by an equi-join whose hot keys Spark can split. Texts move once, to meet the positions they lose; the hint keeps this
+plan for every size.
 
 Defined results: a null text has no lines and stays null; a text of fewer lines than a window is never changed; an empty
 line is a line; a text that loses every line becomes ''; rows with the same doc_id and text are one document and get the
@@ -50,7 +51,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     """``docs`` with repeated passages cut from ``text``; with ``counts``, n_lines and n_removed are added."""
     found = stage(covered(docs, doc_id, text, window).select(F.col("id").alias("__ld_id"), F.col("th").alias("__ld_th"), F.col("starts").alias("__ld_starts")), "covered")
     source = docs.withColumn("__ld_hash", F.xxhash64(text))
-    out = source.join(found, source[doc_id].eqNullSafe(F.col("__ld_id")) & (F.col("__ld_hash") == F.col("__ld_th")), "left")
+    out = source.join(found.hint("merge"), source[doc_id].eqNullSafe(F.col("__ld_id")) & (F.col("__ld_hash") == F.col("__ld_th")), "left")
     lines = F.split(source[text], "\n")
     kept = F.when(F.col("__ld_starts").isNull(), source[text]).otherwise(F.concat_ws("\n", _kept(lines, F.col("__ld_starts"), window)))
     out = out.withColumn("__ld_kept", kept)
