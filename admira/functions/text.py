@@ -67,7 +67,7 @@ def split_snippets(text: Column, **noise) -> Column:
 def split_sentences(text: Column) -> Column:
     """Sentences; the space that markup lost behind a full stop is put back first."""
     spaced = F.regexp_replace(collapse(text), r"(?<=[.!?])(?=[A-Z])", " ")
-    return F.filter(F.transform(F.split(spaced, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(spaced, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def word_pattern(words: Sequence[str], plural: bool = False) -> str:

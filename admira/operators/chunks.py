@@ -50,7 +50,7 @@ def chunk_text(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS
 
 def item_units(items: Column, most: int = MAX_CHARS) -> Column:
     """Trimmed items; those above ``most`` characters as their sentences."""
-    given = F.filter(F.transform(items, F.trim), lambda i: i != "")
+    given = F.filter(F.transform(items, lambda x: F.trim(x)), lambda i: i != "")
     return F.flatten(F.transform(given, lambda i: F.when(F.length(i) > most, split_sentences(i)).otherwise(F.array(i))))
 
 

@@ -73,7 +73,7 @@ def extract_programs(content: Column, tables: Column) -> Column:
     """Programme names of a page: of table cells, else of whole rows, else of snippets; distinct, in order, about 20."""
 
     def of_row(cells: Column) -> Column:
-        own = F.filter(F.transform(F.filter(cells, lambda c: c.isNotNull()), F.trim), lambda c: c != "")
+        own = F.filter(F.transform(F.filter(cells, lambda c: c.isNotNull()), lambda x: F.trim(x)), lambda c: c != "")
         named = F.filter(own, has_program_indicator)
         joined = F.array_join(own, " ")
         source = F.when(F.size(named) > 0, named).when(has_program_indicator(joined), F.array(joined)).otherwise(F.array().cast("array<string>"))
@@ -96,7 +96,7 @@ def extract_fees(content: Column, tables: Column) -> Column:
     pair = "array<struct<label:string,value:string>>"
 
     def of_table(t: Column) -> Column:
-        heads = F.filter(F.transform(F.filter(t["headers"], lambda h: h.isNotNull()), F.trim), lambda h: h != "")
+        heads = F.filter(F.transform(F.filter(t["headers"], lambda h: h.isNotNull()), lambda x: F.trim(x)), lambda h: h != "")
         is_fee = F.exists(heads, lambda h: F.lower(h).contains("fee") | F.lower(h).contains("amount"))
         real = is_real_header(heads)
 

@@ -143,7 +143,7 @@ def source_citations(hits: DataFrame, most: int = 5) -> DataFrame:
 
     Hits are taken until ``most`` lines stand, so the last hit may exceed it. A hit without pages is named once.
     """
-    pages = F.filter(F.transform(F.split(F.coalesce("source_pages", F.lit("")), r" \| "), F.trim), lambda p: p != "")
+    pages = F.filter(F.transform(F.split(F.coalesce("source_pages", F.lit("")), r" \| "), lambda x: F.trim(x)), lambda p: p != "")
     name = F.trim(F.coalesce("name", F.lit("")))
     rows = hits.withColumn("name", name).withColumn("p", F.when(F.size(pages) > 0, pages).when(F.col("name") != "", F.array(F.concat(F.lit("\x01"), "name"))).otherwise(F.array().cast("array<string>")))
     rows = rows.select("question_id", "rank", "name", F.posexplode("p").alias("i", "page"))
