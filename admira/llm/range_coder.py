@@ -22,6 +22,7 @@ BLOCK = 2048
 _T2, _T1, _T0 = 4096, 1024, 512
 #: First ids of the size classes: finer among the ids that vocabularies give to common pieces. Ids are below 65536.
 _CLASS = np.array([0, 32, 256, 288, 352, 448, 600, 850, 1250, 1900, 3000, 4800, 7600, 12000, 20000, 33000, 65536], dtype=np.int64)
+_WIDE = np.diff(_CLASS)
 _CLASS_OF = np.repeat(np.arange(16, dtype=np.int64), np.diff(_CLASS))
 _U16, _U32 = np.uint64(16), np.uint64(32)
 _LOW, _MASK48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
@@ -48,7 +49,7 @@ class _Models:
         e2, e1 = self.t2[self.i2], self.t1[self.i1]
         conf = (e2 >> 16, e1 >> 16, np.minimum(self.n0 >> 3, 3))
         self.at = [self.lane * 4 + c for c in conf]
-        self.p = [m[a] for m, a in zip(self.mix, self.at, strict=True)]
+        self.p = [np.take(m, a, axis=0) for m, a in zip(self.mix, self.at, strict=True)]
         w = self.weight
         self.mixed = self.p[0] * w[0][:, None] + self.p[1] * w[1][:, None] + self.p[2] * w[2][:, None]
         f = (self.mixed[:, :3] * np.float32(65500)).astype(np.int64) + 1
@@ -58,14 +59,14 @@ class _Models:
         return e2 & 0xFFFF, e1 & 0xFFFF, self.c0, u1, u2, u2 + f[:, 2]
 
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        lane, rows = self.lane, np.arange(self.n)
-        whole = self.mixed[rows, choice]
+        lane, at = self.lane, self.lane * 4 + choice
+        share = np.float32(0.06) / np.take(self.mixed, at)
         for k in range(3):
             p = self.p[k]
-            gain = self.weight[k] * p[rows, choice] / whole
-            self.weight[k] += np.float32(0.06) * (gain - self.weight[k])
+            own = np.take(p, at)
+            self.weight[k] *= np.float32(0.94) + share * own
             p *= np.float32(0.96)
-            p[rows, choice] += np.float32(0.04)
+            p.reshape(-1)[at] += np.float32(0.04)
             self.mix[k][self.at[k]] = p
         np.maximum(self.weight, np.float32(0.02), out=self.weight)
         self.weight /= self.weight.sum(axis=0)
@@ -84,9 +85,9 @@ class _Models:
     def class_rows(self, who: np.ndarray) -> np.ndarray:
         return who * 16 + _CLASS_OF[self.last[who]]
 
-    def learn_class(self, rows: np.ndarray, cls: np.ndarray) -> None:
-        self.classes[rows, cls] += 24
-        big = self.classes[rows].sum(axis=1) > 1 << 14
+    def learn_class(self, rows: np.ndarray, cls: np.ndarray, total: np.ndarray) -> None:
+        self.classes.reshape(-1)[rows * 16 + cls] += 24
+        big = total > (1 << 14) - 24
         if big.any():
             self.classes[rows[big]] = (self.classes[rows[big]] + 1) >> 1
 
@@ -98,9 +99,14 @@ def _encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out, pos = np.zeros((3 * steps + 8, n), np.uint16), np.zeros(n, np.int64)
     low, size = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
 
-    def narrow(who: np.ndarray | slice, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        low[who] += unit * start.astype(np.uint64)
-        size[who] = unit * width.astype(np.uint64)
+    def narrow(who: np.ndarray | None, start: np.ndarray, width: np.ndarray | None, unit: np.ndarray) -> None:
+        new = unit if width is None else unit * width.astype(np.uint64)
+        if who is None:
+            np.add(low, unit * start.astype(np.uint64), out=low)
+            size[:] = new
+        else:
+            low[who] += unit * start.astype(np.uint64)
+            size[who] = new
         over = np.flatnonzero(low > _MASK48)
         if len(over):
             low[over] &= _MASK48
@@ -116,24 +122,23 @@ def _encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             low[small] = low[small] << _U16 & _MASK48
             size[small] <<= _U16
 
-    everyone = slice(None)
     for t in range(steps):
         x = ids[t]
         c2, c1, c0, u1, u2, u3 = models.predict()
         choice = np.where(x == c2, 0, np.where(x == c1, 1, np.where(x == c0, 2, 3)))
-        ends = np.stack([np.zeros(n, np.int64), u1, u2, u3, np.full(n, 65536)])
-        start = ends[choice, models.lane]
-        narrow(everyone, start, ends[choice + 1, models.lane] - start, size >> _U16)
+        start = np.choose(choice, (0, u1, u2, u3))
+        narrow(None, start, np.choose(choice, (u1, u2, u3, 65536)) - start, size >> _U16)
         who = np.flatnonzero(choice == 3)
         if len(who):
             value = x[who]
             cls, rows = _CLASS_OF[value], models.class_rows(who)
-            sums = np.cumsum(models.classes[rows], axis=1)
-            here = np.arange(len(who))
-            upper, own = sums[here, cls], models.classes[rows, cls]
-            narrow(who, upper - own, own, size[who] // sums[:, -1].astype(np.uint64))
-            models.learn_class(rows, cls)
-            narrow(who, value - _CLASS[cls], np.ones(len(who), np.int64), size[who] // (_CLASS[cls + 1] - _CLASS[cls]).astype(np.uint64))
+            counts = np.take(models.classes, rows, axis=0)
+            sums = np.cumsum(counts, axis=1, dtype=np.int32)
+            at = np.arange(0, 16 * len(who), 16) + cls
+            upper, own, total = np.take(sums, at), np.take(counts, at), sums[:, -1]
+            narrow(who, upper - own, own, size[who] // total.astype(np.uint64))
+            models.learn_class(rows, cls, total)
+            narrow(who, value - _CLASS[cls], None, size[who] // _WIDE[cls].astype(np.uint64))
         models.learn(x, choice)
     for shift in (32, 16, 0):
         out[pos, models.lane] = (low >> np.uint64(shift)).astype(np.uint16)
@@ -150,39 +155,44 @@ def _decode_blocks(words: np.ndarray, steps: int) -> np.ndarray:
     pos, size = np.full(n, 3, np.int64), np.full(n, (1 << 48) - 1, np.uint64)
     most = len(words) - 1
 
-    def narrow(who: np.ndarray | slice, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        code[who] -= unit * start.astype(np.uint64)
-        size[who] = unit * width.astype(np.uint64)
+    def narrow(who: np.ndarray | None, start: np.ndarray, width: np.ndarray | None, unit: np.ndarray) -> None:
+        new = unit if width is None else unit * width.astype(np.uint64)
+        if who is None:
+            np.subtract(code, unit * start.astype(np.uint64), out=code)
+            size[:] = new
+        else:
+            code[who] -= unit * start.astype(np.uint64)
+            size[who] = new
         small = np.flatnonzero(size < _LOW)
         if len(small):
             code[small] = code[small] << _U16 | words[np.minimum(pos[small], most), small]
             pos[small] += 1
             size[small] <<= _U16
 
-    everyone = slice(None)
     for t in range(steps):
         c2, c1, c0, u1, u2, u3 = models.predict()
         unit = size >> _U16
         at = [code >= unit * u.astype(np.uint64) for u in (u1, u2, u3)]
         choice = at[0].astype(np.int64) + at[1] + at[2]
-        ends = np.stack([np.zeros(n, np.int64), u1, u2, u3, np.full(n, 65536)])
-        start = ends[choice, models.lane]
-        narrow(everyone, start, ends[choice + 1, models.lane] - start, unit)
-        x = np.where(choice == 0, c2, np.where(choice == 1, c1, c0)).astype(np.int64)
+        start = np.choose(choice, (0, u1, u2, u3))
+        narrow(None, start, np.choose(choice, (u1, u2, u3, 65536)) - start, unit)
+        x = np.choose(choice, (c2, c1, c0, 0)).astype(np.int64)
         who = np.flatnonzero(choice == 3)
         if len(who):
             rows = models.class_rows(who)
-            sums = np.cumsum(models.classes[rows], axis=1)
-            here = np.arange(len(who))
-            unit = size[who] // sums[:, -1].astype(np.uint64)
-            cls = np.minimum((sums <= (code[who] // unit).astype(np.int64)[:, None]).sum(axis=1), 15)
-            own = models.classes[rows, cls]
-            narrow(who, sums[here, cls] - own, own, unit)
-            models.learn_class(rows, cls)
-            wide = _CLASS[cls + 1] - _CLASS[cls]
+            counts = np.take(models.classes, rows, axis=0)
+            sums = np.cumsum(counts, axis=1, dtype=np.int32)
+            total = sums[:, -1]
+            unit = size[who] // total.astype(np.uint64)
+            cls = np.minimum(np.count_nonzero(sums <= (code[who] // unit).astype(np.int32)[:, None], axis=1), 15)
+            at = np.arange(0, 16 * len(who), 16) + cls
+            own = np.take(counts, at)
+            narrow(who, np.take(sums, at) - own, own, unit)
+            models.learn_class(rows, cls, total)
+            wide = _WIDE[cls]
             unit = size[who] // wide.astype(np.uint64)
             place = np.minimum((code[who] // unit).astype(np.int64), wide - 1)
-            narrow(who, place, np.ones(len(who), np.int64), unit)
+            narrow(who, place, None, unit)
             x[who] = _CLASS[cls] + place
         ids[t] = x
         models.learn(x, choice)
