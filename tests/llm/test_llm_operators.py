@@ -224,8 +224,13 @@ def test_chat_windows(spark, sf_dir):
 # 6 scores
 
 
-def test_lm_scores_against_counts(spark):
-    texts = ["a b a b c", "a b", None, "", "A B d", "e"]
+@pytest.mark.parametrize(("top", "hot", "bucket"), [(1 << 20, 16, 1 << 21), (4, 2, 3), (2, 1, 5), (6, 100, 1)])
+def test_lm_scores_against_counts(spark, monkeypatch, top, hot, bucket):
+    monkeypatch.setattr(lm_scoring, "TOP_WORDS", top)
+    monkeypatch.setattr(lm_scoring, "HOT_IN_SLICE", hot)
+    monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
+    rng = random.Random(6)
+    texts = ["a b a b c", "a b", None, "", "A B d", "e"] + [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 12))) for _ in range(30)]
     got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts)).collect()}
     docs = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
     from collections import Counter
