@@ -1,19 +1,20 @@
 """N-gram Jaccard join by a token-group matrix: documents whose shingle sets overlap enough, as classes.
 
 1. A pass over the texts makes each document's set of ``k``-word shingles, as 64-bit hashes, and the set's own 64-bit
-   hash, which names it; equal sets become one set. The pass also gives the shingles that repeat within a slice of documents; the commonest of
-   these (``HOT`` at most, so that they may be broadcast) sort last in the order of shingles, all others by hash. Any
-   order gives the same links; this one keeps shingles that many documents share out of the prefixes.
+   hash, which names it; equal sets become one set. The pass also gives the shingles that repeat within a slice of
+   documents; the commonest of these (``HOT`` at most, so that they may be broadcast) sort last in the order of shingles,
+   all others by hash. Any order gives the same links; this one keeps shingles that many documents share out of the
+   prefixes.
 2. A second pass keeps of each set the first shingles in this order. Two sets whose Jaccard is at least the threshold
-   share enough of them. Only shingles that stand in two different sets stay.
-3. Similar sets form groups: in a few rounds each set is compared with one leader it shares prefix shingles with, and
-   linked sets unite. Copies in thousands unite this way without being paired with each other.
-4. Token-group matrix: (shingle, group) for the shingles of a group's members. A set's overlap with a group's union bounds
-   its overlap with any member. Sets open only the groups of others that reach the bound, in blocks; an opened block is
-   bounded again by the union of its whole sets before its members are compared exactly. A link joins set and group.
+   share enough of them. Only shingles that stand in two different sets stay, and only sets that share enough with others.
+3. Similar sets form groups, cut into blocks of about ``BLOCK`` sets: each set joins the leader it shares the most prefix
+   shingles with. Sets linked to their leader are united at once.
+4. Token-group matrix: (shingle, block) for the shingles of a block's members. A set's overlap with a block's union bounds
+   its overlap with any member. Sets open only the blocks that reach the bound and hold other classes; an opened block is
+   bounded again by the union of its whole sets before its members are compared exactly. Links unite classes.
 
-Every link between different texts lies within a group or is found in step 4, so the classes are exact (up to collisions
-of 64-bit hashes). No group is listed as pairs.
+Every link between different texts is found in step 4, or lies within a class already, so the classes are exact (up to
+collisions of 64-bit hashes). No group is listed as pairs.
 
 Defined results: null and wordless texts have an empty set, no links and themselves as class; a text of fewer than ``k``
 words has its whole sequence as its only shingle; repeated rows are copies and each returned; documents with a null
@@ -27,18 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded, stage
 from .encode import text_slices
 from .shingles import mix, shingle_sets
 
 #: Common shingles that are broadcast: 1 MB.
 HOT = 1 << 17
-#: Rounds of step 3.
-ROUNDS = 3
 #: Shared prefix shingles asked for, as a share of the smaller set in per cent. Prefixes are longer by as much.
 EXTRA = 5
-#: Sets of a block that are compared with the sets of another block in one task.
-BLOCK = 64
+#: Sets of a block, and sets that are compared with a block in one task.
+BLOCK = 256
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -136,22 +135,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between queries (c, g) and the members (c, g) of the groups that they open, one a block at most."""
-    q_blocks = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nq"))
-    m_blocks = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nm"))
-    blocks = stage(q_blocks.join(m_blocks, "g"), "blocks")
-
-    def dealt(rows: DataFrame, own: str, other: str, side: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("c"), F.col(own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        out = rows.join(blocks, "g").select("c", "g", mine.alias(own), every.alias(other))
-        return out.join(sets, "c").select(*[F.col(x).alias(f"{x}_{side}") for x in ("c", "g", "nq", "nm", "items")])
+    """Links (a, b) between queries (c, g) and members (c, g, comp) of the blocks they open: one with each class there."""
+    parts = stage(queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts")
+    asked = queries.join(parts, "g").select("c", "g", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("q")).join(sets, "c")
+    opened = members.join(parts, "g").select("c", "g", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).join(sets, "c")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if len(left) and len(right):
             group = [np.frombuffer(x, dtype=np.uint64) for x in right["items_m"].to_pylist()]
-            names, size = right["c_m"].to_pylist(), np.array([len(x) for x in group])
+            names, comp = right["c_m"].to_pylist(), right["comp_m"].to_pylist()
+            size = np.array([len(x) for x in group])
             every, starts = np.concatenate(group), np.concatenate([[0], np.cumsum(size)[:-1]])
             union = np.unique(every)
             for c, data in zip(left["c_q"].to_pylist(), left["items_q"].to_pylist(), strict=True):
@@ -162,12 +156,12 @@ def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
                 at = np.searchsorted(x, every)
                 both = np.add.reduceat((x[np.minimum(at, len(x) - 1)] == every).astype(np.int64), starts)
                 hits = np.flatnonzero(100 * both >= percent * (len(x) + size - both)).tolist()
-                out += [(c, names[h]) for h in hits if names[h] != c][:1]
+                out += [(c, b) for b in {comp[h]: names[h] for h in hits if names[h] != c}.values()]
         a, b = zip(*out, strict=True) if out else ([], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    left = dealt(queries, "nq", "nm", "q").groupBy("g_q", "nq_q", "nm_q")
-    right = dealt(members, "nm", "nq", "m").groupBy("g_m", "nq_m", "nm_m")
+    left = asked.select(*[F.col(x).alias(f"{x}_q") for x in ("c", "g", "q", "items")]).groupBy("g_q", "q_q")
+    right = opened.select(*[F.col(x).alias(f"{x}_m") for x in ("c", "g", "q", "comp", "items")]).groupBy("g_m", "q_m")
     return left.cogroup(right).applyInArrow(compare, "a long, b long")
 
 
@@ -180,30 +174,29 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA,
     docs_of = seen.where("kind = 0").drop("kind")
 
     rows = stage(_prefixes(base, k, percent, extra, hot), "prefixes")
-    several = stage(rows.groupBy("token").count().where("count > 1").select("token"), "tokens")
-    shared = stage(rows.join(several, "token"), "shared")
+    shared = _repeated(rows)
     shared = stage(shared.groupBy("token", "c").agg(F.first("n").alias("n")), "shared")
+    enough = F.col("k") > F.floor(F.floor(F.col("n") * percent / 100) * extra / 100)
+    able = stage(shared.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(enough).select("c"), "able")
+    shared = _repeated(stage(shared.join(bounded(able, able.count()), "c").select("token", "c", "n"), "able-rows"))
     nodes = stage(shared.select("c").distinct(), "nodes")
+    sets = _load_sets(base, docs_of, nodes, k)
 
     fits = (F.col("n") * percent <= F.col("l.n") * 100) & (F.col("l.n") * percent <= F.col("n") * 100)
-    picked = None
-    for r in range(ROUNDS):
-        order = F.struct(F.xxhash64("c", F.lit(r)).alias("h"), "c", "n")
-        lead = stage(shared.groupBy("token").agg(F.min(order).alias("l")), "leaders")
-        near = shared.join(lead, "token").where((F.col("c") != F.col("l.c")) & fits)
-        agree = near.groupBy("c", F.col("l.c").alias("g")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("n", "l.n")).alias("least"))
-        best = agree.where(F.col("k") * 200 > F.col("least") * extra).groupBy("c").agg(F.max(F.struct("k", "g")).alias("b")).select("c", "b.g")
-        picked = best if picked is None else picked.unionByName(best)
-    picked = stage(picked.distinct(), "picked")
-    wanted = stage(picked.select("c").unionByName(picked.select(F.col("g").alias("c"))).distinct(), "wanted")
-    sets = _load_sets(base, docs_of, wanted, k)
-    links = stage(_open(picked, picked.select(F.col("g").alias("c"), "g").distinct(), sets, percent), "links")
+    lead = stage(shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")).alias("l")), "leaders")
+    near = shared.join(lead, "token").where((F.col("c") != F.col("l.c")) & fits)
+    agree = near.groupBy("c", F.col("l.c").alias("g")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("n", "l.n")).alias("least"))
+    picked = stage(agree.where(F.col("k") * 200 > F.col("least") * extra).groupBy("c").agg(F.max(F.struct("k", "g")).alias("b")).select("c", "b.g"), "picked")
+    leaders = picked.select("g").distinct().select(F.col("g").alias("c"), "g", F.col("g").alias("comp"))
+    links = stage(_open(picked, leaders, sets, percent), "links")
     comp = components(nodes, links)
 
-    likely = stage(_candidates(shared, comp, percent, extra), "likely")
-    members = stage(comp.withColumnRenamed("comp", "g").join(likely.select("g").distinct(), "g", "left_semi").select("c", "g"), "members")
-    more = likely.select("c").unionByName(members.select("c")).distinct().join(wanted, "c", "left_anti")
-    sets = sets.unionByName(_load_sets(base, docs_of, more, k))
+    grouped = nodes.join(picked, "c", "left").select("c", F.coalesce("g", "c").alias("leader"))
+    blocks = stage(grouped.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m")), "blocks")
+    block = F.xxhash64("leader", F.pmod(F.xxhash64("c", F.lit(1)), "m"))
+    placed = stage(grouped.join(blocks, "leader").select("c", block.alias("g")).join(comp, "c"), "placed")
+    likely = stage(_candidates(shared, placed, percent, extra), "likely")
+    members = placed.join(likely.select("g").distinct(), "g", "left_semi").select("c", "g", "comp")
     found = stage(_open(likely, members, sets, percent), "links")
     comp = components(nodes, links.unionByName(found))
 
@@ -215,21 +208,26 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA,
     return out.unionByName(docs_of.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id")))
 
 
-def _candidates(shared: DataFrame, comp: DataFrame, percent: int, extra: int) -> DataFrame:
-    """(c, g): sets and groups of others that may hold a linked set, by the token-group matrix of prefix shingles."""
-    placed = stage(shared.join(comp, "c"), "placed")
-    mixed = stage(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token"), "mixed")
-    placed = stage(placed.join(mixed, "token"), "placed")
-    matrix = stage(placed.groupBy("token", F.col("comp").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
-    fits = (F.col("comp") != F.col("g")) & (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
-    met = placed.join(matrix, "token").where(fits).groupBy("c", "g").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.min("least").alias("least"))
-    return met.where(F.col("k") > F.floor(F.least("n", "least") * extra / 100)).select("c", "g")
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The rows whose token stands in more than one row, stored."""
+    several = stage(rows.groupBy("token").count().where("count > 1").select("token"), "tokens")
+    return stage(rows.join(several, "token"), "repeated")
+
+
+def _candidates(shared: DataFrame, placed: DataFrame, percent: int, extra: int) -> DataFrame:
+    """(c, g): sets and blocks that may hold a linked set of another class, by the token-group matrix of shared shingles."""
+    rows = stage(shared.join(placed, "c"), "rows")
+    matrix = rows.groupBy("token", F.col("g").alias("b")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    matrix = stage(matrix, "matrix")
+    fits = ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
+    met = rows.join(matrix, "token").where(fits).groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.min("least").alias("least"))
+    return met.where(F.col("k") > F.floor(F.least("n", "least") * extra / 100)).select("c", F.col("b").alias("g"))
 
 
 def _load_sets(base: DataFrame, docs_of: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(c, items) of the wanted sets, from the text of one document of each."""
     one = stage(docs_of.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("key").alias("one")), "one")
-    texts = base.join(one, F.col("key") == F.col("one")).select("id", "text", "c").dropDuplicates(["c", "text"])
+    texts = base.join(bounded(one, one.count()), F.col("key") == F.col("one")).select("id", "text", "c").dropDuplicates(["c", "text"])
     return stage(_full_sets(texts, k), "sets")
 
 
