@@ -135,20 +135,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between queries (c, g) and members (c, g, comp) of the blocks they open: one with each class there."""
+    """Links (a, b) between queries (c, g, comp) and members (c, g, comp) of the blocks they open.
+
+    A task leaves out links between what its other links unite already, so it gives fewer links than it holds sets.
+    """
     parts = stage(queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts")
-    asked = queries.join(parts, "g").select("c", "g", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("q")).join(sets, "c")
+    asked = queries.join(parts, "g").select("c", "g", "comp", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("q")).join(sets, "c")
     opened = members.join(parts, "g").select("c", "g", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).join(sets, "c")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
         if len(left) and len(right):
             group = [np.frombuffer(x, dtype=np.uint64) for x in right["items_m"].to_pylist()]
             names, comp = right["c_m"].to_pylist(), right["comp_m"].to_pylist()
             size = np.array([len(x) for x in group])
             every, starts = np.concatenate(group), np.concatenate([[0], np.cumsum(size)[:-1]])
             union = np.unique(every)
-            for c, data in zip(left["c_q"].to_pylist(), left["items_q"].to_pylist(), strict=True):
+            for c, own, data in zip(left["c_q"].to_pylist(), left["comp_q"].to_pylist(), left["items_q"].to_pylist(), strict=True):
                 x = np.frombuffer(data, dtype=np.uint64)
                 at = np.searchsorted(x, union)
                 if np.count_nonzero(x[np.minimum(at, len(x) - 1)] == union) < _need(len(x), percent):
@@ -156,11 +166,15 @@ def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
                 at = np.searchsorted(x, every)
                 both = np.add.reduceat((x[np.minimum(at, len(x) - 1)] == every).astype(np.int64), starts)
                 hits = np.flatnonzero(100 * both >= percent * (len(x) + size - both)).tolist()
-                out += [(c, b) for b in {comp[h]: names[h] for h in hits if names[h] != c}.values()]
+                for h in hits:
+                    a, b = find(own), find(comp[h])
+                    if a != b:
+                        root[a] = b
+                        out.append((c, names[h]))
         a, b = zip(*out, strict=True) if out else ([], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    left = asked.select(*[F.col(x).alias(f"{x}_q") for x in ("c", "g", "q", "items")]).groupBy("g_q", "q_q")
+    left = asked.select(*[F.col(x).alias(f"{x}_q") for x in ("c", "g", "q", "comp", "items")]).groupBy("g_q", "q_q")
     right = opened.select(*[F.col(x).alias(f"{x}_m") for x in ("c", "g", "q", "comp", "items")]).groupBy("g_m", "q_m")
     return left.cogroup(right).applyInArrow(compare, "a long, b long")
 
@@ -188,7 +202,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA,
     agree = near.groupBy("c", F.col("l.c").alias("g")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("n", "l.n")).alias("least"))
     picked = stage(agree.where(F.col("k") * 200 > F.col("least") * extra).groupBy("c").agg(F.max(F.struct("k", "g")).alias("b")).select("c", "b.g"), "picked")
     leaders = picked.select("g").distinct().select(F.col("g").alias("c"), "g", F.col("g").alias("comp"))
-    links = stage(_open(picked, leaders, sets, percent), "links")
+    links = stage(_open(picked.withColumn("comp", F.col("c")), leaders, sets, percent), "links")
     comp = components(nodes, links)
 
     grouped = nodes.join(picked, "c", "left").select("c", F.coalesce("g", "c").alias("leader"))
@@ -220,8 +234,8 @@ def _candidates(shared: DataFrame, placed: DataFrame, percent: int, extra: int)
     matrix = rows.groupBy("token", F.col("g").alias("b")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     matrix = stage(matrix, "matrix")
     fits = ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
-    met = rows.join(matrix, "token").where(fits).groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.min("least").alias("least"))
-    return met.where(F.col("k") > F.floor(F.least("n", "least") * extra / 100)).select("c", F.col("b").alias("g"))
+    met = rows.join(matrix, "token").where(fits).groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("comp").alias("comp"), F.min("least").alias("least"))
+    return met.where(F.col("k") > F.floor(F.least("n", "least") * extra / 100)).select("c", F.col("b").alias("g"), "comp")
 
 
 def _load_sets(base: DataFrame, docs_of: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -238,5 +252,5 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA, doc
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents linked to one of smaller doc_id. Rows with a null doc_id, and empty ones, stay."""
-    kept = stage(classes(docs, k, percent, extra, doc_id, text).where("component_id < id").select(F.col("id").alias("__nj_id")).distinct(), "dropped")
-    return docs.join(kept, docs[doc_id] == F.col("__nj_id"), "left_anti")
+    gone = stage(classes(docs, k, percent, extra, doc_id, text).where("component_id < id").select(F.col("id").alias("__nj_id")).distinct(), "dropped")
+    return docs.join(bounded(gone, gone.count()), docs[doc_id] == F.col("__nj_id"), "left_anti")
