@@ -43,8 +43,9 @@ BLOCK = 256
 def _sets(batch: pa.RecordBatch, k: int):
     """(first row, sets) for slices of a batch whose column 1 holds the texts."""
     texts = [(t or "") for t in batch.column(1).to_pylist()]
-    for a, b in text_slices(texts, 1 << 21):
-        yield a, shingle_sets([t.encode() for t in texts[a:b]], k)
+    for a, b in text_slices(texts):
+        yield a, shingle_sets([t.encode("utf-8", "replace") for t in texts[a:b]], k)
+    pa.default_memory_pool().release_unused()
 
 
 def _name(s: np.ndarray) -> int:
