@@ -1,8 +1,9 @@
 """Candidate pairs of applicants and institutions, hard gates, factor scores and the explained ranking.
 
 All of it is columns over one joined table, so that a job ranks every applicant at once. The institutions' side of the
-join is broadcast while it has at most ``BROADCAST_ROWS`` rows; beyond that the pairs come from a shuffle of both sides
-over blocks of applicants.
+join is broadcast while it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_CHARS`` characters of course lists; beyond
+that the pairs come from a shuffle of both sides over blocks of applicants. Course lists are put in lower case once an
+institution, not once a pair.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions.geo import haversine_km, tokens, tokens_contained
 
 #: Institutions up to which every applicant task holds them all.
 BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 64_000_000
 _BLOCKS = 64
 
 
@@ -35,6 +37,7 @@ def candidate_pairs(profiles: DataFrame, entities: DataFrame, focus: DataFrame |
     gated, with their place in ``pos``.
     """
     p = profiles.select(F.struct(*profiles.columns).alias("p"))
+    entities = _prepared(entities)
     e = entities.select(F.struct(*entities.columns).alias("e"))
     side = lambda name, df: {c: F.col(f"{name}.{c}") for c in df.columns}
     rule = gate(side("p", profiles), side("e", entities))
@@ -46,8 +49,18 @@ def candidate_pairs(profiles: DataFrame, entities: DataFrame, focus: DataFrame |
     return known.unionByName(_every_pair(free, e, rule).withColumn("pos", F.lit(None).cast("int")))
 
 
+def _prepared(entities: DataFrame) -> DataFrame:
+    """Add what the scores read of the courses: each in lower case, and all as one text."""
+    if "courses" not in entities.columns:
+        return entities
+    low = F.coalesce(F.transform("courses", F.lower), F.array().cast("array<string>"))
+    return entities.withColumn("low_courses", low).withColumn("listed", F.array_join("low_courses", " "))
+
+
 def _every_pair(p: DataFrame, e: DataFrame, rule: Column) -> DataFrame:
-    if e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    chars = F.sum(F.length("e.listed")) if "listed" in e.schema["e"].dataType.names else F.lit(0)
+    n, size = e.agg(F.count(F.lit(1)), chars).first()
+    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_CHARS:
         return p.join(F.broadcast(e), rule)
     blocks = e.withColumn("b", F.pmod(F.xxhash64("e.id"), F.lit(_BLOCKS)))
     return p.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BLOCKS - 1).cast("long")))).join(blocks, "b").where(rule).drop("b")
@@ -86,11 +99,13 @@ def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def score_program(field: Column, courses: Column) -> Column:
+def score_program(field: Column, courses: Column, low_courses: Column | None = None) -> Column:
+    """``low_courses``: the courses in lower case, where they are at hand."""
+    low_courses = F.transform(courses, F.lower) if low_courses is None else low_courses
     given = _text(field) != ""
     low = F.lower(_text(field))
     words = F.filter(F.split(low, r"[\s,/]+"), lambda t: F.length(t) > 2)
-    match = F.exists(courses, lambda c: F.lower(c).contains(low) | F.exists(words, lambda t: F.lower(c).contains(t)))
+    match = F.exists(low_courses, lambda c: c.contains(low) | F.exists(words, lambda t: c.contains(t)))
     return _scored(
         (~given, 50, "warn", "Program preference not specified"),
         (F.coalesce(match, F.lit(False)), 100, "pass", F.concat(field, F.lit(" offered"))),
@@ -148,9 +163,10 @@ def score_location(cities: Column, province: Column, city: Column, own_province:
     )
 
 
-def score_goals(goals: Column, field: Column, courses: Column) -> Column:
+def score_goals(goals: Column, field: Column, courses: Column, listed: Column | None = None) -> Column:
+    """``listed``: all courses as one text in lower case, where it is at hand."""
     low, wanted = F.lower(_text(goals)), F.lower(_text(field))
-    listed = F.lower(F.array_join(F.coalesce(courses, F.array().cast("array<string>")), " "))
+    listed = F.lower(F.array_join(F.coalesce(courses, F.array().cast("array<string>")), " ")) if listed is None else listed
     words = F.filter(F.split(low, r"[\s,]+"), lambda t: F.length(t) > 3)
     return _scored(
         (low == "", 60, "warn", "Career goals not specified"),
@@ -164,14 +180,16 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     """Add distance_km, total_score and factors to (p, e, pos). An applicant's place is p.latitude, p.longitude."""
     known = F.col("p.latitude").isNotNull() & F.col("p.longitude").isNotNull() & (F.col("e.latitude") != 0) & (F.col("e.longitude") != 0)
     km = F.when(known, haversine_km(F.col("p.latitude"), F.col("p.longitude"), F.col("e.latitude"), F.col("e.longitude")))
+    ready = "listed" in pairs.schema["e"].dataType.names
+    low_courses, listed = (F.col("e.low_courses"), F.col("e.listed")) if ready else (None, None)
     out = pairs.withColumn("km", km).withColumn("fee", fee_per_semester(F.col("e.fee_amount"), F.col("e.fee_period")))
     scores = {
-        "program_match": score_program(F.col("p.field_of_study"), F.col("e.courses")),
+        "program_match": score_program(F.col("p.field_of_study"), F.col("e.courses"), low_courses),
         "eligibility_match": score_eligibility(F.col("p.academic_percentage"), F.col("e.min_eligibility")),
         "budget_fit": score_budget(F.col("p.budget_pkr_per_semester"), F.col("fee")),
         "scholarship_fit": score_scholarship(F.col("p.scholarship_required"), F.col("e.has_scholarships")),
         "location_fit": score_location(F.col("p.preferred_cities"), F.col("p.preferred_province"), F.col("e.city"), F.col("e.province"), F.col("km")),
-        "goal_alignment": score_goals(F.col("p.career_goals"), F.col("p.field_of_study"), F.col("e.courses")),
+        "goal_alignment": score_goals(F.col("p.career_goals"), F.col("p.field_of_study"), F.col("e.courses"), listed),
     }
     out = out.withColumns({f"s_{k}": v for k, v in scores.items()})
     by_name = F.create_map(*[x for k in scores for x in (F.lit(k), F.col(f"s_{k}"))])
@@ -184,10 +202,12 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 def rank(scored: DataFrame, limit: int = 5) -> DataFrame:
     """The best of each applicant, ties to the smaller id; an applicant with a focus list gets all of it, if it is longer."""
-    own = W.partitionBy("p.profile_id")
-    ranked = scored.withColumn("rank", F.row_number().over(own.orderBy(F.desc("total_score"), "e.id"))).withColumn("named", F.count("pos").over(own))
+    own = W.partitionBy("profile_id")
+    name = F.coalesce("e.name", F.initcap(F.replace(F.col("e.id").cast("string"), F.lit("_"), F.lit(" "))))
+    slim = scored.select(F.col("p.profile_id").alias("profile_id"), F.col("e.id").alias("id"), name.alias("name"), "total_score", "distance_km", "factors", "pos")  # no course lists in the shuffle
+    ranked = slim.withColumn("rank", F.row_number().over(own.orderBy(F.desc("total_score"), "id"))).withColumn("named", F.count("pos").over(own))
     kept = ranked.where(F.col("rank") <= F.greatest(F.lit(limit), F.col("named")))
-    return kept.select(F.col("p.profile_id").alias("profile_id"), "rank", F.col("e.id").alias("id"), F.coalesce("e.name", F.initcap(F.replace(F.col("e.id").cast("string"), F.lit("_"), F.lit(" ")))).alias("name"), "total_score", "distance_km", "factors", F.col("pos").isNotNull().alias("focused"))
+    return kept.select("profile_id", "rank", "id", "name", "total_score", "distance_km", "factors", F.col("pos").isNotNull().alias("focused"))
 
 
 def recommend(profiles: DataFrame, entities: DataFrame, limit: int = 5, focus: DataFrame | None = None) -> DataFrame:
