@@ -158,17 +158,19 @@ def chunk_items(spark, d):
 def _records(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     fee = F.struct(F.struct(F.lit("fee").alias("label"), F.col("doc_id").cast("string").alias("value")).alias("f"))
-    return _chunks_of(spark, d).select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("stem"), F.col("source").alias("university"), F.col("lang").alias("location"), F.lit("p").alias("province"), (F.col("doc_id") % 2 == 0).alias("is_public"), F.array(F.col("source")).alias("source_pages"), lines.alias("eligibility_criteria"), F.slice(lines, 1, 1).alias("test_pattern"), F.slice(lines, 2, 2).alias("scholarships"), F.array("lang").alias("offered_courses"), F.struct(F.array(fee["f"]).alias("fees")).alias("fee_structure"), F.array().cast("array<string>").alias("hostel_info"))
+    return _chunks_of(spark, d).select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("stem"), F.col("source").alias("university"), F.col("lang").alias("location"), F.lit("p").alias("province"), (F.col("doc_id") % 2 == 0).alias("is_public"), F.array(F.col("source")).alias("source_pages"), lines.alias("eligibility_criteria"), lines.alias("test_pattern"), lines.alias("scholarships"), F.array("lang").alias("offered_courses"), F.struct(F.array(fee["f"]).alias("fees")).alias("fee_structure"), F.array().cast("array<string>").alias("hostel_info"))
 
 
 @query("c4_build_chunks", "SELECT 'r' || doc_id || '_offered_courses_0' AS chunk_id, 'offered_courses' AS category, '[University: ' || source || ' | Category: offered_courses] ' || lang AS text FROM documents UNION ALL SELECT 'r' || doc_id || '_fee_structure_0', 'fee_structure', '[University: ' || source || ' | Category: fee_structure] fee: ' || doc_id FROM documents")
 def build_chunks(spark, d):
-    return C.build_chunks(_records(spark, d)).where("category IN ('offered_courses', 'fee_structure')").select("chunk_id", "category", "text")
+    """All categories; the SQL has the two of one short item."""
+    return C.build_chunks(_records(spark, d)).select("chunk_id", "category", "text")
 
 
 @query("c5_chunk_metadata", "SELECT 'r' || doc_id || '_offered_courses_0' AS chunk_id, source AS university_id, lang AS city, '' AS degree_levels, source AS source_pages, len(lang) AS length_chars, doc_id % 2 = 0 AS is_public FROM documents")
 def metadata(spark, d):
-    return C.build_chunks(_records(spark, d)).where("category = 'offered_courses'").select("chunk_id", "metadata.university_id", "metadata.city", "metadata.degree_levels", "metadata.source_pages", "metadata.length_chars", "metadata.is_public")
+    """All categories; the SQL has the one of the language code."""
+    return C.build_chunks(_records(spark, d)).select("chunk_id", "metadata.university_id", "metadata.city", "metadata.degree_levels", "metadata.source_pages", "metadata.length_chars", "metadata.is_public")
 
 
 @query("c6_embed")

@@ -1,9 +1,12 @@
 """Queries over whole tables, held against SQL or plain Python without the cuts of the registered SQL."""
 
+import re
+
 import pytest
 
 from admira import catalog
 from test_queries import TABLES, plain
+from test_text import model_pack
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +42,36 @@ COURSES = "s14_entity_view r3_score_program r8_score_goals r9_score_candidate r1
 @pytest.mark.parametrize("name", COURSES)
 def test_courses_of_all_order_lines(spark, duck, sf_dir, name):
     same(spark, duck, sf_dir, name, without(name, (" WHERE l_orderkey % 100 = 0", "")))
+
+
+def sentences(text):
+    flat = re.sub(r"\s+", " ", text).strip(" ")
+    return [x for x in re.split(r"(?<=[.!?])\s+", re.sub(r"(?<=[.!?])(?=[A-Z])", " ", flat)) if x]
+
+
+def chunks(items, most=1200, overlap=150):
+    units = []
+    for x in items:
+        x = x.strip(" ")
+        units += sentences(x) if len(x) > most else [x] if x else []
+    return model_pack(units, most, overlap)
+
+
+def test_chunks_of_all_categories(spark, tmp_path):
+    long = " ".join(f"Sentence {i} of a long line has some words." for i in range(70))
+    texts = {1: "one short line", 2: "\n".join(f"line {i} " + "word " * (i % 40) for i in range(120)), 3: f"first\n\n{long}\nlast line", 4: ""}
+    rows = [(k, t, "en", f"src {k}", len(t)) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want, sizes = {}, {}
+    for k, t in texts.items():
+        lines = [x for x in t.split("\n") if x]
+        lists = {c: chunks(lines) for c in ("eligibility", "test_pattern", "scholarships")} | {"offered_courses": ["en"], "fee_structure": [f"fee: {k}"]}
+        for c, made in lists.items():
+            for i, x in enumerate(made):
+                want[f"r{k}_{c}_{i}"] = (c, f"[University: src {k} | Category: {c}] {x}")
+                sizes[f"r{k}_{c}_{i}"] = (f"src_{k}", len(x), f"src {k}", k % 2 == 0)
+    assert "r2_eligibility_3" in want and "r3_scholarships_2" in want
+    got = catalog.queries()["c4_build_chunks"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.chunk_id: (r.category, r.text) for r in got} == want
+    got = catalog.queries()["c5_chunk_metadata"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.chunk_id: (r.university_id, r.length_chars, r.source_pages, r.is_public) for r in got} == sizes
