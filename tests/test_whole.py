@@ -75,3 +75,33 @@ def test_chunks_of_all_categories(spark, tmp_path):
     assert len(got) == len(want) and {r.chunk_id: (r.category, r.text) for r in got} == want
     got = catalog.queries()["c5_chunk_metadata"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.chunk_id: (r.university_id, r.length_chars, r.source_pages, r.is_public) for r in got} == sizes
+
+
+def intents(text):
+    """The rules in plain words, over the words that the query looks for."""
+    t = (text or "").strip(" ")
+    low, has = t.lower(), lambda p: bool(re.search(p, t, re.I))
+    why = bool(re.search(r"\bwas\b.*\bwith\b|\bby\b.*\bbe\b", low))
+    names = set(re.findall(r"\b(?:of the|this|with|the|was|and)\b", low))
+    named = len({"w_the" if x in ("the", "of the") else "w_with" if x in ("with", "this") else x for x in names})
+    focused = named >= 2 and (has(r"\b(as|at)\b") or "," in t)
+    again, follow, chart = has(r"\b(this|from)\b"), has(r"\b(for|are)\b"), "of the" in low or "is to" in low
+    followup = not focused and not (again and not follow) and (follow or why)
+    question = t != "" and not chart and ("?" in t or has(r"\b(is|on)\b"))
+    return focused, {"asks_why_ranked": why, "asks_rerank": again, "is_followup": followup, "is_question": question, "has_question_sign": has(r"\?|\bit\b|\bthat\b"), "asks_about_chart": chart}
+
+
+def test_intents_of_every_message(spark, sf_dir):
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    want = {k: intents(t) for k, t in texts.items()}
+    for flag in want[next(iter(want))][1]:
+        assert {w[1][flag] for w in want.values()} == {True, False}, flag
+    got = {(r.conv_id, r.turn): r.asDict() for r in catalog.queries()["i4_message_intents"](spark, sf_dir).collect()}
+    assert got == {(c, t): {"conv_id": c, "turn": t} | w[1] for (c, t), w in want.items()}
+    routes = {}
+    for (c, t), (focused, i) in want.items():
+        ranked, locked = c % 2 == 0, c % 3 == 0
+        answer = i["asks_about_chart"] or (ranked and (i["is_followup"] or i["is_question"])) or (locked and i["is_question"])
+        routes[c, t] = "refine" if ranked and (focused or (i["asks_rerank"] and not i["is_followup"])) else "answer_question" if answer else "keep"
+    assert set(routes.values()) == {"refine", "answer_question", "keep"}
+    assert {(r.conv_id, r.turn): r.route for r in catalog.queries()["i6_route_turn"](spark, sf_dir).collect()} == routes
