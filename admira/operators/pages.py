@@ -124,12 +124,34 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def aggregate_pages(parsed: DataFrame, key: str, order: str, lists: list[str], plain: list[str] | None = None) -> DataFrame:
-    """Each institution's lists in page order, each item once; the lists of ``plain`` keep repeats."""
+    """Each institution's lists in page order, each item once; the lists of ``plain`` keep repeats.
+
+    Without lists that keep repeats, an item's repeats are combined before the rows of an institution meet.
+    """
+    none = F.array().cast("array<string>")
+    if plain:
+        joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("a")))), lambda x: x["a"]))
+        return parsed.groupBy(key).agg(*[F.array_distinct(joined(c)).alias(c) for c in lists], *[joined(c).alias(c) for c in plain])
+    made = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c), none).alias("a")) for c in lists])
+    rows = parsed.select(F.col(key), F.col(order).alias("o"), F.inline(made)).select(key, "o", "c", F.posexplode_outer("a").alias("i", "item"))
+    first = rows.groupBy(key, "c", "item", F.isnull("i").alias("empty")).agg(F.min(F.struct("o", "i")).alias("at"))
+    of = lambda c: F.array_sort(F.collect_list(F.when((F.col("c") == c) & ~F.col("empty"), F.struct("at", "item"))))
+    return first.groupBy(key).agg(*[F.transform(of(c), lambda x: x["item"]).alias(c) for c in lists])
 
-    def joined(c: str) -> Column:
-        return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("a")))), lambda x: x["a"]))
 
-    return parsed.groupBy(key).agg(*[F.array_distinct(joined(c)).alias(c) for c in lists], *[joined(c).alias(c) for c in plain or []])
+def aggregate_items(parsed: DataFrame, key: str, order: str, items: str, block: int = 256) -> DataFrame:
+    """(key, place, item): what ``aggregate_pages`` makes of one list, a row for each distinct item of an institution.
+
+    ``order`` is an integer. Places are counted in blocks of ``block`` numbers and the blocks' sizes summed up, so that no
+    task holds all items of an institution.
+    """
+    rows = parsed.select(F.col(key), F.col(order).cast("long").alias("o"), F.posexplode(items).alias("i", "item"))
+    first = rows.groupBy(key, "item").agg(F.min(F.struct("o", "i")).alias("at")).withColumn("b", F.expr(f"at.o div {block}"))
+    before = F.sum("n").over(W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    sizes = first.groupBy(F.col(key).alias("__k"), F.col("b").alias("__b")).agg(F.count(F.lit(1)).alias("n")).select("__k", "__b", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = first.withColumn("r", F.row_number().over(W.partitionBy(key, "b").orderBy("at", "item")))
+    met = placed.join(sizes, F.col(key).eqNullSafe(F.col("__k")) & F.col("b").eqNullSafe(F.col("__b")))
+    return met.select(key, (F.col("before") + F.col("r")).alias("place"), "item")
 
 
 def host(url: Column) -> Column:

@@ -142,7 +142,8 @@ def string_list(spark, d):
 
 @query("p22_program_list", "SELECT p_brand, count(DISTINCT trim(p_name)) AS n, md5(string_agg(DISTINCT trim(p_name), '|' ORDER BY trim(p_name))) AS digest FROM part GROUP BY 1")
 def program_list(spark, d):
-    a = table(spark, d, "part").groupBy("p_brand").agg(T.normalize_program_list(F.collect_list(F.concat(F.lit(" "), "p_name", F.lit(" ")))).alias("a"))
+    each = F.explode(T.normalize_program_list(F.array(F.concat(F.lit(" "), "p_name", F.lit(" ")))))
+    a = table(spark, d, "part").select("p_brand", each.alias("name")).distinct().groupBy("p_brand").agg(F.collect_list("name").alias("a"))  # repeats go before a brand meets
     return a.select("p_brand", F.size("a").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("a"), "|").cast("binary")).alias("digest"))
 
 
@@ -273,8 +274,8 @@ def distinct(spark, d):
 
 @query("a1_aggregate_pages", r"WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))[1:3]) AS line, unnest(range(0, 3)[1:len(string_split(text, chr(10))[1:3])]) AS i FROM documents), f AS (SELECT source, line, min(doc_id * 10 + i) AS o FROM l GROUP BY 1, 2) SELECT source, count(*) AS n, md5(string_agg(line, '|' ORDER BY o)) AS digest FROM f GROUP BY 1")
 def aggregate(spark, d):
-    out = G.aggregate_pages(_docs(spark, d).withColumn("a", F.slice(F.split("text", "\n"), 1, 3)), "source", "doc_id", ["a"])
-    return out.select("source", F.size("a").cast("long").alias("n"), F.md5(F.array_join("a", "|").cast("binary")).alias("digest"))
+    """All lines, a row for each distinct one of a source; the SQL has a digest of the first three of each text."""
+    return G.aggregate_items(_docs(spark, d).withColumn("a", F.split("text", "\n")), "source", "doc_id", "a").withColumnRenamed("item", "line")
 
 
 @query("a2_official_site", r"WITH h AS (SELECT page_id % 40 AS k, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) AS h, page_id FROM pages), c AS (SELECT k, h, count(*) AS n, min(page_id) AS f FROM h WHERE h <> '' GROUP BY 1, 2) SELECT k, 'https://' || h AS site FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, f) = 1")

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from admira import catalog
+from admira.operators import pages as G
 from test_queries import TABLES, plain
 from test_text import model_pack
 
@@ -105,3 +106,22 @@ def test_intents_of_every_message(spark, sf_dir):
         routes[c, t] = "refine" if ranked and (focused or (i["asks_rerank"] and not i["is_followup"])) else "answer_question" if answer else "keep"
     assert set(routes.values()) == {"refine", "answer_question", "keep"}
     assert {(r.conv_id, r.turn): r.route for r in catalog.queries()["i6_route_turn"](spark, sf_dir).collect()} == routes
+
+
+def test_every_line_is_aggregated(spark, sf_dir):
+    first = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        for i, line in enumerate(r.text.split("\n")):
+            at = first.setdefault(r.source, {})
+            at[line] = min(at.get(line, (r.doc_id, i)), (r.doc_id, i))
+    want = {(s, n, x) for s, at in first.items() for n, x in enumerate(sorted(at, key=at.get), 1)}
+    got = [(r.source, r.place, r.line) for r in catalog.queries()["a1_aggregate_pages"](spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_aggregated_lists_and_items(spark):
+    rows = [(1, 5, ["b", "a"], ["x"]), (1, 300, ["c", "a"], []), (1, 900, ["b", "d"], ["x", "y"]), (2, 1, [], None)]
+    df = spark.createDataFrame(rows, "k int, o int, a array<string>, b array<string>")
+    got = {r.k: (r.a, r.b) for r in G.aggregate_pages(df, "k", "o", ["a", "b"]).collect()}
+    assert got == {1: (["b", "a", "c", "d"], ["x", "y"]), 2: ([], [])}
+    assert sorted(map(tuple, G.aggregate_items(df, "k", "o", "a", 2).collect())) == [(1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (1, 4, "d")]
