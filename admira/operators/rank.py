@@ -58,12 +58,17 @@ def _prepared(entities: DataFrame) -> DataFrame:
 
 
 def _every_pair(p: DataFrame, e: DataFrame, rule: Column) -> DataFrame:
-    chars = F.sum(F.length("e.listed")) if "listed" in e.schema["e"].dataType.names else F.lit(0)
-    n, size = e.agg(F.count(F.lit(1)), chars).first()
+    chars = F.length("e.listed") if "listed" in e.schema["e"].dataType.names else F.lit(0)
+    return every_pair(p, e, rule, F.xxhash64("e.id"), chars)
+
+
+def every_pair(left: DataFrame, right: DataFrame, rule: Column, spread: Column, chars: Column | None = None) -> DataFrame:
+    """All pairs that ``rule`` takes: the right side is broadcast within the bounds, else dealt to blocks by ``spread``."""
+    n, size = right.agg(F.count(F.lit(1)), F.sum(F.lit(0) if chars is None else chars)).first()
     if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_CHARS:
-        return p.join(F.broadcast(e), rule)
-    blocks = e.withColumn("b", F.pmod(F.xxhash64("e.id"), F.lit(_BLOCKS)))
-    return p.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BLOCKS - 1).cast("long")))).join(blocks, "b").where(rule).drop("b")
+        return left.join(F.broadcast(right), rule)
+    blocks = right.withColumn("b", F.pmod(spread, F.lit(_BLOCKS)))
+    return left.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BLOCKS - 1).cast("long")))).join(blocks, "b").where(rule).drop("b")
 
 
 def focus_join(focus: DataFrame, entities: DataFrame) -> DataFrame:

@@ -209,7 +209,7 @@ def retrieve(spark, d):
     k, v = F.col("id"), _vectors(spark, d)
     wanted = F.when(k % 3 == 0, F.col("entity")).when(k % 3 == 1, "unknown")
     cats = F.when(k % 2 == 0, F.array((k % 4).cast("string"))).when(k % 7 == 0, F.array(F.lit("none"))).otherwise(F.array().cast("array<string>"))
-    q = v.where("id % 25 = 0 OR id % 49 = 0").select(k.alias("question_id"), F.col("v").alias("q"), wanted.alias("want_entity"), cats.alias("want_categories"), (k % 5 == 0).alias("strict"))
+    q = v.where("id % 20 = 0").select(k.alias("question_id"), F.col("v").alias("q"), wanted.alias("want_entity"), cats.alias("want_categories"), (k % 5 == 0).alias("strict"))
     return V.retrieve(q, v).select("question_id", "id", "tier", "rank")
 
 
@@ -222,7 +222,7 @@ k AS (SELECT profile_id, id, chunk_id, CAST(row_number() OVER (PARTITION BY prof
 
 def _cands(spark, d):
     e = table(spark, d, "embeddings")
-    return e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("profile_id"), F.col("label").cast("long").alias("id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 2 == 0, "Master").alias("level"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("profile_id"), F.col("label").cast("long").alias("id"), F.col("embedding").alias("q"), F.when(F.col("vec_id") % 2 == 0, "Master").alias("level"))
 
 
 def _levelled(spark, d):

@@ -1,11 +1,14 @@
 """Queries over whole tables, held against SQL or plain Python without the cuts of the registered SQL."""
 
+import math
 import re
 
 import pytest
 
 from admira import catalog
 from admira.operators import pages as G
+from admira.operators import rank as R
+from admira.plans import ranking
 from test_queries import TABLES, plain
 from test_text import model_pack
 
@@ -125,3 +128,24 @@ def test_aggregated_lists_and_items(spark):
     got = {r.k: (r.a, r.b) for r in G.aggregate_pages(df, "k", "o", ["a", "b"]).collect()}
     assert got == {1: (["b", "a", "c", "d"], ["x", "y"]), 2: ([], [])}
     assert sorted(map(tuple, G.aggregate_items(df, "k", "o", "a", 2).collect())) == [(1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (1, 4, "d")]
+
+
+_QUESTIONS = ("vec_id % 25 = 0 OR vec_id % 49 = 0", "vec_id % 20 = 0"), ("WHERE vec_id % 25 = 0", "WHERE vec_id % 20 = 0")
+
+
+@pytest.mark.parametrize("name", ["w2_retrieve", "w3_topk_per_entity", "j3_attach_chunks", "j7_geocode"])
+def test_questions_and_names_without_cuts(spark, duck, sf_dir, name):
+    same(spark, duck, sf_dir, name, without(name, *_QUESTIONS, (" WHERE p_partkey % 7 = 0", ""), (" WHERE l_orderkey % 100 = 0", "")))
+
+
+@pytest.mark.parametrize("rows", [200_000, 1])
+def test_more_places_than_a_thousand(spark, duck, sf_dir, monkeypatch, rows):
+    made = spark.range(3000).selectExpr("20 + id / 100.0D AS latitude", "60 + id / 200.0D AS longitude")
+    monkeypatch.setattr(ranking, "entities", lambda spark, d: made)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", rows)
+    one = catalog.queries()["p35_haversine"](spark, sf_dir).orderBy("profile_id").first()
+    at = ranking.profiles(spark, sf_dir).where(f"profile_id = {one.profile_id}").first()
+    rad = [(math.radians(20 + i / 100), math.radians(60 + i / 200)) for i in range(3000)]
+    la, lo = math.radians(at.latitude), math.radians(at.longitude)
+    km = [12742 * math.asin(math.sqrt(math.sin((a - la) / 2) ** 2 + math.cos(la) * math.cos(a) * math.sin((b - lo) / 2) ** 2)) for a, b in rad]
+    assert (abs(one.far - max(km)) < 0.01) and (abs(one.near - min(km)) < 0.01)
