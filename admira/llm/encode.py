@@ -3,6 +3,9 @@
 The byte-level vocabularies start a new token at every space that a visible character follows. Texts are therefore cut
 there, each distinct piece is encoded once by the library and the ids are put together by numpy. A text in which white
 space or its end follows a space is encoded as it stands.
+
+Pieces of up to seven bytes are their own keys. Longer ones have hashes as keys, and every use of a stored piece compares
+its bytes first: where they differ, the text goes to the library whole.
 """
 
 from __future__ import annotations
@@ -11,19 +14,25 @@ import os
 
 import numpy as np
 
-from .shingles import piece_hashes
+from .shingles import hashes_of, ragged, runs
 
-#: Distinct pieces whose ids a worker keeps; the store is emptied beyond.
-STORE_PIECES = 600_000
+#: Distinct pieces whose ids a worker keeps; the store is emptied beyond. Some 60 MB.
+STORE_PIECES = 800_000
+#: Pieces that are looked up at a time, so that a very long text needs no long arrays.
+WINDOW = 1 << 19
 #: Bytes that may begin white space: a space before one of them is no safe cut.
 _unsafe = np.zeros(256, dtype=bool)
 _unsafe[[*range(9, 14), 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LONG, _FIRST = np.uint64(1 << 63), np.uint64(1 << 62)
+_encoders: dict = {}
 
 
-def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The indices start[i] .. start[i] + length[i] - 1 of all i, one after another."""
-    ends = np.cumsum(length)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a vocabulary file: tasks that follow in the same worker find its pieces again."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Encoder:
@@ -42,8 +51,10 @@ class Encoder:
 
     def _empty(self) -> None:
         self.known = np.empty(0, dtype=np.uint64)
-        self.start, self.length = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.start, self.length = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
         self.ids = np.empty(0, dtype=np.uint32)
+        self.first, self.size, self.at = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.further = np.empty(0, dtype=np.uint64)
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,19 +71,22 @@ class Encoder:
             counts.append(np.diff(stops, prepend=0))
         return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.concatenate(counts) if counts else np.empty(0, np.int64)
 
-    def _learn(self, data: bytes, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> None:
-        inner = np.flatnonzero(~first)
+    def _learn(self, data: bytes, keys: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> None:
+        """Store new pieces; ``keys`` are sorted."""
+        inner, own = np.flatnonzero(~lead), np.flatnonzero(lead)
         ids, counts = self._pieces([data[a - 1 : b] for a, b in zip(start[inner].tolist(), end[inner].tolist(), strict=True)])
-        lead = np.flatnonzero(first)
-        own = self._raw([data[a:b].decode() for a, b in zip(start[lead].tolist(), end[lead].tolist(), strict=True)])
-        order = np.concatenate([inner, lead])
-        counts = np.concatenate([counts, np.array([len(x) for x in own], dtype=np.int64)])
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, ids, *own])
-        rank = np.argsort(hashes[order])
-        at = np.searchsorted(self.known, hashes[order][rank])
-        self.known = np.insert(self.known, at, hashes[order][rank])
-        self.start, self.length = np.insert(self.start, at, starts[rank]), np.insert(self.length, at, counts[rank])
+        raw = self._raw([data[a:b].decode() for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+        length = np.zeros(len(keys), dtype=np.int32)
+        length[inner], length[own] = counts, [len(x) for x in raw]
+        starts = np.zeros(len(keys), dtype=np.int64)
+        starts[inner] = len(self.ids) + np.cumsum(length[inner]) - length[inner]
+        starts[own] = len(self.ids) + len(ids) + np.cumsum(length[own]) - length[own]
+        self.ids = np.concatenate([self.ids, ids, *raw])
+        first, further, more = runs(data, start, end)
+        at = np.searchsorted(self.known, keys)
+        for name, new in (("known", keys), ("start", starts), ("length", length), ("first", first), ("size", end - start), ("at", len(self.further) + np.cumsum(more) - more)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+        self.further = np.concatenate([self.further, further])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode("utf-8", "replace") for t in texts]
@@ -82,32 +96,60 @@ class Encoder:
         stops = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1) - 1  # the space behind each text
         inside = risky[~np.isin(risky, stops)]
         whole = set(np.searchsorted(stops, inside).tolist())
-        out: list = [None] * len(texts)
-        if whole:
-            for i, ids in zip(sorted(whole), self._raw([texts[i] for i in sorted(whole)]), strict=True):
-                out[i] = ids
         rest = [i for i in range(len(texts)) if i not in whole]
+        out: list = [None] * len(texts)
         if rest:
             for i, ids in zip(rest, self._fast([raw[i] for i in rest]), strict=True):
                 out[i] = ids
+        whole = [i for i in range(len(texts)) if out[i] is None]
+        if whole:
+            for i, ids in zip(whole, self._raw([raw[i].decode() for i in whole]), strict=True):
+                out[i] = ids
+        return out
+
+    def _fast(self, raw: list[bytes]) -> list[np.ndarray | None]:
+        """The ids of each text, None where a piece has the key of another."""
+        joined = b" ".join([*raw, bytes(8)])
+        end = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+        start = np.concatenate([[0], end[:-1] + 1])
+        lead = np.zeros(len(start), dtype=bool)
+        begins = np.searchsorted(start, np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1) - 1, side="right")
+        begins = np.concatenate([[0], begins])  # the first piece of each text, and their number
+        lead[begins[:-1]] = True
+        ids, ends, wrong = [], [np.zeros(1, dtype=np.int64)], np.zeros(len(start), dtype=bool)
+        for w in range(0, len(start), WINDOW):
+            got, length, other = self._window(joined, start[w : w + WINDOW], end[w : w + WINDOW], lead[w : w + WINDOW])
+            ids.append(got)
+            ends.append(ends[-1][-1] + np.cumsum(length))
+            wrong[w : w + WINDOW] = other
+        cuts = np.concatenate(ends)[begins[1:-1]]
+        out: list = np.split(np.concatenate(ids), cuts)
+        for i in np.unique(np.searchsorted(begins, np.flatnonzero(wrong), side="right") - 1).tolist():
+            out[i] = None
         return out
 
-    def _fast(self, raw: list[bytes]) -> list[np.ndarray]:
-        joined = b" ".join([*raw, b""])
-        hashes, start, end, first = piece_hashes(joined, raw)
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+    def _window(self, joined: bytes, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some pieces, the number of each piece's, and whether its bytes are not those of the stored piece."""
+        size = end - start
+        first, further, more = runs(joined, start, end)
+        keys = np.where(size < 8, first | size.astype(np.uint64) << np.uint64(56), hashes_of(first, further, more, size) >> np.uint64(2) | _LONG) | lead * _FIRST
+        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > STORE_PIECES:
             self._empty()
         place = np.searchsorted(self.known, distinct)
         new = np.ones(len(distinct), dtype=bool) if not len(self.known) else self.known[np.minimum(place, len(self.known) - 1)] != distinct
         if new.any():
-            at = at[new]
-            self._learn(joined, hashes[at], start[at], end[at], first[at])
+            self._learn(joined, distinct[new], start[at[new]], end[at[new]], lead[at[new]])
             place = np.searchsorted(self.known, distinct)
-        where, length = self.start[place][back], self.length[place][back]
-        ids = self.ids[_ragged(where, length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([np.flatnonzero(first)[1:], [len(first)]])]
-        return np.split(ids, ends[:-1])
+        entry = place[back]
+        length = self.length[entry].astype(np.int64)
+        other = (self.first[entry] != first) | (self.size[entry] != size)
+        long = np.flatnonzero((more > 0) & ~other)
+        stored = self.further[ragged(self.at[entry[long]], more[long])]
+        mine = further if len(long) == np.count_nonzero(more) else further[ragged((np.cumsum(more) - more)[long], more[long])]
+        differs = np.flatnonzero(stored != mine)
+        other[long[np.searchsorted(np.cumsum(more[long]), differs, side="right")]] = True
+        return self.ids[ragged(self.start[entry], length)], length, other
 
 
 def text_slices(texts, chars: int = 1 << 20):

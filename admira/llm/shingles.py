@@ -1,4 +1,9 @@
-"""Hashes of words and word shingles for many texts at once, in numpy."""
+"""Hashes of words and word shingles for many texts at once, in numpy.
+
+A word is cut into runs of eight bytes; every run goes through a non-linear mixer together with its place, and the mixed
+runs are summed and mixed again with the word's length. No polynomial in the letters is left that chosen words could
+cancel, as patterns of repeated letters do in hashes modulo a power of two.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +13,10 @@ _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _gap = np.zeros(256, dtype=bool)
 _gap[[32, *range(9, 14)]] = True
-_lower = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_lower[65:91] += np.uint64(32)
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
+#: The lowest 0 to 8 bytes of a run.
+_bytes = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+#: Bytes that are cut into words at a time, about.
+WINDOW = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,53 +26,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 1 << 21)
-        base = np.full(size, _MULT, dtype=np.uint64)
-        base[0] = 1
-        _powers = np.multiply.accumulate(base)
-        base[1:] = pow(_MULT, -1, 1 << 64)
-        _inverse = np.multiply.accumulate(base)
-    return _powers, _inverse
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indices start[i] .. start[i] + length[i] - 1 of all i, one after another."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
+def runs(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first run of each word; the further runs of the words that have more, one after another; and how many each has.
+
+    ``data`` ends with eight bytes that belong to no word.
+    """
+    view = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    size = end - start
+    first = view[start] & _bytes[np.minimum(size, 8)]
+    more = np.maximum((size + 7 >> 3) - 1, 0)
+    long = np.flatnonzero(more)
+    n = more[long]
+    at = np.repeat(start[long], n) + 8 * (ragged(np.zeros(len(n), dtype=np.int64), n) + 1)
+    return first, view[at] & _bytes[np.minimum(np.repeat(end[long], n) - at, 8)], more
+
+
+def hashes_of(first: np.ndarray, further: np.ndarray, more: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words given as ``runs`` gives them."""
+    out = mix(first ^ mix(size.astype(np.uint64) + np.uint64(_MULT)))
+    long = np.flatnonzero(more)
+    if len(long):
+        n = more[long]
+        place = ragged(np.ones(len(n), dtype=np.int64), n).astype(np.uint64)
+        begins = np.cumsum(n) - n
+        out[long] = mix(out[long] + np.add.reduceat(mix(further ^ mix(place * np.uint64(_MULT))), begins))
+    return out
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased, and the number of words of each text."""
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    edges = np.flatnonzero(np.diff(_gap[data], prepend=True))
-    start, end = edges[0::2], edges[1::2]
-    power, inverse = _tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_lower[data] * power[: len(data)], out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    stops = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
-    return hashes, np.diff(np.searchsorted(start, stops), prepend=0)
-
-
-def piece_hashes(joined: bytes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of the pieces between spaces of ``joined``, the texts with a space behind each; and whether a
-    piece is the first of its text."""
-    data = np.frombuffer(joined, dtype=np.uint8)
-    end = np.flatnonzero(data == 32)
-    start = np.concatenate([[0], end[:-1] + 1])
-    power, inverse = _tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    first = np.zeros(len(start), dtype=bool)
     stops = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
-    first[np.searchsorted(start, np.concatenate([[0], stops[:-1]]))] = True
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + first.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), start, end, first
+    joined = b" ".join(texts).lower() + b" "
+    parts, before, lo = [np.empty(0, dtype=np.uint64)], np.zeros(len(texts), dtype=np.int64), 0
+    made = 0
+    while lo < len(joined):
+        hi = joined.rfind(b" ", lo, lo + WINDOW) + 1 or joined.find(b" ", lo) + 1
+        part = joined[lo:hi] + bytes(8)
+        edges = np.flatnonzero(np.diff(_gap[np.frombuffer(part, dtype=np.uint8, count=hi - lo)], prepend=True))
+        start, end = edges[0::2], edges[1::2]
+        first, further, more = runs(part, start, end)
+        parts.append(hashes_of(first, further, more, end - start))
+        a, b = np.searchsorted(stops, [lo, hi], side="right")
+        before[a:b] = made + np.searchsorted(start, stops[a:b] - lo)
+        made, lo = made + len(start), hi
+    return np.concatenate(parts), np.diff(before, prepend=0)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """The sorted distinct shingles of ``k`` words of each text; of fewer words, their whole sequence as one."""
     hashes, counts = words(texts)
-    padded = np.concatenate([hashes, np.zeros(k, dtype=np.uint64)])
-    rolled = np.zeros(len(hashes), dtype=np.uint64)
+    rolled = np.zeros(max(len(hashes) - k + 1, 0), dtype=np.uint64)
     for j in range(k):
-        rolled += padded[j : j + len(hashes)] * np.uint64((_MULT * (2 * j + 3) | 1) & _MASK)
+        rolled += hashes[j : j + len(rolled)] * np.uint64((_MULT * (2 * j + 3) | 1) & _MASK)
     rolled = mix(rolled)
     out, at = [], 0
     for n in counts.tolist():

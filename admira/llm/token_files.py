@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 
 from . import range_coder
 from .common import bounded
-from .encode import Encoder, text_slices
+from .encode import encoder, text_slices
 
 #: Ids of a chunk, about: some MB in a task, and blocks enough to be coded side by side.
 CHUNK = 1 << 22
@@ -34,7 +34,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
     schema = "part int, chunk int, n_ids long, doc_ids array<bigint>, counts array<bigint>, data binary"
 
     def run(batches):
-        encoder, part, chunk = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, chunk = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, names, total = [], [], 0
 
         def row():
@@ -46,7 +46,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_slices(texts, 1 << 21):
-                for i, got in enumerate(encoder.encode(texts[a:b]), a):
+                for i, got in enumerate(coder.encode(texts[a:b]), a):
                     held.append(np.append(got, np.uint32(end_id)))
                     names.append(ids[i])
                     total += len(held[-1])
