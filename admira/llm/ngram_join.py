@@ -1,20 +1,21 @@
 """N-gram Jaccard join by a token-group matrix: documents whose shingle sets overlap enough, as classes.
 
-1. A pass over the texts makes each document's set of ``k``-word shingles, as 64-bit hashes, and the set's own 64-bit
-   hash, which names it; equal sets become one set. The pass also gives the shingles that repeat within a slice of
-   documents; the commonest of these (``HOT`` at most, so that they may be broadcast) sort last in the order of shingles,
-   all others by hash. Any order gives the same links; this one keeps shingles that many documents share out of the
-   prefixes.
+1. A pass over the texts makes each document's set of ``k``-word shingles, as 64-bit hashes, and two 64-bit hashes of the
+   set. The first names it; where sets of one name differ in the second, each is named by its second. Equal sets become
+   one set. The pass also gives the shingles that repeat within a slice of documents; the commonest of these (``HOT`` at
+   most, so that they may be broadcast) sort last in the order of shingles, all others by hash. Any order gives the same
+   links; this one keeps shingles that many documents share out of the prefixes.
 2. A second pass keeps of each set the first shingles in this order. Two sets whose Jaccard is at least the threshold
-   share enough of them. Only shingles that stand in two different sets stay, and only sets that share enough with others.
-3. Similar sets form groups, cut into blocks of about ``BLOCK`` sets: each set joins the leader it shares the most prefix
+   share enough of them. If more than ``MET`` prefixes still meet in a shingle, it joins the common ones and the pass runs
+   again. Only shingles that stand in two different sets stay, and only sets that share enough with others.
+3. Similar sets form groups, cut into blocks of about ``BLOCK`` sets and ``ITEMS`` shingles at most: each set joins the leader it shares the most prefix
    shingles with. Sets linked to their leader are united at once.
 4. Token-group matrix: (shingle, block) for the shingles of a block's members. A set's overlap with a block's union bounds
    its overlap with any member. Sets open only the blocks that reach the bound and hold other classes; an opened block is
    bounded again by the union of its whole sets before its members are compared exactly. Links unite classes.
 
 Every link between different texts is found in step 4, or lies within a class already, so the classes are exact (up to
-collisions of 64-bit hashes). No group is listed as pairs.
+random collisions of the 64-bit hashes of shingles). No group is listed as pairs.
 
 Defined results: null and wordless texts have an empty set, no links and themselves as class; a text of fewer than ``k``
 words has its whole sequence as its only shingle; repeated rows are copies and each returned; documents with a null
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import bounded, stage
 from .encode import text_slices
@@ -36,8 +38,10 @@ from .shingles import mix, shingle_sets
 HOT = 1 << 17
 #: Shared prefix shingles asked for, as a share of the smaller set in per cent. Prefixes are longer by as much.
 EXTRA = 5
-#: Sets of a block, and sets that are compared with a block in one task.
-BLOCK = 256
+#: Sets of a block, and sets that are compared with a block in one task; and their shingles together, 4 MB.
+BLOCK, ITEMS = 256, 1 << 19
+#: Prefixes that may meet in one shingle before it counts as common.
+MET = 4096
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -48,26 +52,33 @@ def _sets(batch: pa.RecordBatch, k: int):
     pa.default_memory_pool().release_unused()
 
 
-def _name(s: np.ndarray) -> int:
-    return int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """Two independent hashes of a set."""
+    return tuple(int(mix(s ^ np.uint64(c)).sum().view(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+
+
+def _name(s: np.ndarray, clashes: frozenset) -> int:
+    first, second = _names(s)
+    return second if first in clashes else first
 
 
 def _summary(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: a document, with the name and size of its set. kind 1: shingle c stands in n documents of a slice, n > 1."""
+    """kind 0: a document, with the names c and d and the size of its set. kind 1: shingle c is in n > 1 documents of a slice."""
 
     def run(batches):
         for batch in batches:
             for a, sets in _sets(batch, k):
-                names = np.array([_name(s) for s in sets], dtype=np.int64)
+                names = np.array([_names(s) for s in sets], dtype=np.int64)
                 n = np.array([len(s) for s in sets], dtype=np.int32)
                 common, count = np.unique(np.concatenate(sets), return_counts=True)
                 common, count = common[count > 1].view(np.int64), count[count > 1].astype(np.int32)
                 kind = np.repeat(np.array([0, 1], np.int8), [len(n), len(common)])
                 none = pa.nulls(len(common), pa.int64())
-                ids = [pa.concat_arrays([batch.column(c).slice(a, len(n)), none]) for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(kind), *ids, pa.array(np.concatenate([n, count])), pa.array(np.concatenate([names, common]))], names=["kind", "id", "key", "n", "c"])
+                ids = [pa.concat_arrays([batch.column(c).slice(a, len(n)), none]) for c in (0, 2, 3)]
+                c, d = np.concatenate([names[:, 0], common]), np.concatenate([names[:, 1], np.zeros(len(common), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), *ids, pa.array(np.concatenate([n, count])), pa.array(c), pa.array(d)], names=["kind", "id", "key", "th", "n", "c", "d"])
 
-    return docs.mapInArrow(run, "kind byte, id long, key long, n int, c long")
+    return docs.mapInArrow(run, "kind byte, id long, key long, th long, n int, c long, d long")
 
 
 def _need(n, percent: int):
@@ -75,7 +86,7 @@ def _need(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, extra: int, hot) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, percent: int, extra: int, hot, clashes: frozenset) -> DataFrame:
     def run(batches):
         common = hot.value
         for batch in batches:
@@ -92,7 +103,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, extra: int, hot) -> DataFra
                         tokens.append(np.concatenate([s[~last], s[last]])[:keep])
                     else:
                         tokens.append(s[:keep])
-                    names.append(_name(s))
+                    names.append(_name(s, clashes))
                     sizes.append(n)
                     counts.append(keep)
                 if tokens:
@@ -101,14 +112,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int, extra: int, hot) -> DataFra
     return docs.mapInArrow(run, "token long, c long, n int")
 
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
+def _full_sets(docs: DataFrame, k: int, clashes: frozenset) -> DataFrame:
     """(c, items) of documents (id, text, c), where the text has that set."""
 
     def run(batches):
         for batch in batches:
             for a, sets in _sets(batch, k):
                 names = batch.column(2).slice(a, len(sets)).to_pylist()
-                kept = [(c, s.tobytes()) for c, s in zip(names, sets, strict=True) if len(s) and _name(s) == c]
+                kept = [(c, s.tobytes()) for c, s in zip(names, sets, strict=True) if len(s) and _name(s, clashes) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], names=["c", "items"])
 
     return docs.mapInArrow(run, "c long, items binary")
@@ -135,12 +146,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return label
 
 
+def _parts():
+    """Into how many parts a group of sets (c, n) is cut."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ITEMS)).cast("int")
+
+
 def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between queries (c, g, comp) and members (c, g, comp) of the blocks they open.
+    """Links (a, b) between queries (c, n, g, comp) and members (c, g, comp) of the blocks they open.
 
     A task leaves out links between what its other links unite already, so it gives fewer links than it holds sets.
     """
-    parts = stage(queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts")
+    parts = stage(queries.groupBy("g").agg(_parts().alias("parts")), "parts")
     asked = queries.join(parts, "g").select("c", "g", "comp", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("q")).join(sets, "c")
     opened = members.join(parts, "g").select("c", "g", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).join(sets, "c")
 
@@ -181,21 +197,28 @@ def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: id, n (size of its set), component_id."""
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("key"))
+    """A row for each document: id, th (its text's hash), n (size of its set), component_id."""
+    th = F.xxhash64(F.col(text).cast("string"))
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), th).alias("key"), th.alias("th"))
     seen = stage(_summary(base, k), "summary")
-    common = seen.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).where("n > 4").orderBy(F.desc("n"), "c").limit(HOT)
-    hot = docs.sparkSession.sparkContext.broadcast(np.sort(common.select("c").toArrow()["c"].to_numpy().view(np.uint64)))
-    docs_of = seen.where("kind = 0").drop("kind")
-
-    rows = stage(_prefixes(base, k, percent, extra, hot), "prefixes")
-    shared = _repeated(rows)
+    alike = seen.where("kind = 0").groupBy("c").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo != hi").select("c")
+    clashes = frozenset(r.c for r in alike.collect())  # different sets of one 64-bit name: none below billions of sets
+    docs_of = seen.where("kind = 0").withColumn("c", F.when(F.col("c").isin(list(clashes)), F.col("d")).otherwise(F.col("c")) if clashes else F.col("c")).drop("kind", "d")
+
+    common = stage(seen.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).where("n > 4").orderBy(F.desc("n"), "c").limit(HOT), "common")
+    rows, several = _met(base, k, percent, extra, common, clashes)
+    met = several.where(F.col("count") > MET)
+    if not met.isEmpty():
+        more = met.select(F.col("token").alias("c"), F.col("count").alias("n"))
+        common = common.unionByName(more).groupBy("c").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "c").limit(HOT)
+        rows, several = _met(base, k, percent, extra, common, clashes)
+    shared = stage(rows.join(several.select("token"), "token"), "repeated")
     shared = stage(shared.groupBy("token", "c").agg(F.first("n").alias("n")), "shared")
     enough = F.col("k") > F.floor(F.floor(F.col("n") * percent / 100) * extra / 100)
     able = stage(shared.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(enough).select("c"), "able")
     shared = _repeated(stage(shared.join(bounded(able, able.count()), "c").select("token", "c", "n"), "able-rows"))
-    nodes = stage(shared.select("c").distinct(), "nodes")
-    sets = _load_sets(base, docs_of, nodes, k)
+    nodes = stage(shared.groupBy("c").agg(F.first("n").alias("n")), "nodes")
+    sets = _load_sets(base, docs_of, nodes, k, clashes)
 
     fits = (F.col("n") * percent <= F.col("l.n") * 100) & (F.col("l.n") * percent <= F.col("n") * 100)
     lead = stage(shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")).alias("l")), "leaders")
@@ -203,11 +226,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA,
     agree = near.groupBy("c", F.col("l.c").alias("g")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("n", "l.n")).alias("least"))
     picked = stage(agree.where(F.col("k") * 200 > F.col("least") * extra).groupBy("c").agg(F.max(F.struct("k", "g")).alias("b")).select("c", "b.g"), "picked")
     leaders = picked.select("g").distinct().select(F.col("g").alias("c"), "g", F.col("g").alias("comp"))
-    links = stage(_open(picked.withColumn("comp", F.col("c")), leaders, sets, percent), "links")
+    links = stage(_open(picked.join(nodes, "c").withColumn("comp", F.col("c")), leaders, sets, percent), "links")
     comp = components(nodes, links)
 
-    grouped = nodes.join(picked, "c", "left").select("c", F.coalesce("g", "c").alias("leader"))
-    blocks = stage(grouped.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m")), "blocks")
+    grouped = nodes.join(picked, "c", "left").select("c", "n", F.coalesce("g", "c").alias("leader"))
+    blocks = stage(grouped.groupBy("leader").agg(_parts().alias("m")), "blocks")
     block = F.xxhash64("leader", F.pmod(F.xxhash64("c", F.lit(1)), "m"))
     placed = stage(grouped.join(blocks, "leader").select("c", block.alias("g")).join(comp, "c"), "placed")
     likely = stage(_candidates(shared, placed, percent, extra), "likely")
@@ -219,8 +242,15 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA,
     placed = stage(first.join(comp, "c", "left").select("c", "first", F.coalesce("comp", "c").alias("comp")), "placed")
     lowest = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = stage(placed.join(lowest, "comp").select("c", "component_id"), "named")
-    out = docs_of.where("n > 0").join(named, "c").select("id", "key", "n", F.coalesce("component_id", "id").alias("component_id"))
-    return out.unionByName(docs_of.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id")))
+    out = docs_of.where("n > 0").join(named, "c").select("id", "th", "n", F.coalesce("component_id", "id").alias("component_id"))
+    return out.unionByName(docs_of.where("n = 0").select("id", "th", "n", F.col("id").alias("component_id")))
+
+
+def _met(base: DataFrame, k: int, percent: int, extra: int, common: DataFrame, clashes: frozenset) -> tuple[DataFrame, DataFrame]:
+    """The prefixes with the shingles of ``common`` last, and (token, count) of tokens that stand in more than one."""
+    hot = base.sparkSession.sparkContext.broadcast(np.sort(common.select("c").toArrow()["c"].to_numpy().view(np.uint64)))
+    rows = stage(_prefixes(base, k, percent, extra, hot, clashes), "prefixes")
+    return rows, stage(rows.groupBy("token").count().where("count > 1"), "tokens")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -236,14 +266,14 @@ def _candidates(shared: DataFrame, placed: DataFrame, percent: int, extra: int)
     matrix = stage(matrix, "matrix")
     fits = ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
     met = rows.join(matrix, "token").where(fits).groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("comp").alias("comp"), F.min("least").alias("least"))
-    return met.where(F.col("k") > F.floor(F.least("n", "least") * extra / 100)).select("c", F.col("b").alias("g"), "comp")
+    return met.where(F.col("k") > F.floor(F.least("n", "least") * extra / 100)).select("c", "n", F.col("b").alias("g"), "comp")
 
 
-def _load_sets(base: DataFrame, docs_of: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _load_sets(base: DataFrame, docs_of: DataFrame, wanted: DataFrame, k: int, clashes: frozenset) -> DataFrame:
     """(c, items) of the wanted sets, from the text of one document of each."""
     one = stage(docs_of.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("key").alias("one")), "one")
     texts = base.join(bounded(one, one.count()), F.col("key") == F.col("one")).select("id", "text", "c").dropDuplicates(["c", "text"])
-    return stage(_full_sets(texts, k), "sets")
+    return stage(_full_sets(texts, k, clashes), "sets")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,6 +282,22 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA, doc
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, extra: int = EXTRA, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents linked to one of smaller doc_id. Rows with a null doc_id, and empty ones, stay."""
-    gone = stage(classes(docs, k, percent, extra, doc_id, text).where("component_id < id").select(F.col("id").alias("__nj_id")).distinct(), "dropped")
-    return docs.join(bounded(gone, gone.count()), docs[doc_id] == F.col("__nj_id"), "left_anti")
+    """``docs`` without the documents linked to one of smaller doc_id, and with one row of those equal in doc_id and text.
+
+    Rows with a null doc_id, and texts without words, stay. Of equal rows the first in the order of all columns' text stays.
+    """
+    found = stage(classes(docs, k, percent, extra, doc_id, text).where("n > 0 AND id IS NOT NULL"), "classes")
+    keys = (F.col("id").alias("__nj_id"), F.col("th").alias("__nj_th"))
+    gone = stage(found.where("component_id < id").select(*keys).distinct(), "dropped")
+    mine = [docs[doc_id].cast("long") == F.col("__nj_id"), F.xxhash64(docs[text].cast("string")) == F.col("__nj_th")]
+    kept = docs.join(bounded(gone, gone.count()), mine, "left_anti")
+    twins = stage(found.groupBy("id", "th").count().where("count > 1").select(*keys), "twins")
+    n = twins.count()
+    if not n:
+        return kept
+    mine = [kept[doc_id].cast("long") == F.col("__nj_id"), F.xxhash64(kept[text].cast("string")) == F.col("__nj_th")]
+    order = W.partitionBy("__nj_i", "__nj_t").orderBy("__nj_all")  # rows equal in doc_id and text
+    alike = kept.join(bounded(twins, n), mine, "left_semi")
+    alike = alike.withColumns({"__nj_i": F.col(doc_id), "__nj_t": F.xxhash64(F.col(text).cast("string")), "__nj_all": F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))})
+    one = alike.withColumn("__nj_k", F.row_number().over(order)).where("__nj_k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.join(bounded(twins, n), mine, "left_anti").unionByName(one)
