@@ -12,20 +12,20 @@ is the share of n-grams that the winner explains, 0 to 1.
 Only letters count: a text is lower-cased, every run of other characters becomes one space, and n-grams of ``GRAM``
 characters include the spaces at word borders.
 
+Texts stay where they are read and go to Python by batches of rows, in slices of ``SLICE`` characters.
+
 Defined results: null texts and texts without letters are ``und`` with score 0; rows without a label are never learned
-from; with no labelled row at all everything is ``und``; repeated rows get equal answers; an empty table gives an empty
-result; other columns are ignored.
+from; a null doc_id is not held out; with no labelled row at all everything is ``und``; beyond ``LANGUAGES`` labels the
+commonest are learned; repeated rows get equal answers; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import stage
 from .encode import text_slices
@@ -43,6 +43,10 @@ HASHES = 3
 SHARE = 0.5
 #: Languages in one word of the filter.
 WORD_BITS = 62
+#: Labels that are learned at most: four words of bits, a filter of 32 MB.
+LANGUAGES = 4 * WORD_BITS
+#: Characters that are looked at in one go.
+SLICE = 1 << 18
 
 _letters: np.ndarray | None = None
 
@@ -77,17 +81,22 @@ def _places(g: np.ndarray) -> list[np.ndarray]:
     return [(mix(g + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))) & np.uint64(POSITIONS - 1)).astype(np.int64) for j in range(HASHES)]
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """The languages and the filter (POSITIONS x words), from a bounded sample of ``labelled``."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)).alias("h"))
-    held = stage(rows.groupBy("lang").count(), "labels")
-    langs = [r.lang for r in held.orderBy("lang").collect()]  # a row for each label
+def sample(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], DataFrame]:
+    """The languages, and (lang, text) of about ``TRAIN_DOCS`` documents of each."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 20)).alias("h"))
+    held = stage(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES), "labels")
     chosen = rows.join(F.broadcast(held), "lang").where(F.col("h") * F.col("count") < F.lit(TRAIN_DOCS) * F.lit(1 << 20)).select("lang", "text")
+    return sorted(r.lang for r in held.collect()), chosen  # LANGUAGES rows at most
+
+
+def tops(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> dict[str, np.ndarray]:
+    """Every language's n-grams, from the sample of ``labelled``."""
+    found, chosen = sample(labelled, lang, text, doc_id)
 
     def count(batches):
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE):
                 g, n = grams(texts[a:b])
                 of = np.repeat(np.arange(b - a), n)
                 for name in sorted(set(names[a:b])):
@@ -100,68 +109,115 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: s
     total = counted.groupBy("lang").agg(F.sum("n").alias("all"))
     rate = counted.where("n > 1").join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("all"))
     peak = rate.groupBy("gram").agg(F.max("rate").alias("peak"))
-    typical = stage(rate.join(peak, "gram").where(F.col("rate") >= SHARE * F.col("peak")).select("lang", "gram", "n"), "typical")
+    typical = rate.join(peak, "gram").where(F.col("rate") >= SHARE * F.col("peak"))
+    best = typical.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= TOP)
+    got = best.select("lang", "gram").toArrow()  # TOP rows a language at most
+    names, gram = np.array(got["lang"].to_pylist(), dtype=object), got["gram"].to_numpy().view(np.uint64)
+    return {name: gram[names == name] for name in found}
+
 
-    index = {name: i for i, name in enumerate(langs)}
+def bit_filter(of: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """The languages and the filter (POSITIONS x words)."""
+    langs = list(of)
     table = np.zeros((POSITIONS, max(1, -(-len(langs) // WORD_BITS))), dtype=np.uint64)
-    for name in langs:  # TOP rows each
-        top = typical.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(TOP).select("gram").toArrow()["gram"].to_numpy().view(np.uint64)
-        for place in _places(top):
-            table[place, index[name] // WORD_BITS] |= np.uint64(1 << index[name] % WORD_BITS)
+    for i, name in enumerate(langs):
+        for place in _places(of[name]):
+            table[place, i // WORD_BITS] |= np.uint64(1 << i % WORD_BITS)
     return langs, table
 
 
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    return bit_filter(tops(labelled, lang, text, doc_id))
+
+
+def _judge(texts: list, langs: list[str], table: np.ndarray, false: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    g, n = grams(texts)
+    places = _places(g)
+    found = table[places[0]]
+    for place in places[1:]:
+        found &= table[place]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    hits = np.zeros((len(langs), len(texts)))
+    for i in range(len(langs)):
+        running = np.concatenate([[0], np.cumsum((found[:, i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1)).astype(np.int32))])
+        hits[i] = running[ends[1:]] - running[ends[:-1]]
+    has = np.array([m > 0 or any(map(str.isalpha, t)) for m, t in zip(n.tolist(), texts, strict=True)], dtype=bool)
+    if not langs:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    true = np.maximum((hits - n * false[:, None]) / (1 - false[:, None]), 0)
+    best, share = true.argmax(axis=0), np.clip(true.max(axis=0) / np.maximum(n, 1), 0, 1)
+    return [langs[i] if ok else "und" for i, ok in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, share, 0)
+
+
+def _judged(model):
+    """A function from a batch's texts to languages and scores; the filter, of fixed size, is broadcast."""
+
+    def run(batches, column: int):
+        langs, table = model.value
+        fill = [np.count_nonzero(table[:, i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1)) / POSITIONS for i in range(len(langs))]
+        false = np.array([f**HASHES for f in fill])
+        for batch in batches:
+            col, at = batch.column(column), 0
+            names, scores = [], [np.empty(0)]
+            while at < len(batch):  # some hundred rows are Python objects at a time
+                texts = [t or "" for t in col.slice(at, 256).to_pylist()]
+                for a, b in text_slices(texts, SLICE):
+                    name, score = _judge(texts[a:b], langs, table, false)
+                    names += name
+                    scores.append(score)
+                at += 256
+            yield batch, names, np.concatenate(scores)
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every document."""
-    return docs.select(F.col(doc_id), F.col(text).cast("string").alias("text")).withColumn("p", predictor(docs, model)(F.col("text"))).select(doc_id, F.col("p.lang_pred").alias("lang_pred"), F.col("p.score").alias("score"))
-
+    judged = _judged(docs.sparkSession.sparkContext.broadcast(model))
 
-def predictor(docs: DataFrame, model: tuple[list[str], np.ndarray]):
-    """A column function text -> struct(lang_pred, score); the filter, of fixed size, is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def run(batches):
+        for batch, names, scores in judged(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"])
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, table = shared.value
-        fill = [np.count_nonzero(table[:, i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1)) / POSITIONS for i in range(len(langs))]
-        false = np.array([f**HASHES for f in fill])
-        for series in texts:
-            values = [t if isinstance(t, str) else "" for t in series]
-            names, scores = [], []
-            for a, b in text_slices(values):
-                g, n = grams(values[a:b])
-                places = _places(g)
-                found = table[places[0]]
-                for place in places[1:]:
-                    found &= table[place]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                hits = np.zeros((len(langs), b - a))
-                for i in range(len(langs)):
-                    running = np.concatenate([[0], np.cumsum(found[:, i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1))])
-                    hits[i] = (running[ends[1:]] - running[ends[:-1]]).astype(float)
-                if len(langs):
-                    true = np.maximum((hits - n * false[:, None]) / (1 - false[:, None]), 0)
-                    best = true.argmax(axis=0)
-                    share = np.clip(true.max(axis=0) / np.maximum(n, 1), 0, 1)
-                has = [any(map(str.isalpha, values[a + k])) if m == 0 else True for k, m in enumerate(n.tolist())]
-                names += [langs[best[k]] if ok and langs else "und" for k, ok in enumerate(has)]
-                scores += [float(share[k]) if ok and langs else 0.0 for k, ok in enumerate(has)]
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
-
-    return F.pandas_udf(run, "lang_pred string, score double")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", doc_id)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents that are not held out."""
-    model = train(docs.where(~F.coalesce(held_out(doc_id), F.lit(True))), lang, text, doc_id)
-    return predict(docs, model, doc_id, text).select(doc_id, F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    model = train(docs.where(~held_out(doc_id)), lang, text, doc_id)
+    return predict(docs, model, doc_id, text).select(doc_id, held_out(doc_id).alias("held_out"), "lang_pred", "score")
+
+
+def cuts(docs: DataFrame, model: tuple[list[str], np.ndarray], most: float, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> dict[str, float]:
+    """The least score that a language's documents may have: half of what all but one in a hundred of its sample
+    reach, ``most`` at most. So a language of which the filter holds a small part only, or with few labels, keeps its texts.
+    """
+    _, labelled = sample(docs, lang, text, doc_id)
+    scored = predict(labelled, model, "lang", "text").where("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("score", 0.01).alias("low"))
+    low = {r.lang: r.low for r in scored.collect()}  # a row for each learned language
+    return {name: min(most, low.get(name, 0.0) / 2) for name in model[0]}
+
+
+def keep_language(docs: DataFrame, most: float = 0.2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the documents that are in no learned language: no letters, or a score below the language's cut.
+
+    The model learns from all labelled rows.
+    """
+    model = train(docs, lang, text, doc_id)
+    least = cuts(docs, model, most, lang, text, doc_id)
+    judged = _judged(docs.sparkSession.sparkContext.broadcast(model))
+    column = docs.columns.index(text)
 
+    def run(batches):
+        for batch, names, scores in judged(batches, column):
+            yield batch.filter(pa.array([name in least and score >= least[name] for name, score in zip(names, scores.tolist(), strict=True)], pa.bool_()))
 
-def keep_language(docs: DataFrame, least: float = 0.2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the documents that are in no learned language: no letters, or a score below ``least``."""
-    model = train(docs.where(~F.coalesce(held_out(doc_id), F.lit(True))), lang, text, doc_id)
-    kept = docs.withColumn("__li", predictor(docs, model)(F.col(text).cast("string")))
-    return kept.where((F.col("__li.lang_pred") != "und") & (F.col("__li.score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.mapInArrow(run, docs.schema)
