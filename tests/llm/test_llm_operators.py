@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -224,25 +225,38 @@ def test_chat_windows(spark, sf_dir):
 # 6 scores
 
 
-@pytest.mark.parametrize(("top", "hot", "bucket"), [(1 << 20, 16, 1 << 21), (4, 2, 3), (2, 1, 5), (6, 100, 1)])
-def test_lm_scores_against_counts(spark, monkeypatch, top, hot, bucket):
+def brute_scores(docs, order, backoff=0.4):
+    c, d = Counter(), Counter()
+    marked = [["^", *x] if x else [] for x in docs]
+    for y in marked:
+        grams = [tuple(y[i : i + k]) for k in (1, 2, 3) for i in range(len(y) - k + 1)]
+        c.update(grams)
+        d.update(set(grams))
+    out = []
+    for y in marked:
+        total = 0.0
+        for i in range(1, len(y)):
+            grams = [(k, tuple(y[i - k + 1 : i + 1])) for k in range(order, 1, -1) if i - k + 1 >= 0]
+            k, g = next(((k, g) for k, g in grams if d[g] > 1), (1, (y[i],)))
+            total += np.log(backoff ** (order - k) * c[g] / (c[g[:-1]] if k > 1 else sum(map(len, docs))))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize(("top", "hot", "order"), [(1 << 20, 8, 2), (1 << 20, 8, 3), (6, 2, 3), (4, 1, 2), (4, 1, 3), (3, 100, 3)])
+def test_lm_scores_against_counts(spark, monkeypatch, top, hot, order):
     monkeypatch.setattr(lm_scoring, "TOP_WORDS", top)
     monkeypatch.setattr(lm_scoring, "HOT_IN_SLICE", hot)
-    monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
     rng = random.Random(6)
-    texts = ["a b a b c", "a b", None, "", "A B d", "e"] + [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 12))) for _ in range(30)]
-    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts)).collect()}
+    texts = ["a b a b c", "a b", None, "", "A B d", "e", "a b a b c", "q r s t", "q r s t u"] + [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 12))) for _ in range(30)]
+    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), order=order).collect()}
     docs = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
-    from collections import Counter
-
-    c1 = Counter(w for d in docs for w in d)
-    c2 = Counter(p for d in docs for p in zip(["^", *d], d, strict=False))
-    c1["^"], n = sum(bool(d) for d in docs), sum(map(len, docs))
-    for i, d in enumerate(docs):
-        s = [np.log(c2[v, w] / c1[v]) if c2[v, w] >= 2 else np.log(0.4 * c1[w] / n) for v, w in zip(["^", *d], d, strict=False)]
-        assert got[i].n_words == len(d)
-        assert got[i].log_score is None if not d else abs(got[i].log_score - sum(s)) < 1e-3
+    for i, want in enumerate(brute_scores(docs, order)):
+        assert got[i].n_words == len(docs[i])
+        assert got[i].log_score is None if not docs[i] else abs(got[i].log_score - want) < 1e-3
     assert lm_scoring.score(frame(spark, [])).count() == 0
+    same = lm_scoring.score(frame(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, None)]), order=2).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.log_score) for r in same) == [("1", 2, 0.0), ("1", 2, 0.0), ("2", 0, None), ("None", 2, 0.0)]
 
 
 # 7 languages
