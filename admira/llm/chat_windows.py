@@ -1,15 +1,21 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-Turns get token counts and their prefix sums. Spans of whole turns are chosen so that a span's tokens, a difference of two
-prefix sums, fit the budget left by the system turn and the history. Each span makes one window: the system turn (kept in
-every window), the last turns before the span as far as ``turns`` and ``tokens`` of history allow, then the span itself.
-The loss mask covers the assistant texts of the span alone: a target repeated as history is masked out, so every assistant
-text is learned once.
+Turns get token counts and their prefix sums within the conversation; turns are dealt by ranges of their order, so that a
+long conversation is spread over tasks. Spans of whole turns are chosen so that a span's tokens, a difference of two prefix
+sums, fit the budget left by the system turn and the history. Each span makes one window: the system turn (kept in every
+window), the last turns before the span as far as ``turns`` and ``tokens`` of history allow, then the span itself. The loss
+mask covers the assistant texts of the span alone: a target repeated as history is masked out, so every assistant text is
+learned once.
+
+Spans are chosen in segments of ``SEGMENT`` turns, which bounds what a row holds: a conversation of any length is many rows
+until ``digest`` joins its texts, in one row, for their checksum.
 
 Template: ``<s>``, then each turn as ``[INST]role`` newline ``text[/INST]``, an assistant's as ``[ANS]text[/ANS]</s>``.
 In texts and roles a backslash is doubled and a control string gets a backslash behind its first character, which
 ``unescape`` takes back.
 
+Tokens are an estimate, a quarter of the bytes, unless ``tokens`` names another column function.
+
 Defined results: null texts and roles are empty; turns go by (turn, role, text), null turns first; a first turn of role
 ``system`` is the system turn; repeated rows are turns of their own; a turn above the budget is a span alone; a null
 conv_id is one conversation; an empty table gives an empty result; other columns are ignored.
@@ -19,11 +25,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .common import bounded, running, stage
 
 #: The control strings of the template; each has a form with and without the slash.
 _CONTROL = r"(<|\[)(?=/?s>|/?INST\]|/?ANS\])"
 _HEAD, _ANSWER_TAIL = "<s>", "[/ANS]</s>"
+#: Turns of a segment: the spans of a segment are chosen in one row.
+SEGMENT = 64
 
 
 def escape(text: Column) -> Column:
@@ -39,43 +48,60 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long") + 1
 
 
+def _formatted() -> Column:
+    role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n"))
+    plain = F.concat(F.lit("[INST]"), role, F.lit("\n"), escape(F.col("text")), F.lit("[/INST]"))
+    return F.when(F.col("role") == "assistant", F.concat(F.lit("[ANS]"), escape(F.col("text")), F.lit(_ANSWER_TAIL))).otherwise(plain)
+
+
 def windows(turns: DataFrame, budget: int = 512, history_turns: int = 2, history_tokens: int = 96, tokens=token_estimate) -> DataFrame:
     """A row for each window: conv_id, window, n_context, n_new, formatted, loss (array of start and length from 0).
 
-    ``n_context`` turns at the front of a window are repeated from earlier ones.
+    ``window`` is the number of the span's first turn. ``n_context`` turns at the front are repeated from earlier windows.
     """
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = turns.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), role.alias("role"), text.alias("text"))
-    answer = F.col("role") == "assistant"
-    plain = F.concat(F.lit("[INST]"), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"), escape(F.col("text")), F.lit("[/INST]"))
-    rows = rows.withColumn("f", F.when(answer, F.concat(F.lit("[ANS]"), escape(F.col("text")), F.lit(_ANSWER_TAIL))).otherwise(plain))
-    rows = rows.withColumns({"tok": tokens(F.col("text")), "len": F.length("f").cast("long")})
-    order = W.partitionBy("c").orderBy("t", "role", "text")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({"i": F.row_number().over(order) - 1, "sum": F.sum("tok").over(upto), "off": F.sum("len").over(upto)})
-    turn = F.struct("i", F.col("role").alias("role"), "f", "len", (F.col("sum") - F.col("tok")).alias("before"), "sum", (F.col("off") - F.col("len")).alias("off"))
-    conv = rows.groupBy("c").agg(F.sort_array(F.collect_list(turn)).alias("ts"))
-
-    system = F.col("ts")[0]["role"] == "system"
-    conv = conv.withColumns({"sys": F.when(system, 1).otherwise(0), "n": F.size("ts")})
-    room = F.lit(budget) - F.lit(history_tokens) - F.when(system, F.col("ts")[0]["sum"]).otherwise(F.lit(0))
+    rows = rows.withColumns({"tok": tokens(F.col("text")), "len": F.length(_formatted()).cast("long")})
+    order = [F.col("c").asc_nulls_first(), F.col("t").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()]
+    rows = running(rows, order, {"before": "tok", "off": "len"})
+
+    convs = stage(rows.groupBy(F.col("c").alias("o")).agg(F.min("__row").alias("row0"), F.min("before").alias("before0")), "conversations")
+    n = convs.count()
+    rows = rows.join(bounded(convs, n), F.col("c").eqNullSafe(F.col("o"))).withColumns({"i": F.col("__row") - F.col("row0"), "before": F.col("before") - F.col("before0")})
+    turn = F.struct("i", F.col("role").alias("role"), _formatted().alias("f"), "len", "before", "tok", "off")
+    opening = F.when((F.col("i") == 0) & (F.col("role") == "system"), turn)
+    place = F.floor(F.col("i") / SEGMENT)
+    late = F.col("i") % SEGMENT >= SEGMENT - history_turns  # the next segment's first spans may repeat these turns
+    own = rows.select("c", turn.alias("turn"), F.explode(F.when(late, F.array(place, place + 1)).otherwise(F.array(place))).alias("g"))
+    segments = own.groupBy("c", "g").agg(F.sort_array(F.collect_list("turn")).alias("ts"))  # SEGMENT + history_turns turns at most
+    systems = rows.where(opening.isNotNull()).select(F.col("c").alias("o"), opening.alias("sys"))
+    segments = segments.join(bounded(systems, n), F.col("c").eqNullSafe(F.col("o")), "left")
+
+    lo = F.col("g") * SEGMENT
+    segments = segments.withColumn("k", F.size(F.filter("ts", lambda t: t["i"] < lo))).where(F.col("k") < F.size("ts"))
+    segments = segments.withColumn("room", F.lit(budget) - F.lit(history_tokens) - F.coalesce(F.col("sys.tok"), F.lit(0)))
 
     def grow(acc: Column, t: Column) -> Column:
         room_now = F.when(acc["base"] == 0, F.lit(budget)).otherwise(F.col("room"))
-        new = F.struct(F.concat(acc["starts"], F.array(t["i"])).alias("starts"), t["before"].alias("base"))
-        return F.when((t["i"] > 0) & (t["sum"] - acc["base"] > room_now), new).otherwise(acc)
-
-    first = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("base"))
-    conv = conv.withColumn("room", room).withColumn("starts", F.aggregate("ts", first, grow)["starts"])
-    spans = conv.select("*", F.posexplode("starts").alias("window", "s")).withColumn("e", F.coalesce(F.try_element_at("starts", F.col("window") + 2), F.col("n")))
-    at = F.get("ts", F.col("s"))
-    low = F.greatest(F.col("sys"), F.col("s") - history_turns)
-    past = F.when(F.col("s") > low, F.slice("ts", low + 1, F.col("s") - low)).otherwise(F.slice("ts", 1, 0))
-    spans = spans.withColumn("past", F.filter(past, lambda t: at["before"] - t["before"] <= history_tokens))
-    head = F.when((F.col("window") > 0) & (F.col("sys") == 1), F.slice("ts", 1, 1)).otherwise(F.slice("ts", 1, 0))
-    spans = spans.withColumns({"context": F.concat(head, "past"), "new": F.slice("ts", F.col("s") + 1, F.col("e") - F.col("s"))})
+        new = F.struct(F.concat(acc["starts"], F.array(acc["at"])).alias("starts"), t["before"].alias("base"), (acc["at"] + 1).alias("at"))
+        same = F.struct(acc["starts"].alias("starts"), acc["base"].alias("base"), (acc["at"] + 1).alias("at"))
+        return F.when(t["before"] + t["tok"] - acc["base"] > room_now, new).otherwise(same)
+
+    start = F.struct(F.array(F.col("k")).alias("starts"), F.get("ts", F.col("k"))["before"].alias("base"), (F.col("k") + 1).alias("at"))
+    starts = F.aggregate(F.slice("ts", F.col("k") + 2, F.size("ts")), start, grow)["starts"]
+    segments = segments.withColumn("starts", starts)
+
+    def span(s: Column, j: Column) -> Column:
+        first = F.get("ts", s)
+        low = F.greatest(F.lit(0), s - history_turns)
+        past = F.filter(F.slice("ts", low + 1, s - low), lambda t: (first["before"] - t["before"] <= history_tokens) & ((t["i"] > 0) | F.col("sys").isNull()))
+        head = F.when((first["i"] > 0) & F.col("sys").isNotNull(), F.array("sys")).otherwise(F.slice("ts", 1, 0))
+        end = F.coalesce(F.get("starts", j + 1), F.size("ts"))
+        return F.struct(F.concat(head, past).alias("context"), F.slice("ts", s + 1, end - s).alias("new"))
+
+    spans = segments.select("c", F.explode(F.transform("starts", span)).alias("s")).select("c", "s.context", "s.new")
     ahead = F.aggregate("context", F.lit(len(_HEAD)).cast("long"), lambda a, t: a + t["len"])
-    spans = spans.withColumn("ahead", ahead).withColumn("from", at["off"])
+    spans = spans.withColumns({"ahead": ahead, "window": F.get("new", F.lit(0))["i"], "from": F.get("new", F.lit(0))["off"]})
     mark = len("[ANS]")
     loss = F.transform(
         F.filter("new", lambda t: t["role"] == "assistant"),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from admira.llm import best_fit, chat_windows, gif_media, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, queries, range_coder, token_files
+from admira.llm import best_fit, chat_windows, encode, gif_media, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, queries, range_coder, shingles, token_files
 from admira.llm.encode import Encoder
 from admira.llm.shingles import shingle_sets
 
@@ -129,6 +129,46 @@ def test_encoder_equals_the_library():
         assert [x.tolist() for x in encoder.encode(texts)] == plain_ids(texts)
 
 
+def thue_morse(n, a, b):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_words_whose_polynomials_are_equal():
+    """A Thue-Morse word and its complement are one to every polynomial hash modulo a power of two."""
+    coder = Encoder(queries.tokenizer_path())
+    for n in (1024, 2048):
+        w, v = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+        texts = [w, v, f"x {w}", f"x {v}"]
+        assert [x.tolist() for x in coder.encode(texts)] == plain_ids(texts)
+        first, second = shingle_sets([w.encode(), v.encode()], 3)
+        assert first[0] != second[0]
+
+
+def test_encoder_compares_bytes_where_keys_clash(monkeypatch):
+    monkeypatch.setattr(encode, "hashes_of", lambda first, further, more, size: np.full(len(first), 7 << 20, dtype=np.uint64))
+    coder = Encoder(queries.tokenizer_path())
+    texts = ["hello abcdefghij abcdefghik done", "abcdefghik x", "y abcdefghijklmnopqrs z abcdefghijklmnopqrt", "short words only", "abcdefgh"]
+    for order in (1, -1):
+        assert [x.tolist() for x in coder.encode(texts[::order])] == plain_ids(texts[::order])
+
+
+def test_encoder_windows(monkeypatch):
+    monkeypatch.setattr(encode, "WINDOW", 5)
+    texts = ["a b c d e f g h i", "", "word " * 30 + "end", " lead", "x"]
+    assert [x.tolist() for x in Encoder(queries.tokenizer_path()).encode(texts)] == plain_ids(texts)
+
+
+def test_word_windows(monkeypatch):
+    texts = [b"Ab c  dd\teee", b"", b"x" * 40 + b" y", b"  ", b"q w e r t y u i o p"]
+    hashes, counts = shingles.words(texts)
+    monkeypatch.setattr(shingles, "WINDOW", 7)
+    again, same = shingles.words(texts)
+    assert hashes.tolist() == again.tolist() and counts.tolist() == same.tolist() == [4, 0, 2, 0, 10]
+
+
 def test_best_fit_takes_the_tightest_bin():
     rng = random.Random(3)
     lengths = sorted((rng.randint(1, 64) for _ in range(400)), reverse=True)
@@ -222,6 +262,49 @@ def test_chat_windows(spark, sf_dir):
     assert chat_windows.digest(chat_windows.windows(df.limit(0))).count() == 0
 
 
+def brute_windows(turns, budget, history_turns, history_tokens, segment):
+    """(window, turns repeated, turns of its own, positions under the mask) of a conversation [(role, text)]."""
+    tok = [-(-len(x.encode()) // 4) + 1 for _, x in turns]
+    system = turns[0][0] == "system"
+    room = budget - history_tokens - (tok[0] if system else 0)
+    starts, held = [], 0
+    for i, n in enumerate(tok):
+        if i % segment == 0 or held + n > (budget if starts[-1] == 0 else room):
+            starts.append(i)
+            held = 0
+        held += n
+    out = []
+    for s, e in zip(starts, [*starts[1:], len(turns)], strict=True):
+        past = [j for j in range(max(0, s - history_turns), s) if not (j == 0 and system) and sum(tok[j:s]) <= history_tokens]
+        context = ([0] if s and system else []) + past
+        out.append((s, [turns[j] for j in context], turns[s:e]))
+    return out
+
+
+def test_chat_windows_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(chat_windows, "SEGMENT", 8)
+    rng = random.Random(55)
+    convs = {c: [(("system" if c % 2 and t == 0 else rng.choice(["user", "assistant"])), "x" * rng.choice([0, 3, 40, 90, 400, 900]) + "[/INST]") for t in range(rng.randint(1, 40))] for c in range(12)}
+    df = spark.createDataFrame([(c, t, r, x) for c, turns in convs.items() for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    made = chat_windows.windows(df, budget=200, history_turns=2, history_tokens=60)
+    read = made.select("conv_id", "window", "n_context", "n_new", "loss", "formatted", chat_windows.read_turns(F.col("formatted")).alias("turns"), chat_windows.learned(F.col("formatted"), F.col("loss")).alias("learned"))
+    got = {}
+    for r in read.collect():
+        turns = [(t.role, t.text) for t in r.turns]
+        got.setdefault(r.conv_id, []).append((r.window, turns[: r.n_context], turns[r.n_context :]))
+        assert r.learned == [x for role, x in turns[r.n_context :] if role == "assistant"] and len(turns) == r.n_context + r.n_new
+    for c, turns in convs.items():
+        assert sorted(got[c]) == brute_windows(turns, 200, 2, 60, 8)
+
+
+def test_long_conversation(spark):
+    n = 3000
+    df = spark.range(n).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 130)).alias("text"))
+    r = chat_windows.digest(chat_windows.windows(df)).first()
+    target = "".join(f"{i}{' word' * 130}" for i in range(1, n, 2))
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (n, len(target), hashlib.sha256(target.encode()).hexdigest())
+
+
 # 6 scores
 
 
@@ -399,6 +482,23 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, k, percent):
     assert sorted(map(tuple, got)) == brute_join(rows, k, percent)
 
 
+def test_sets_of_one_name(spark, monkeypatch):
+    """Sets with equal first names are told apart by their second, and equal ones stay together."""
+    names = ngram_join._names
+    monkeypatch.setattr(ngram_join, "_name", lambda s, clashes: names(s)[1] if 5 in clashes else 5)
+    monkeypatch.setattr(ngram_join, "_names", lambda s: (5, names(s)[1]))
+    rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, "a b c d e f"), (4, "m n o p q r s")]
+    got = ngram_join.join(frame(spark, rows), k=3, percent=90).collect()
+    assert sorted(map(tuple, got)) == brute_join(rows, 3, 90)
+
+
+def test_keep_one_matches_id_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [(1, long), (5, long + " tail"), (5, "quite another text"), (9, "twice here"), (9, "twice here")])
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, long), (5, "quite another text"), (9, "twice here")]
+
+
 def test_jaccard_join_edges(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
     long = " ".join(f"w{i}" for i in range(60))
