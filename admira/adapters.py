@@ -76,7 +76,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CITY = "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
 ENTITIES = f"""
-courses AS (SELECT l_suppkey, list_sort(list_distinct(list(p_type || ' ' || p_name))) AS courses FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 100 = 0 GROUP BY l_suppkey),
+courses AS (SELECT l_suppkey, list_sort(list_distinct(list(p_type || ' ' || p_name))) AS courses FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey),
 entities AS (SELECT s_suppkey AS id, s_name AS name, coalesce(n_name, '') AS city, coalesce(r_name, '') AS province,
   CASE WHEN s_suppkey % 10 <> 0 THEN CAST(floor(abs(s_acctbal) * 20) AS INTEGER) END AS fee_amount,
   ['per_semester', 'per_credit_hour', 'per_year'][s_suppkey % 3 + 1] AS fee_period,

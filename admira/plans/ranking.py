@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import ENTITIES, FIELDS, PROFILES, entities, profiles, table
+from ..adapters import ENTITIES, PROFILES, entities, profiles, table
 from ..functions.geo import haversine_km, tokens, tokens_contained
 from ..operators import rank as R
 from ..operators.rank import candidate_pairs
@@ -139,7 +139,7 @@ _TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
 
 @query("j7_geocode", f"""WITH g AS (SELECT p_partkey AS pos, lower(p_name) AS g, p_size / 1.0::DOUBLE AS latitude, p_retailprice AS longitude, {_TOK.format('p_name')} AS gt FROM part),
-a AS (SELECT area, lower(trim(area)) AS k, {_TOK.format('area')} AS t FROM (SELECT DISTINCT p_type AS area FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 7 = 0)),
+a AS (SELECT area, lower(trim(area)) AS k, {_TOK.format('area')} AS t FROM (SELECT DISTINCT p_type AS area FROM part UNION SELECT DISTINCT p_name FROM part)),
 m AS (SELECT area, latitude, longitude, row_number() OVER (PARTITION BY area ORDER BY CASE WHEN k = g THEN 0 ELSE 1 END, len(gt) DESC, pos) AS r FROM a JOIN g ON k = g OR (len(t) > 0 AND len(gt) > 0 AND (list_has_all(t, gt) OR list_has_all(gt, t))))
 SELECT a.area, latitude, longitude FROM a LEFT JOIN (SELECT * FROM m WHERE r = 1) m ON a.area = m.area""")
 def geocode(spark, d):
@@ -173,5 +173,3 @@ def markdown(spark, d):
 
     return recommendations_markdown(_ranked(spark, d), profiles(spark, d))
 
-
-assert len(FIELDS) == 6

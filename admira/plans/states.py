@@ -161,15 +161,13 @@ def _records(spark, d):
     return _chunks_of(spark, d).select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("stem"), F.col("source").alias("university"), F.col("lang").alias("location"), F.lit("p").alias("province"), (F.col("doc_id") % 2 == 0).alias("is_public"), F.array(F.col("source")).alias("source_pages"), lines.alias("eligibility_criteria"), lines.alias("test_pattern"), lines.alias("scholarships"), F.array("lang").alias("offered_courses"), F.struct(F.array(fee["f"]).alias("fees")).alias("fee_structure"), F.array().cast("array<string>").alias("hostel_info"))
 
 
-@query("c4_build_chunks", "SELECT 'r' || doc_id || '_offered_courses_0' AS chunk_id, 'offered_courses' AS category, '[University: ' || source || ' | Category: offered_courses] ' || lang AS text FROM documents UNION ALL SELECT 'r' || doc_id || '_fee_structure_0', 'fee_structure', '[University: ' || source || ' | Category: fee_structure] fee: ' || doc_id FROM documents")
+@query("c4_build_chunks")
 def build_chunks(spark, d):
-    """All categories; the SQL has the two of one short item."""
     return C.build_chunks(_records(spark, d)).select("chunk_id", "category", "text")
 
 
-@query("c5_chunk_metadata", "SELECT 'r' || doc_id || '_offered_courses_0' AS chunk_id, source AS university_id, lang AS city, '' AS degree_levels, source AS source_pages, len(lang) AS length_chars, doc_id % 2 = 0 AS is_public FROM documents")
+@query("c5_chunk_metadata")
 def metadata(spark, d):
-    """All categories; the SQL has the one of the language code."""
     return C.build_chunks(_records(spark, d)).select("chunk_id", "metadata.university_id", "metadata.city", "metadata.degree_levels", "metadata.source_pages", "metadata.length_chars", "metadata.is_public")
 
 
@@ -201,7 +199,7 @@ def knn(spark, d):
 
 
 @query("w2_retrieve", f"""WITH v AS (SELECT vec_id AS id, embedding AS v, CAST(label AS VARCHAR) AS entity, CAST(vec_id % 4 AS VARCHAR) AS category FROM embeddings),
-q AS (SELECT vec_id AS question_id, embedding AS q, CASE WHEN vec_id % 3 = 0 THEN CAST(label AS VARCHAR) WHEN vec_id % 3 = 1 THEN 'unknown' END AS we, CASE WHEN vec_id % 2 = 0 THEN [CAST(vec_id % 4 AS VARCHAR)] WHEN vec_id % 7 = 0 THEN ['none'] ELSE []::VARCHAR[] END AS wc, vec_id % 5 = 0 AS strict FROM embeddings WHERE vec_id % 25 = 0 OR vec_id % 49 = 0),
+q AS (SELECT vec_id AS question_id, embedding AS q, CASE WHEN vec_id % 3 = 0 THEN CAST(label AS VARCHAR) WHEN vec_id % 3 = 1 THEN 'unknown' END AS we, CASE WHEN vec_id % 2 = 0 THEN [CAST(vec_id % 4 AS VARCHAR)] WHEN vec_id % 7 = 0 THEN ['none'] ELSE []::VARCHAR[] END AS wc, vec_id % 5 = 0 AS strict FROM embeddings WHERE vec_id % 20 = 0),
 m AS (SELECT question_id, id, entity, category, {_DIST} AS dist, strict, we, wc, (we IS NULL OR entity = we) AND (len(wc) = 0 OR list_contains(wc, category)) AS t1, we IS NOT NULL AND len(wc) > 0 AND entity = we AS t2, we IS NOT NULL OR len(wc) > 0 AS given FROM q CROSS JOIN v),
 t AS (SELECT question_id, CASE WHEN bool_or(t1) THEN 1 WHEN bool_or(t2) THEN 2 WHEN NOT any_value(strict) AND any_value(given) THEN 3 ELSE 0 END AS tier FROM m GROUP BY 1)
 SELECT m.question_id, id, tier, CAST(row_number() OVER (PARTITION BY m.question_id ORDER BY dist, id) AS INTEGER) AS rank FROM m JOIN t ON m.question_id = t.question_id WHERE (tier = 1 AND t1) OR (tier = 2 AND t2) OR tier = 3 QUALIFY rank <= 6""")
@@ -214,7 +212,7 @@ def retrieve(spark, d):
 
 
 _LEV = "CASE vec_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Bachelor' ELSE 'Master,PhD' END"
-_CAND = "SELECT vec_id AS profile_id, label AS id, embedding AS q, CASE WHEN vec_id % 2 = 0 THEN 'Master' END AS level FROM embeddings WHERE vec_id % 25 = 0"
+_CAND = "SELECT vec_id AS profile_id, label AS id, embedding AS q, CASE WHEN vec_id % 2 = 0 THEN 'Master' END AS level FROM embeddings WHERE vec_id % 20 = 0"
 _TOPK = f"""a AS (SELECT profile_id, c.id, vec_id AS chunk_id, level, {_LEV} AS levels, {_DIST} AS dist FROM ({_CAND}) c JOIN (SELECT vec_id, label, embedding AS v FROM embeddings) e ON c.id = e.label),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY profile_id, id ORDER BY dist, chunk_id) <= 12),
 k AS (SELECT profile_id, id, chunk_id, CAST(row_number() OVER (PARTITION BY profile_id, id ORDER BY dist, chunk_id) AS INTEGER) AS rank FROM b WHERE levels = '' OR level IS NULL OR list_contains(string_split(levels, ','), level) QUALIFY rank <= 4)"""

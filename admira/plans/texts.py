@@ -272,9 +272,8 @@ def distinct(spark, d):
     return out.select("o_custkey", F.size("a").cast("long").alias("n"), F.col("a")[0].alias("first"))
 
 
-@query("a1_aggregate_pages", r"WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))[1:3]) AS line, unnest(range(0, 3)[1:len(string_split(text, chr(10))[1:3])]) AS i FROM documents), f AS (SELECT source, line, min(doc_id * 10 + i) AS o FROM l GROUP BY 1, 2) SELECT source, count(*) AS n, md5(string_agg(line, '|' ORDER BY o)) AS digest FROM f GROUP BY 1")
+@query("a1_aggregate_pages", r"WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents), f AS (SELECT source, line, min(doc_id * 10000000 + i) AS o FROM l GROUP BY 1, 2) SELECT source, row_number() OVER (PARTITION BY source ORDER BY o) AS place, line FROM f")
 def aggregate(spark, d):
-    """All lines, a row for each distinct one of a source; the SQL has a digest of the first three of each text."""
     return G.aggregate_items(_docs(spark, d).withColumn("a", F.split("text", "\n")), "source", "doc_id", "a").withColumnRenamed("item", "line")
 
 
@@ -309,9 +308,6 @@ def hints(spark, d):
     return _messages(spark, d).select("conv_id", "turn", F.array_join(I.category_hints(F.col("text"), {"a": ["tion"], "b": ["zzz", "and"]}), ",").alias("hints"))
 
 
-_ASK = "CASE turn % 4 WHEN 0 THEN 'why is it ranked first' WHEN 1 THEN 'show me new options' WHEN 2 THEN 'how do fees work?' ELSE text END"
-
-
 # Words that the conversations hold, in place of those of the rules.
 _INTENTS = {
     "why": [r"\bwas\b.*\bwith\b", r"\bby\b.*\bbe\b"], "rerank": r"(?i)\b(this|from)\b", "followup": r"(?i)\b(for|are)\b", "question": r"(?i)\b(is|on)\b",
@@ -319,9 +315,16 @@ _INTENTS = {
 }
 
 
-@query("i4_message_intents", "SELECT conv_id, turn, turn % 4 = 0 AS asks_why_ranked, turn % 4 = 1 AS asks_rerank, turn % 4 IN (0, 2) AS is_followup, true AS is_question FROM conversations WHERE turn % 4 < 3")
+_FLAGS = rf"""WITH {_M}, t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS t, lower(trim(coalesce(text, ''))) AS low, coalesce(len(list_distinct(ms)), 0) AS named FROM m),
+w AS (SELECT *, named >= 2 AND (contains(t, ',') OR regexp_matches(t, '(?i)\b(as|at)\b')) AS focused, regexp_matches(low, '\bwas\b.*\bwith\b|\bby\b.*\bbe\b') AS asks_why_ranked,
+  regexp_matches(t, '(?i)\b(this|from)\b') AS asks_rerank, regexp_matches(t, '(?i)\b(for|are)\b') AS follow, contains(low, 'of the') OR contains(low, 'is to') AS asks_about_chart,
+  regexp_matches(t, '(?i)\?|\bit\b|\bthat\b') AS has_question_sign FROM t),
+f AS (SELECT *, NOT focused AND NOT (asks_rerank AND NOT follow) AND (follow OR asks_why_ranked) AS is_followup,
+  t <> '' AND NOT asks_about_chart AND (contains(t, '?') OR regexp_matches(t, '(?i)\b(is|on)\b')) AS is_question FROM w)"""
+
+
+@query("i4_message_intents", f"{_FLAGS} SELECT conv_id, turn, asks_why_ranked, asks_rerank, is_followup, is_question, has_question_sign, asks_about_chart FROM f")
 def message_intents(spark, d):
-    """All turns and flags by their own text; the SQL has three set sentences and four flags."""
     flags = I.message_intents(F.col("text"), _ALIASES, _INTENTS)
     return _messages(spark, d).select("conv_id", "turn", *[v.alias(k) for k, v in flags.items()])
 
@@ -331,9 +334,9 @@ def resolve(spark, d):
     return I.resolve_entity(_messages(spark, d), _ALIASES)
 
 
-@query("i6_route_turn", "SELECT conv_id, turn, CASE WHEN turn % 4 = 1 AND conv_id % 2 = 0 THEN 'refine' WHEN conv_id % 2 = 0 OR conv_id % 3 = 0 THEN 'answer_question' ELSE 'keep' END AS route FROM conversations WHERE turn % 4 < 3")
+@query("i6_route_turn", f"""{_FLAGS} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 AND (focused OR (asks_rerank AND NOT is_followup)) THEN 'refine'
+  WHEN asks_about_chart OR (conv_id % 2 = 0 AND (is_followup OR is_question)) OR (conv_id % 3 = 0 AND is_question) THEN 'answer_question' ELSE 'keep' END AS route FROM f""")
 def route(spark, d):
-    """All turns by their own text; the SQL has three set sentences."""
     return _messages(spark, d).select("conv_id", "turn", I.route_turn(F.col("text"), _ALIASES, F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 == 0, _INTENTS).alias("route"))
 
 
