@@ -1,9 +1,12 @@
 """Candidate pairs of applicants and institutions, hard gates, factor scores and the explained ranking.
 
-All of it is columns over one joined table, so that a job ranks every applicant at once. The institutions' side of the
-join is broadcast while it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_CHARS`` characters of course lists; beyond
-that the pairs come from a shuffle of both sides over blocks of applicants. Course lists are put in lower case once an
-institution, not once a pair.
+All of it is columns over one joined table, so that a job ranks every applicant at once. ``recommend`` reads course lists
+once for every different wish (field and goals) and institution, not once a pair; applicants meet these by an equi-join on
+their wish, with the gates in its condition. A pair is a few numbers until the best of each applicant are known, before
+the shuffle; only these get their factors and texts.
+
+Where all pairs are asked for, the institutions' side is broadcast while it has at most ``BROADCAST_ROWS`` rows and
+``BROADCAST_CHARS`` characters of course lists; beyond that the pairs come from a shuffle of both sides over blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import rules
 from ..functions.geo import haversine_km, tokens, tokens_contained
+from .retrieve import attach_chunks
 
 #: Institutions up to which every applicant task holds them all.
 BROADCAST_ROWS = 200_000
@@ -100,18 +104,27 @@ def _scored(*cases: tuple[Column | None, int | Column, str, Column | str]) -> Co
     return out
 
 
+def _points(*cases: tuple[Column | None, int | Column, str, Column | str]) -> Column:
+    """The score of the first case that holds, without its texts."""
+    out = None
+    for when, score, *_ in cases:
+        score = (score if isinstance(score, Column) else F.lit(score)).cast("int")
+        out = F.when(when, score) if out is None else out.otherwise(score) if when is None else out.when(when, score)
+    return out
+
+
 def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def score_program(field: Column, courses: Column, low_courses: Column | None = None) -> Column:
+def score_program(field: Column, courses: Column, low_courses: Column | None = None, made=_scored) -> Column:
     """``low_courses``: the courses in lower case, where they are at hand."""
     low_courses = F.transform(courses, F.lower) if low_courses is None else low_courses
     given = _text(field) != ""
     low = F.lower(_text(field))
     words = F.filter(F.split(low, r"[\s,/]+"), lambda t: F.length(t) > 2)
     match = F.exists(low_courses, lambda c: c.contains(low) | F.exists(words, lambda t: c.contains(t)))
-    return _scored(
+    return made(
         (~given, 50, "warn", "Program preference not specified"),
         (F.coalesce(match, F.lit(False)), 100, "pass", F.concat(field, F.lit(" offered"))),
         (F.coalesce(F.size(courses), F.lit(0)) > 0, 35, "warn", F.concat(field, F.lit(" not clearly listed — verify program availability"))),
@@ -119,21 +132,21 @@ def score_program(field: Column, courses: Column, low_courses: Column | None = N
     )
 
 
-def score_eligibility(pct: Column, least: Column) -> Column:
+def score_eligibility(pct: Column, least: Column, made=_scored) -> Column:
     margin = F.greatest(pct - least, F.lit(0.0))
     shown = F.concat(pct.cast("string"), F.lit("%"))
     floor = F.concat(least.cast("string"), F.lit("% minimum"))
-    return _scored(
+    return made(
         (pct.isNull() | least.isNull(), 60, "warn", "Eligibility data incomplete"),
         (margin >= 15, 100, "pass", F.concat(shown, F.lit(" exceeds "), floor)),
         (None, F.floor(margin * 2) + 70, "pass", F.concat(shown, F.lit(" meets "), floor)),
     )
 
 
-def score_budget(budget: Column, fee: Column) -> Column:
+def score_budget(budget: Column, fee: Column, made=_scored) -> Column:
     over = (fee - budget) / budget
     pkr = lambda c: F.concat(F.lit("PKR "), F.format_number(c, 0))
-    return _scored(
+    return made(
         ((F.coalesce(budget, F.lit(0)) == 0) | (F.coalesce(fee, F.lit(0)) == 0), 55, "warn", "Budget or fee data incomplete"),
         (fee <= budget, 100, "pass", F.concat(pkr(fee), F.lit("/sem within "), pkr(budget), F.lit(" budget"))),
         (over <= 0.15, 75, "warn", F.concat(pkr(fee), F.lit("/sem slightly above "), pkr(budget), F.lit(" budget"))),
@@ -142,9 +155,9 @@ def score_budget(budget: Column, fee: Column) -> Column:
     )
 
 
-def score_scholarship(required: Column, has: Column) -> Column:
+def score_scholarship(required: Column, has: Column, made=_scored) -> Column:
     needs, offers = F.coalesce(required, F.lit(False)), F.coalesce(has, F.lit(False))
-    return _scored(
+    return made(
         (~needs & offers, 80, "pass", "Scholarships available"),
         (~needs, 60, "warn", "Scholarships not required"),
         (offers, 100, "pass", "Merit/need-based scholarships available"),
@@ -152,13 +165,13 @@ def score_scholarship(required: Column, has: Column) -> Column:
     )
 
 
-def score_location(cities: Column, province: Column, city: Column, own_province: Column, distance: Column) -> Column:
+def score_location(cities: Column, province: Column, city: Column, own_province: Column, distance: Column, made=_scored) -> Column:
     """Preferred city, province, then distance bands. A nameless city matches nothing."""
     here, area = F.lower(_text(city)), F.lower(_text(own_province))
     near = F.exists(cities, lambda c: (here != "") & (here.contains(F.lower(c)) | F.lower(c).contains(here)))
     wanted = F.lower(_text(province))
     km = F.format_string("%.1f km", distance)
-    return _scored(
+    return made(
         (F.coalesce(near, F.lit(False)), 100, "pass", F.concat(city, F.lit(" matches preferred city"))),
         ((wanted != "") & (area != "") & area.contains(wanted), 85, "pass", F.concat(own_province, F.lit(" matches preferred province"))),
         (distance <= 8, 95, "pass", F.concat(km, F.lit(" from you"))),
@@ -168,12 +181,12 @@ def score_location(cities: Column, province: Column, city: Column, own_province:
     )
 
 
-def score_goals(goals: Column, field: Column, courses: Column, listed: Column | None = None) -> Column:
+def score_goals(goals: Column, field: Column, courses: Column, listed: Column | None = None, made=_scored) -> Column:
     """``listed``: all courses as one text in lower case, where it is at hand."""
     low, wanted = F.lower(_text(goals)), F.lower(_text(field))
     listed = F.lower(F.array_join(F.coalesce(courses, F.array().cast("array<string>")), " ")) if listed is None else listed
     words = F.filter(F.split(low, r"[\s,]+"), lambda t: F.length(t) > 3)
-    return _scored(
+    return made(
         (low == "", 60, "warn", "Career goals not specified"),
         ((wanted != "") & listed.contains(wanted), 90, "pass", "Program aligns with stated goals"),
         (F.exists(words, lambda t: listed.contains(t)), 80, "pass", "Related programs available"),
@@ -181,42 +194,107 @@ def score_goals(goals: Column, field: Column, courses: Column, listed: Column |
     )
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Add distance_km, total_score and factors to (p, e, pos). An applicant's place is p.latitude, p.longitude."""
+def _measured(pairs: DataFrame) -> DataFrame:
+    """Add km and fee to pairs (p, e)."""
     known = F.col("p.latitude").isNotNull() & F.col("p.longitude").isNotNull() & (F.col("e.latitude") != 0) & (F.col("e.longitude") != 0)
     km = F.when(known, haversine_km(F.col("p.latitude"), F.col("p.longitude"), F.col("e.latitude"), F.col("e.longitude")))
+    return pairs.withColumns({"km": km, "fee": fee_per_semester(F.col("e.fee_amount"), F.col("e.fee_period"))})
+
+
+def _pair_scores(made=_scored) -> dict[str, Column]:
+    """The scores that need an applicant and an institution, of measured pairs."""
+    return {
+        "eligibility_match": score_eligibility(F.col("p.academic_percentage"), F.col("e.min_eligibility"), made),
+        "budget_fit": score_budget(F.col("p.budget_pkr_per_semester"), F.col("fee"), made),
+        "scholarship_fit": score_scholarship(F.col("p.scholarship_required"), F.col("e.has_scholarships"), made),
+        "location_fit": score_location(F.col("p.preferred_cities"), F.col("p.preferred_province"), F.col("e.city"), F.col("e.province"), F.col("km"), made),
+    }
+
+
+def _wish_scores(pairs: DataFrame, made=_scored) -> dict[str, Column]:
+    """The scores that need an applicant's field and goals and an institution's courses."""
     ready = "listed" in pairs.schema["e"].dataType.names
     low_courses, listed = (F.col("e.low_courses"), F.col("e.listed")) if ready else (None, None)
-    out = pairs.withColumn("km", km).withColumn("fee", fee_per_semester(F.col("e.fee_amount"), F.col("e.fee_period")))
-    scores = {
-        "program_match": score_program(F.col("p.field_of_study"), F.col("e.courses"), low_courses),
-        "eligibility_match": score_eligibility(F.col("p.academic_percentage"), F.col("e.min_eligibility")),
-        "budget_fit": score_budget(F.col("p.budget_pkr_per_semester"), F.col("fee")),
-        "scholarship_fit": score_scholarship(F.col("p.scholarship_required"), F.col("e.has_scholarships")),
-        "location_fit": score_location(F.col("p.preferred_cities"), F.col("p.preferred_province"), F.col("e.city"), F.col("e.province"), F.col("km")),
-        "goal_alignment": score_goals(F.col("p.career_goals"), F.col("p.field_of_study"), F.col("e.courses"), listed),
+    return {
+        "program_match": score_program(F.col("p.field_of_study"), F.col("e.courses"), low_courses, made),
+        "goal_alignment": score_goals(F.col("p.career_goals"), F.col("p.field_of_study"), F.col("e.courses"), listed, made),
     }
-    out = out.withColumns({f"s_{k}": v for k, v in scores.items()})
-    by_name = F.create_map(*[x for k in scores for x in (F.lit(k), F.col(f"s_{k}"))])
+
+
+def factor_scores(pairs: DataFrame) -> DataFrame:
+    """Add a column (score, status, detail) for each factor to (p, e, ...)."""
+    out = _measured(pairs)
+    return out.withColumns({f"s_{k}": v for k, v in (_pair_scores() | _wish_scores(pairs)).items()})
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """Add distance_km, total_score and factors to (p, e, ...). An applicant's place is p.latitude, p.longitude."""
+    out = factor_scores(pairs)
+    by_name = F.create_map(*[x for k in rules.FACTOR_LABELS for x in (F.lit(k), F.col(f"s_{k}"))])
     labels = F.create_map(*[F.lit(x) for pair in rules.FACTOR_LABELS.items() for x in pair])
     factor = lambda w: F.struct(w["criterion"].alias("criterion"), labels[w["criterion"]].alias("label"), by_name[w["criterion"]]["status"].alias("status"), by_name[w["criterion"]]["detail"].alias("detail"), by_name[w["criterion"]]["score"].alias("score"), w["weight"].alias("weight"))
     out = out.withColumn("factors", F.transform(weights(F.col("p.priority_focus")), factor))
     total = F.aggregate("factors", F.lit(0), lambda a, f: a + f["score"] * f["weight"])
-    return out.withColumn("total_score", F.bround(total / 100.0, 0).cast("int")).select("p", "e", "pos", "factors", "total_score", F.bround("km", 1).alias("distance_km"))
-
-
-def rank(scored: DataFrame, limit: int = 5) -> DataFrame:
-    """The best of each applicant, ties to the smaller id; an applicant with a focus list gets all of it, if it is longer."""
-    own = W.partitionBy("profile_id")
+    return out.withColumn("total_score", F.bround(total / 100.0, 0).cast("int")).withColumn("distance_km", F.bround("km", 1)).select(*pairs.columns, "factors", "total_score", "distance_km")
+
+
+_WISH = ("field_of_study", "career_goals")
+#: What a pair reads of an institution besides its courses.
+_BARE = ("id", "city", "province", "fee_amount", "fee_period", "min_eligibility", "hostel", "has_scholarships", "latitude", "longitude")
+
+
+def totals(profiles: DataFrame, entities: DataFrame) -> DataFrame:
+    """(profile_id, id, total_score, km) of every pair that passes the gates."""
+    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wishes = profiles.select(F.struct(*_WISH).alias("p")).distinct().repartition(tasks, "p")  # few rows, much work
+    whole = _prepared(entities)
+    met = _every_pair(wishes, whole.select(F.struct(*whole.columns).alias("e")), F.lit(True))
+    bare = F.struct(*[F.col(f"e.{c}").alias(c) for c in _BARE]).alias("bare")
+    traits = met.select(F.col("p.field_of_study").alias("w_field"), F.col("p.career_goals").alias("w_goals"), bare, *[v.alias(f"w_{k}") for k, v in _wish_scores(met, _points).items()]).withColumnRenamed("bare", "e")
+    used = [c for c in profiles.columns if c not in ("name", "career_goals", "field_of_study")]
+    p = profiles.select(*_WISH, F.struct(*used).alias("p"))
+    if wishes.count() * entities.select("id").count() <= BROADCAST_ROWS:  # else both sides are shuffled, in tasks enough
+        traits, p = F.broadcast(traits), p.repartition(tasks, "p.profile_id")
+    side = lambda name, cols: {c: F.col(f"{name}.{c}") for c in cols}
+    wish = F.col("field_of_study").eqNullSafe(F.col("w_field")) & F.col("career_goals").eqNullSafe(F.col("w_goals"))
+    pairs = _measured(p.join(traits, wish & gate(side("p", used), side("e", _BARE))))
+    points = _pair_scores(_points) | {k: F.col(f"w_{k}") for k in ("program_match", "goal_alignment")}
+    pairs = pairs.select("p", "e", "km", *[v.alias(f"n_{k}") for k, v in points.items()])
+    summed = {k: sum((F.col(f"n_{c}") * n for c, n in w.items()), F.lit(0)) for k, w in rules.FACTOR_WEIGHTS.items()}
+    key = F.lower(F.trim(F.col("p.priority_focus")))
+    total = F.when(key == "fees", summed["fees"]).when(key == "distance", summed["distance"]).otherwise(summed[None])
+    return pairs.select("p.profile_id", "e.id", F.bround(total / 100.0, 0).cast("int").alias("total_score"), "km")
+
+
+def _shown(scored: DataFrame, rank: Column, focused: Column) -> DataFrame:
     name = F.coalesce("e.name", F.initcap(F.replace(F.col("e.id").cast("string"), F.lit("_"), F.lit(" "))))
-    slim = scored.select(F.col("p.profile_id").alias("profile_id"), F.col("e.id").alias("id"), name.alias("name"), "total_score", "distance_km", "factors", "pos")  # no course lists in the shuffle
-    ranked = slim.withColumn("rank", F.row_number().over(own.orderBy(F.desc("total_score"), "id"))).withColumn("named", F.count("pos").over(own))
-    kept = ranked.where(F.col("rank") <= F.greatest(F.lit(limit), F.col("named")))
-    return kept.select("profile_id", "rank", "id", "name", "total_score", "distance_km", "factors", F.col("pos").isNotNull().alias("focused"))
+    return scored.select(F.col("p.profile_id").alias("profile_id"), rank.alias("rank"), F.col("e.id").alias("id"), name.alias("name"), "total_score", "distance_km", "factors", focused.alias("focused"))
 
 
-def recommend(profiles: DataFrame, entities: DataFrame, limit: int = 5, focus: DataFrame | None = None) -> DataFrame:
-    return rank(score_pairs(candidate_pairs(profiles, entities, focus)), limit)
+def recommend(profiles: DataFrame, entities: DataFrame, limit: int = 5, focus: DataFrame | None = None, asked: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """The best ``limit`` of each applicant, ties to the smaller id; an applicant with a list in ``focus`` (profile_id, pos,
+    id) gets all the known ones of it.
+
+    With ``asked`` (profile_id, q, level) and ``vectors`` (chunk_id, entity, v, levels), chunk_ids and fallback are added:
+    the chunks of the institution that are nearest to the applicant's question, or what is known of it as a text.
+    """
+    free = profiles if focus is None else profiles.join(focus.select("profile_id").distinct(), "profile_id", "left_anti")
+    own = W.partitionBy("profile_id").orderBy(F.desc("total_score"), "id")
+    top = totals(free, entities).select("profile_id", "id", "total_score").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= limit)
+    p = free.select(F.struct(*free.columns).alias("p"))
+    whole = _prepared(entities)
+    e = whole.select(F.struct(*whole.columns).alias("e"))
+    pairs = top.drop("total_score").join(p, F.col("profile_id") == F.col("p.profile_id")).join(e, F.col("id") == F.col("e.id")).select("p", "e", "rank")
+    out = _shown(score_pairs(pairs), F.col("rank"), F.lit(False))
+    if focus is not None:
+        known = candidate_pairs(profiles.join(focus.select("profile_id").distinct(), "profile_id", "left_semi"), entities, focus).where("pos IS NOT NULL")
+        place = F.row_number().over(W.partitionBy("p.profile_id").orderBy(F.desc("total_score"), "e.id"))
+        out = out.unionByName(_shown(score_pairs(known).withColumn("rank", place), F.col("rank"), F.lit(True)))
+    if vectors is None:
+        return out
+    candidates = out.select("profile_id", "id").join(asked, "profile_id")
+    chunks = attach_chunks(candidates, entities, vectors)
+    return out.join(chunks, ["profile_id", "id"], "left")
 
 
 def _lines(bold: bool, indent: str) -> Column:

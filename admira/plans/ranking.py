@@ -35,17 +35,13 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY to
 _RANKED = f"{_EP}, {_PAIRS}, {_SCORES}"
 
 
-def _scored(spark, d):
-    return R.score_pairs(candidate_pairs(profiles(spark, d), entities(spark, d)))
-
-
 def _ranked(spark, d, limit=5):
-    return R.rank(_scored(spark, d), limit)
+    return R.recommend(profiles(spark, d), entities(spark, d), limit)
 
 
 def _factor(spark, d, name):
-    one = F.filter("factors", lambda f: f["criterion"] == name)[0]
-    return _scored(spark, d).groupBy(one["score"].alias("score"), one["status"].alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("e.id").alias("ids"))
+    scored = R.factor_scores(candidate_pairs(profiles(spark, d), entities(spark, d)))
+    return scored.groupBy(F.col(f"s_{name}.score").alias("score"), F.col(f"s_{name}.status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("e.id").alias("ids"))
 
 
 def _factor_sql(name, passing):
@@ -57,6 +53,23 @@ def recommend(spark, d):
     return _ranked(spark, d).select("profile_id", "rank", "id", "name", "total_score", "distance_km")
 
 
+_VECTOR_DIST = "list_sum(list_transform(list_zip(q, v), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
+
+
+@query("r12_recommend_with_chunks", f"""{_RANKED}, c AS (SELECT r.profile_id, r.id, embedding AS q FROM ranked r JOIN embeddings ON vec_id = r.profile_id WHERE rank <= 5),
+a AS (SELECT c.profile_id, c.id, vec_id AS chunk_id, {_VECTOR_DIST} AS dist FROM c JOIN (SELECT vec_id, label, embedding AS v FROM embeddings) e ON c.id = e.label),
+k AS (SELECT *, row_number() OVER (PARTITION BY profile_id, id ORDER BY dist, chunk_id) AS place FROM a QUALIFY place <= 4),
+g AS (SELECT profile_id, id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY place) AS chunk_ids FROM k GROUP BY 1, 2)
+SELECT r.profile_id, r.rank, r.id, r.total_score, CASE WHEN c.id IS NOT NULL THEN coalesce(g.chunk_ids, '') END AS chunk_ids
+FROM ranked r LEFT JOIN c ON r.profile_id = c.profile_id AND r.id = c.id LEFT JOIN g ON r.profile_id = g.profile_id AND r.id = g.id WHERE rank <= 5""")
+def recommend_with_chunks(spark, d):
+    e = table(spark, d, "embeddings")
+    asked = e.select(F.col("vec_id").alias("profile_id"), F.col("embedding").alias("q"), F.lit(None).cast("string").alias("level"))
+    vectors = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("entity"), F.col("embedding").alias("v"), F.lit("").alias("levels"))
+    found = R.recommend(profiles(spark, d), entities(spark, d), 5, asked=asked, vectors=vectors)
+    return found.select("profile_id", "rank", "id", "total_score", "chunk_ids")
+
+
 @query("w4_rank_all", f"{_RANKED} SELECT profile_id, rank, id, total_score FROM ranked WHERE rank <= 20")
 def rank_all(spark, d):
     return _ranked(spark, d, 20).select("profile_id", "rank", "id", "total_score")
@@ -95,7 +108,8 @@ for _id, _name, _pass in (
 
 @query("r9_score_candidate", f"{_RANKED} SELECT profile_id, count(*) AS n, CAST(sum(total_score) AS BIGINT) AS total, max(total_score) AS best, CAST(round_even(max(km), 1) AS DOUBLE) AS farthest FROM totals GROUP BY 1")
 def score_candidate(spark, d):
-    return _scored(spark, d).groupBy("p.profile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total_score").alias("total"), F.max("total_score").alias("best"), F.max("distance_km").alias("farthest"))
+    scored = R.totals(profiles(spark, d), entities(spark, d))
+    return scored.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total_score").alias("total"), F.max("total_score").alias("best"), F.bround(F.max("km"), 1).alias("farthest"))
 
 
 _DETAIL = """CASE WHEN field_of_study = '' THEN 'Program preference not specified' WHEN program_match = 100 THEN field_of_study || ' offered' WHEN program_match = 35 THEN field_of_study || ' not clearly listed — verify program availability' ELSE 'Program list unavailable' END"""
