@@ -4,9 +4,10 @@ Vectors are scaled to length 1 and cut in two halves; each half has its own code
 names a cell. A query visits cells by the sum of its two half distances: a heap walks the grid of both sorted distance
 lists until the visited cells hold ``visit`` of all entries. Entries of visited cells are ranked by the exact cosine.
 
-Codebooks are fitted on a bounded sample (``SAMPLE`` vectors); every vector is indexed. Identical vectors are one entry
-with their smallest ids, which is exact for the k nearest as ties go to the smaller id. The ranking works in blocks of
-queries by blocks of entries of one first centroid, each block a matrix product; per query and block the best k+1 leave.
+Codebooks are fitted on a bounded sample (``SAMPLE`` vectors); every vector is indexed. Vectors of one direction are one
+entry with their smallest ids, which is exact for the k nearest as ties go to the smaller id: a vector is divided by its
+largest component, which gives multiples of a vector the same bits. The ranking works in blocks of ``QUERIES`` queries by
+``ENTRIES`` entries of one first centroid, some MB each, as matrix products; per query and block the best k+1 leave.
 
 Defined results: null vectors, vectors with null or non-finite components, zero vectors and vectors of another length
 than the commonest take no part; rows with a query's id are never its candidates; of rows that share an id one is the
@@ -31,7 +32,8 @@ SAMPLE = 8192
 CENTROIDS = 64
 #: Share of the entries that a query visits, and entries that it visits at least. Recall is measured in the tests.
 VISIT, VISIT_LEAST = 0.5, 2000
-ENTRIES, QUERIES = 2048, 512
+#: Entries and queries that meet in a task, and queries of one matrix product.
+ENTRIES, QUERIES, STRIP = 8192, 8192, 128
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -39,6 +41,12 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(data, dtype="<f8").reshape(len(col), -1)
 
 
+def direction(v: list[float]) -> np.ndarray:
+    """The vector divided by its largest absolute component, without negative zeros."""
+    x = np.array(v, dtype="<f8")
+    return x / np.abs(x).max() + 0.0
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -94,11 +102,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = VISI
     rows = _valid(vectors, vec_id, vector)
 
     def combine(batches):
-        """Identical vectors of a batch become one row with their k + 1 smallest ids."""
+        """Vectors of one direction become one row of a batch, with their k + 1 smallest ids."""
         for batch in batches:
             own: dict[bytes, list[int]] = {}
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own.setdefault(np.array(v, dtype="<f8").tobytes(), []).append(i)
+                own.setdefault(direction(v).tobytes(), []).append(i)
             ids = [sorted(set(x))[: k + 1] for x in own.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names=["v", "ids"])
 
@@ -137,7 +145,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = VISI
             out = []
             grid, parts = blocks.value
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                q = np.array(v, dtype="<f8")
+                q = direction(v)
                 u = _unit(q[None])
                 cells = visited_cells(_distances(u[:, :half], shared.value[0])[0], _distances(u[:, half:], shared.value[1])[0], grid, wanted)
                 lists: dict[int, list[int]] = {}
@@ -157,20 +165,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = VISI
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if len(left) and len(right):
-            q, e = _matrix(left["v"]), _matrix(right["v"])
-            score = (q @ e.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(e, axis=1)[None])
-            open_ = np.zeros((len(q), centroids), dtype=bool)
-            for i, bs in enumerate(left["bs"].to_pylist()):
-                open_[i, bs] = True
+            every, e = _unit(_matrix(left["v"])), _unit(_matrix(right["v"]))
             cell, ids = right["b"].to_numpy(), right["ids"].to_pylist()
-            for i, name in enumerate(left["id"].to_pylist()):
-                at = np.flatnonzero(open_[i, cell])
-                s = score[i, at]
-                if len(s) > k + 1:
-                    keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                    at, s = at[keep], s[keep]
-                best = sorted(zip((-s).tolist(), [ids[j] for j in at], strict=True))[: k + 1]
-                out += [(name, -x, y) for x, ys in best for y in ys if y != name]
+            names, lists = left["id"].to_pylist(), left["bs"].to_pylist()
+            open_ = np.zeros(centroids, dtype=bool)
+            for first in range(0, len(every), STRIP):
+                score = every[first : first + STRIP] @ e.T
+                for i, s in enumerate(score, first):
+                    open_[:] = False
+                    open_[lists[i]] = True
+                    at = np.flatnonzero(open_[cell])
+                    s = s[at]
+                    if len(s) > k + 1:
+                        keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                        at, s = at[keep], s[keep]
+                    best = sorted(zip((-s).tolist(), [ids[j] for j in at], strict=True))[: k + 1]
+                    out += [(names[i], -x, y) for x, ys in best for y in ys if y != names[i]]
         cols = list(zip(*out, strict=True)) if out else [[]] * 3
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "score": pa.array(cols[1], pa.float64()), "vec_id": pa.array(cols[2], pa.int64())})
 
