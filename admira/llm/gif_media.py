@@ -8,10 +8,11 @@ The decoder follows the format's rules: code widths grow with the code table, cl
 are put in order, a frame's own palette overrides the common one, transparent samples leave what is below, and before the
 next frame the area is kept, cleared or restored as the frame's disposal says.
 
-Everything runs row by row within tasks; no data are shuffled and a task holds one file at a time besides its batch.
+Everything runs row by row within tasks; no data are shuffled and a task holds one file and one of its frames at a time
+besides its batch.
 
 Defined results: null files give no frames; a file that is no GIF or ends early gives one row with ``error`` set and null
-pixels; null texts are empty payloads; equal texts give equal files; an empty table gives an empty result; other columns
+pixels behind its good frames; a screen of more than ``MOST_PIXELS`` is an error before anything is made for it; null texts are empty payloads; equal texts give equal files; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -32,6 +33,8 @@ FRAME_LINES = 4096
 DELAY = 10
 #: Bits of a colour channel that the histogram tells apart.
 HISTOGRAM_BITS = 2
+#: Samples of a screen at most: 256 MB of colours. The format's own bound is 65535 x 65535.
+MOST_PIXELS = 1 << 26
 _MOST = 4096
 
 
@@ -171,6 +174,8 @@ def decode_gif(data: bytes):
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
+    if wide * high > MOST_PIXELS:
+        raise ValueError(f"a screen of {wide} x {high}")
     at = 13
     common = None
     if flags & 0x80:
@@ -197,6 +202,10 @@ def decode_gif(data: bytes):
             at += 3 * n
         bits = data[at]
         stream, at = _read_blocks(data, at + 1)
+        if top + h > high or left + w > wide:
+            raise ValueError("a frame beyond the screen")
+        if not 0 < bits < 9:
+            raise ValueError("a code size beyond 8 bits")
         pixels = np.frombuffer(lzw_decode(stream, bits, w * h), np.uint8)
         if len(pixels) < w * h or palette is None:
             raise ValueError("a frame is incomplete")
@@ -205,8 +214,6 @@ def decode_gif(data: bytes):
             rows = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
             pixels = pixels[np.argsort(rows)]
         before = canvas.copy() if disposal == 3 else None
-        if top + h > high or left + w > wide:
-            raise ValueError("a frame beyond the screen")
         area = canvas[top : top + h, left : left + w]
         solid = np.full((256, 4), 255, dtype=np.uint8)  # indices beyond the palette take its last colour
         solid[:, :3] = palette[np.minimum(np.arange(256), len(palette) - 1)]
@@ -235,22 +242,24 @@ def histogram(canvas: np.ndarray, bits: int = HISTOGRAM_BITS) -> np.ndarray:
 def decode_gifs(files: DataFrame, key: str, media: str = "media") -> DataFrame:
     """A row for each frame of each file: key, frame, delay_ms, disposal, width, height, pixels (RGBA), histogram, error."""
 
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+    names = ["id", "frame", "delay_ms", "disposal", "width", "height", "pixels", "histogram", "error"]
+
+    def frame(where, *values):
+        return pa.RecordBatch.from_arrays([where, *[pa.array([v], t) for v, t in zip(values, types, strict=True)]], names=names)
+
     def run(batches):
         for batch in batches:
             for i, data in enumerate(batch.column(1).to_pylist()):
-                rows, error = [], None
                 if data is None:
                     continue
+                where, number = batch.column(0).slice(i, 1), 0
                 try:
                     for number, delay, disposal, _, _, _, _, canvas in decode_gif(data):
-                        rows.append((number, 10 * delay, disposal, canvas.shape[1], canvas.shape[0], canvas.tobytes(), histogram(canvas).tolist(), None))
+                        yield frame(where, number, 10 * delay, disposal, canvas.shape[1], canvas.shape[0], canvas.tobytes(), histogram(canvas).tolist(), None)
+                        number += 1
                 except (ValueError, IndexError, struct.error) as e:
-                    error = str(e) or type(e).__name__
-                if error:
-                    rows.append((len(rows), None, None, None, None, None, None, error))
-                types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows), pa.int64())), *cols], names=["id", "frame", "delay_ms", "disposal", "width", "height", "pixels", "histogram", "error"])
+                    yield frame(where, number, None, None, None, None, None, None, str(e) or type(e).__name__)
 
     kind = files.schema[key].dataType.simpleString()
     schema = f"id {kind}, frame int, delay_ms int, disposal int, width int, height int, pixels binary, histogram array<bigint>, error string"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import best_fit, chat_windows, gif_media, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, token_files
-from .common import shared_dir
+from .common import shared_dir, stage
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,7 +26,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_media.read_texts(gif_media.store_texts(table(spark, sf_dir, "documents")))
+    return gif_media.read_texts(stage(gif_media.store_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,19 @@ def test_gif_rules(spark):
     assert sum(rows[0].histogram) == 4
 
 
+def test_gif_headers_and_many_frames(spark):
+    """A header that asks for 17 GB, a frame beyond its screen, a wrong code size; and good frames before a bad one."""
+    head = lambda w, h: b"GIF89a" + np.array([w, h], "<u2").tobytes() + bytes([0x80, 0, 0]) + bytes(6)
+    place = lambda w, h: b"\x2c" + np.array([0, 0, w, h], "<u2").tobytes() + b"\0"
+    one = place(1, 1) + b"\x02" + gif_media._blocks(gif_media.lzw_encode(b"\1", 2))
+    files = [(1, head(65535, 65535) + one), (2, head(4, 4) + place(60000, 60000) + b"\x02\0"), (3, head(1, 1) + place(1, 1) + b"\x20\x01\0\0"), (4, head(1, 1) + 500 * one + b"\x2c"), (5, head(1, 1) + 3 * one + b"\x3b"), (6, head(1, 1))]
+    rows = gif_media.decode_gifs(spark.createDataFrame([(k, bytearray(b)) for k, b in files], "k int, media binary"), "k").collect()
+    by = {k: [r for r in rows if r.k == k] for k, _ in files}
+    assert all(len(by[k]) == 1 and by[k][0].error for k in (1, 2, 3, 6))
+    assert len(by[4]) == 501 and by[4][-1].error and by[4][-1].frame == 500 and not any(r.error for r in by[4][:-1])
+    assert [r.frame for r in by[5]] == [0, 1, 2] and not any(r.error for r in by[5])
+
+
 # 3 and 4 tokens
 
 
@@ -411,6 +424,32 @@ def test_search_recall(spark):
     assert multi_index.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_ties_of_parallel_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=24).astype(np.float32).astype(float)
+    rows = [(0, (base + 0.1).tolist())] + [(i, (base * n).tolist()) for i, n in ((9, 1.0), (7, 3.0), (5, 7.0), (3, 0.5), (4, 11.0), (8, -1.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.search(df, F.col("id") % 50 == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 4, 5, 7, 9] and len({r.score for r in got}) == 1
+
+
+def test_search_recall_on_the_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, dtype=float) for r in df.collect()}
+    names = np.array(sorted(rows))
+    u = np.stack([rows[i] / np.linalg.norm(rows[i]) for i in names.tolist()])
+    got: dict[int, set] = {}
+    for r in multi_index.search(df, F.col("id") % 50 == 0, visit=multi_index.VISIT).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = asked = 0
+    for q in names[names % 50 == 0].tolist():
+        s = u @ (rows[q] / np.linalg.norm(rows[q]))
+        s[names == q] = -2
+        hits += len(got[q] & set(names[np.lexsort((names, -s))[:5]].tolist()))
+        asked += 5
+    assert hits / asked >= 0.9
+
+
 # 9 mixing
 
 
