@@ -1,11 +1,12 @@
 """Token files: all documents' ids in doc_id order, compressed by the adaptive range coder, and their reader.
 
-Texts are dealt to files by ranges of doc_id and sorted, so file after file holds the corpus in order. A file is Parquet
+Texts are dealt to files by ranges of doc_id and the text's hash and sorted, so file after file holds the corpus in order. A file is Parquet
 with a row for each chunk of about ``CHUNK`` ids: the doc_ids, their numbers of ids, and the coded blocks. The place of a
 document in the whole stream is a sum over files, over the file's chunks and within the chunk; only the first sum meets in
 one task, with a row for each file.
 
-Defined results: a null text has only the end id; documents go by (doc_id, text), null doc_ids first; repeated rows are
+Defined results: a null text has only the end id; documents go by (doc_id, hash of the text), null doc_ids first; ids
+above 65535 raise an error; repeated rows are
 stored once each; an empty table gives files without rows and an empty result; other columns are ignored. A damaged block
 raises an error when it is read.
 """
@@ -56,9 +57,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
         if held:
             yield row()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("h"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").mapInArrow(run, schema).write.parquet(path)
+    rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").mapInArrow(run, schema).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame:

@@ -237,6 +237,14 @@ def test_range_coder():
         range_coder.encode(np.array([65536]))
 
 
+def test_range_coder_beats_zlib_on_real_ids(corpus):
+    coder = Encoder(queries.tokenizer_path())
+    ids = np.concatenate([np.append(x, 0) for x in coder.encode([r.text or "" for r in corpus.orderBy("doc_id").collect()])]).astype(np.int64)
+    data = range_coder.encode(ids)
+    assert np.array_equal(range_coder.decode(data), ids)
+    assert len(data) < 0.95 * len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+
+
 def test_token_files(spark, corpus, tmp_path):
     docs = corpus.select("doc_id", "text").union(frame(spark, [(-5, None), (-4, "")]).select("doc_id", "text"))
     token_files.write(docs, f"{tmp_path}/t", queries.tokenizer_path())
