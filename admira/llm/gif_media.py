@@ -57,16 +57,12 @@ def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """The code stream of samples below ``1 << bits``."""
     clear = 1 << bits
-    roots = list(range(clear))
     runs: list[list[int]] = []
     codes: list[int] = []
     table: dict[int, int] = {}
-    free, now = clear + 2, -1
-    get = table.get
-    for sample in data:
-        if now < 0:
-            now = sample
-            continue
+    free, get = clear + 2, table.get
+    now = data[0] if data else -1
+    for sample in memoryview(data)[1:]:
         key = now << 8 | sample
         found = get(key)
         if found is not None:
@@ -81,7 +77,7 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
             codes = []
             table.clear()
             free = clear + 2
-        now = roots[sample]
+        now = sample
     if now >= 0:
         codes.append(now)
     runs.append(codes)
