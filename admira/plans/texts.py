@@ -37,8 +37,8 @@ def _page_noise(x):
     return f"({phrases} OR (({times}) >= 2 AND len({x}) > 50) OR {_letters(x)} < greatest(10, len({x}) * 0.4::DOUBLE) OR {_garbled(x)})"
 
 
-def _record_noise(x):
-    phrases = " OR ".join(f"contains(lower({x}), '{p}')" for p in PHRASES)
+def _record_noise(x, phrases=PHRASES):
+    phrases = " OR ".join(f"contains(lower({x}), '{p}')" for p in phrases)
     return f"(len({x}) < 20 OR {phrases} OR {_letters(x)} < len({x}) * 0.4::DOUBLE OR {_garbled(x)})"
 
 
@@ -222,6 +222,34 @@ def html_tables(spark, d):
     return H.extract_html_tables(table(spark, d, "pages").select("page_id", made.alias("html"))).select("page_id", "kind", "idx", "row_idx", "title", F.array_join("cells", "|").alias("cells"), F.array_join("headers", "|").alias("headers"))
 
 
+@query(
+    "p14_real_header",
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (len(ws) > 0 AND len(list_filter(ws, lambda x: regexp_matches(x, '{G.rules.AMOUNT_LIKE}'))) <= len(ws) * 0.3::DOUBLE) AS n_real
+    FROM w GROUP BY doc_id""",
+)
+def real_headers(spark, d):
+    """Every line of a text as the cells of a header."""
+    words = F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", G.is_real_header(words).cast("int").alias("real")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("real").alias("n_real"))
+
+
+@query(
+    "p17_normalize_fees",
+    f"""WITH l AS (SELECT doc_id, {_CLEAN.format("source")} AS label, unnest(list_transform(string_split(text, chr(10)), lambda x: {_CLEAN.format("x")})) AS value FROM documents),
+    k AS (SELECT doc_id, label || ': ' || value AS fee FROM l WHERE label <> '' AND value <> '' AND NOT ({_record_noise("label", G.rules.RECORD_NOISE)} AND {_record_noise("value", G.rules.RECORD_NOISE)}))
+    SELECT d.doc_id, count(k.fee) AS n_fees, coalesce(sum(len(k.fee)), 0)::BIGINT AS length FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""",
+)
+def fee_entries(spark, d):
+    """Every line of a text as a fee's value under the name of its source."""
+    docs = table(spark, d, "documents")
+    fees = G.normalize_fee_entries(F.transform(F.split("text", "\n"), lambda x: F.struct(F.col("source").alias("label"), x.alias("value"))))
+    sizes = F.transform(F.col("fees"), lambda f: F.length(f["label"]) + F.length(f["value"]) + 2)
+    return docs.select("doc_id", fees.alias("fees")).select("doc_id", F.size("fees").cast("long").alias("n_fees"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("length"))
+
+
 @query("s8_select_pdf_urls", "SELECT page_id FROM pages WHERE contains(lower(url), '1')")
 def pdf_urls(spark, d):
     return S.select_pdf_urls(table(spark, d, "pages"), needle="1").select("page_id")
