@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import degree_levels, entity_slug, split_sentences
+from ..functions.text import degree_levels, split_sentences
 
 MAX_CHARS, OVERLAP_CHARS = 1200, 150
 
@@ -84,10 +84,6 @@ def build_chunks(records: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("_", "stem", "category", F.col("i").cast("string")).alias("chunk_id"), "category", F.concat(head, "chunk").alias("text"), chunk_metadata(F.col("category"), F.col("chunk")).alias("metadata"))
 
 
-def slug_of(records: DataFrame) -> DataFrame:
-    return records.withColumn("entity_id", entity_slug(F.col("university")))
-
-
 def hashing_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic embedder: signed counts of hashed words, scaled to length 1."""
     import zlib

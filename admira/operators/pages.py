@@ -197,7 +197,3 @@ def normalize_records(parsed: DataFrame, seeds: DataFrame, sites: DataFrame) ->
         "fee_structure": F.struct("fees", F.array_compact(F.transform("fees", lambda f: numeric_range(f["value"]))).alias("numeric_summary")),
     }).drop("fees")
     return enrich(out, seeds, "entity_id", ["location"]).join(sites.withColumnRenamed("site", "official_website"), "university", "left")
-
-
-def page_positions(pages: DataFrame, key: str, order: str) -> DataFrame:
-    return pages.withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy(order)))

@@ -225,13 +225,13 @@ def html_tables(spark, d):
 @query(
     "p14_real_header",
     rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-    w AS (SELECT doc_id, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l)
+    w AS (SELECT doc_id, regexp_extract_all(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*') AS ws FROM l)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (len(ws) > 0 AND len(list_filter(ws, lambda x: regexp_matches(x, '{G.rules.AMOUNT_LIKE}'))) <= len(ws) * 0.3::DOUBLE) AS n_real
     FROM w GROUP BY doc_id""",
 )
 def real_headers(spark, d):
-    """Every line of a text as the cells of a header."""
-    words = F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    """The words with digits of every line as the cells of a header."""
+    words = F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"), F.lit(0))
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.select("doc_id", G.is_real_header(words).cast("int").alias("real")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("real").alias("n_real"))
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window as W
 
 
 def scan_json_records(spark: SparkSession, path: str, schema: StructType | str, suffix: str = "") -> DataFrame:
@@ -102,10 +101,6 @@ def ensure_built(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return True
 
 
-def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(order)))
-
-
 def recommendations_markdown(ranked: DataFrame, profiles: DataFrame) -> DataFrame:
     """(profile_id, markdown): a report for each applicant with recommendations."""
     mark = lambda f: F.when(f["status"] == "pass", "✓").otherwise("⚠")
