@@ -21,11 +21,19 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-_T2, _T1 = 4096, 1024
+#: Entries of the naming tables: a block has no more contexts than ids.
+_T2, _T1 = 2048, 1024
 #: Counts of a chunk are scaled to this sum.
 _SCALE = 20
-_U16, _U32, _US = np.uint64(16), np.uint64(32), np.uint64(_SCALE)
-_LOW, _MASK48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
+_LOW, _MASK48 = 1 << 32, (1 << 48) - 1
+#: An entry of a naming table that names no id yet.
+_EMPTY = 4 << 16
+#: What a choice adds to a distribution of which a 32nd is taken, by choice, and the bits of both 32nds.
+_GAIN = np.array([2040, 2040 << 32, 0])
+_FIFTH = 0x7FF << 32 | 0x7FF
+#: What an entry gains, by its confidence: where its id did not come, then where it came. ``_REPLACE``: the id that came takes its place.
+_REPLACE = 1 << 30
+_STEP = np.array([_REPLACE, -65536, -65536, -65536, _REPLACE, 65536, 65536, 65536, 0, -_EMPTY], np.int32)
 
 
 class _Head:
@@ -65,44 +73,57 @@ class _Head:
 
 
 class _Models:
-    """The models of ``n`` blocks at the same place."""
+    """The models of ``n`` blocks at the same place, in whole numbers, so that every machine decodes alike.
+
+    A row of a naming table holds an id and, above bit 16, its confidence from 0 to 3, or ``_EMPTY``. A distribution
+    holds the chances, of 65536, of order 2's and order 1's id, 32 bits apart; the rest is order 0's.
+    """
 
     def __init__(self, n: int, head: _Head):
         self.n, self.lane, self.successor = n, np.arange(n), head.successor
-        self.t2, self.t1 = np.zeros(n * _T2, np.int32), np.zeros(n * _T1, np.int32)  # id named, confidence above bit 16
-        start = np.array([0.1, 0.15, 0.75], dtype=np.float32)
-        self.mix = [np.tile(start, (n * 5, 1)) for _ in range(2)]  # by confidence, or where the table has no entry
-        self.weight = np.full((2, n), 0.5, dtype=np.float32)
+        self.lane2, self.lane1, self.lane5 = self.lane * _T2, self.lane * _T1, self.lane * 5
+        self.t2, self.t1 = np.full(n * _T2, _EMPTY, np.int32), np.full(n * _T1, _EMPTY, np.int32)
+        self.mix2, self.mix1 = (np.full(n * 5, 6554 | 9830 << 32) for _ in range(2))  # by confidence, or where the table has no entry
+        self.weight = np.full(n, 2048, np.float32)  # of order 2's distribution, of 4096
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.bounds, self.parts = np.zeros((4, n), np.int64), np.zeros((3, n), np.int64)
+        self.bounds[3] = 65536
 
     def predict(self) -> tuple[np.ndarray, ...]:
         """The ids named by order 2 and order 1 and the upper ends, of 65536, of their choices."""
-        self.i2 = self.lane * _T2 + ((self.last * 0x9E3B + self.before * 0x5BD1) >> 3 & (_T2 - 1))
-        self.i1 = self.lane * _T1 + (self.last * 0x9E3B >> 4 & (_T1 - 1))
-        e2, e1 = self.t2[self.i2], self.t1[self.i1]
-        self.at = [self.lane * 5 + np.where(e == 0, 4, e >> 16) for e in (e2, e1)]
-        self.p = [np.take(m, a, axis=0) for m, a in zip(self.mix, self.at, strict=True)]
-        self.mixed = self.p[0] * self.weight[0][:, None] + self.p[1] * self.weight[1][:, None]
-        f = (self.mixed[:, :2] * np.float32(65500)).astype(np.int64) + 1
-        self.e2, self.e1 = e2, e1
-        return e2 & 0xFFFF, np.where(e1 == 0, self.successor[self.last], e1 & 0xFFFF), f[:, 0], f[:, 0] + f[:, 1]
+        spread = self.last * 0x9E3B
+        self.i2 = self.lane2 + ((spread + self.before * 0x5BD1) >> 3 & (_T2 - 1))
+        self.i1 = self.lane1 + (spread >> 4 & (_T1 - 1))
+        self.e2, self.e1 = self.t2.take(self.i2), self.t1.take(self.i1)
+        self.s2, self.s1 = self.e2 >> 16, self.e1 >> 16
+        self.c2, self.c1 = self.e2 & 0xFFFF, self.e1 & 0xFFFF
+        self.at2, self.at1 = self.lane5 + self.s2, self.lane5 + self.s1
+        self.p2, self.p1 = self.mix2.take(self.at2), self.mix1.take(self.at1)
+        weight = self.weight.astype(np.int64)
+        mixed = self.p2 * weight + self.p1 * (4096 - weight)
+        upper1 = np.right_shift(mixed & 0xFFFFFFFF, 12, out=self.bounds[1])
+        upper2 = np.add(upper1, mixed >> 44, out=self.bounds[2])
+        return self.c2, np.where(self.s1 == 4, self.successor.take(self.last), self.c1), upper1, upper2
+
+    def interval(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width, of 65536, of each block's choice."""
+        self.chosen = choice * self.n + self.lane
+        start = self.bounds.take(self.chosen)
+        self.width = self.bounds.take(self.chosen + self.n) - start
+        return start, self.width
 
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        at = self.lane * 3 + choice
-        share = np.float32(0.06) / np.take(self.mixed, at)
-        for k in range(2):
-            p = self.p[k]
-            self.weight[k] *= np.float32(0.94) + share * np.take(p, at)
-            p *= np.float32(0.97)
-            p.reshape(-1)[at] += np.float32(0.03)
-            self.mix[k][self.at[k]] = p
-        np.maximum(self.weight, np.float32(0.02), out=self.weight)
-        self.weight /= self.weight.sum(axis=0)
-        for table, at, entry in ((self.t2, self.i2, self.e2), (self.t1, self.i1, self.e1)):
-            conf = entry >> 16
-            same = (entry & 0xFFFF) == ids
-            kept = np.where(same, np.minimum(conf + 1, 3), conf - 1)
-            table[at] = np.where(same | (conf > 0), entry & 0xFFFF, ids) | np.maximum(kept, 0) << 16
+        named, other = np.bitwise_and(self.p2, 0xFFFF, out=self.parts[0]), np.right_shift(self.p2, 32, out=self.parts[1])
+        np.subtract(65536 - named, other, out=self.parts[2])
+        self.weight *= np.float32(0.94) + np.float32(0.06) * (self.parts.take(self.chosen).astype(np.float32) / self.width.astype(np.float32))
+        np.clip(self.weight, 82, 4014, out=self.weight)
+        gain = _GAIN.take(choice)
+        for mix, at, p in ((self.mix2, self.at2, self.p2), (self.mix1, self.at1, self.p1)):
+            mix[at] = p - (p >> 5 & _FIFTH) + gain
+        ids32 = ids.astype(np.int32)
+        for table, at, entry, conf, c in ((self.t2, self.i2, self.e2, self.s2, self.c2), (self.t1, self.i1, self.e1, self.s1, self.c1)):
+            step = _STEP.take(conf + (c == ids32) * 5)
+            table[at] = np.where(step == _REPLACE, ids32, entry + step)
         self.before, self.last = self.last, ids
 
 
@@ -111,16 +132,9 @@ def _encode_blocks(ids: np.ndarray, head: _Head) -> tuple[np.ndarray, np.ndarray
     steps, n = ids.shape
     models = _Models(n, head)
     out, pos = np.zeros((3 * steps + 8, n), np.uint16), np.zeros(n, np.int64)
-    low, size = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
-
-    def narrow(who: np.ndarray | None, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        new = unit * width.astype(np.uint64)
-        if who is None:
-            np.add(low, unit * start.astype(np.uint64), out=low)
-            size[:] = new
-        else:
-            low[who] += unit * start.astype(np.uint64)
-            size[who] = new
+    low, size = np.zeros(n, np.int64), np.full(n, _MASK48)
+
+    def settle() -> None:
         over = np.flatnonzero(low > _MASK48)
         if len(over):
             low[over] &= _MASK48
@@ -131,24 +145,30 @@ def _encode_blocks(ids: np.ndarray, head: _Head) -> tuple[np.ndarray, np.ndarray
                 over, back = over[wrapped], back[wrapped] - 1
         small = np.flatnonzero(size < _LOW)
         if len(small):
-            out[pos[small], small] = (low[small] >> _U32).astype(np.uint16)
-            pos[small] += 1
-            low[small] = low[small] << _U16 & _MASK48
-            size[small] <<= _U16
+            ends, at = low[small], pos[small]
+            out[at, small] = ends >> 32
+            pos[small] = at + 1
+            low[small] = ends << 16 & _MASK48
+            size[small] <<= 16
 
     for t in range(steps):
         x = ids[t]
-        c2, c1, u1, u2 = models.predict()
-        choice = np.where(x == c2, 0, np.where(x == c1, 1, 2))
-        start = np.choose(choice, (0, u1, u2))
-        narrow(None, start, np.choose(choice, (u1, u2, 65536)) - start, size >> _U16)
+        c2, c1, _, _ = models.predict()
+        choice = np.where(x == c2, 0, 2 - (x == c1))
+        start, width = models.interval(choice)
+        unit = size >> 16
+        low += unit * start
+        np.multiply(unit, width, out=size)
+        settle()
         who = np.flatnonzero(choice == 2)
         if len(who):
-            value = x[who]
-            narrow(who, head.start[value], head.width[value], size[who] >> _US)
+            value, unit = x[who], size[who] >> _SCALE
+            low[who] += unit * head.start.take(value)
+            size[who] = unit * head.width.take(value)
+            settle()
         models.learn(x, choice)
     for shift in (32, 16, 0):
-        out[pos, models.lane] = (low >> np.uint64(shift)).astype(np.uint16)
+        out[pos, models.lane] = low >> shift & 0xFFFF
         pos += 1
     return out, pos
 
@@ -157,38 +177,37 @@ def _decode_blocks(words: np.ndarray, steps: int, head: _Head) -> np.ndarray:
     """The inverse: ``words`` is (most, blocks), zeros behind each block's own."""
     n = words.shape[1]
     models = _Models(n, head)
-    owner = np.repeat(head.known, head.narrow)  # the id at each place of the scale
+    owner = np.repeat(head.known.astype(np.uint16), head.narrow)  # the id at each place of the scale
     ids = np.zeros((steps, n), np.int64)
-    code = (words[0].astype(np.uint64) << _U32) | (words[1].astype(np.uint64) << _U16) | words[2]
-    pos, size = np.full(n, 3, np.int64), np.full(n, (1 << 48) - 1, np.uint64)
+    first = words[:3].astype(np.int64)
+    code = first[0] << 32 | first[1] << 16 | first[2]
+    pos, size = np.full(n, 3, np.int64), np.full(n, _MASK48)
     most = len(words) - 1
 
-    def narrow(who: np.ndarray | None, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        new = unit * width.astype(np.uint64)
-        if who is None:
-            np.subtract(code, unit * start.astype(np.uint64), out=code)
-            size[:] = new
-        else:
-            code[who] -= unit * start.astype(np.uint64)
-            size[who] = new
+    def settle() -> None:
         small = np.flatnonzero(size < _LOW)
         if len(small):
-            code[small] = code[small] << _U16 | words[np.minimum(pos[small], most), small]
-            pos[small] += 1
-            size[small] <<= _U16
+            at = pos[small]
+            code[small] = code[small] << 16 | words[np.minimum(at, most), small]
+            pos[small] = at + 1
+            size[small] <<= 16
 
     for t in range(steps):
-        c2, c1, u1, u2 = models.predict()
-        unit = size >> _U16
-        choice = (code >= unit * u1.astype(np.uint64)).astype(np.int64) + (code >= unit * u2.astype(np.uint64))
-        start = np.choose(choice, (0, u1, u2))
-        narrow(None, start, np.choose(choice, (u1, u2, 65536)) - start, unit)
-        x = np.choose(choice, (c2, c1, 0)).astype(np.int64)
+        c2, c1, upper1, upper2 = models.predict()
+        unit = size >> 16
+        choice = (code >= unit * upper1).astype(np.int64) + (code >= unit * upper2)
+        start, width = models.interval(choice)
+        np.subtract(code, unit * start, out=code)
+        np.multiply(unit, width, out=size)
+        settle()
+        x = np.where(choice == 0, c2, c1).astype(np.int64)
         who = np.flatnonzero(choice == 2)
         if len(who):
-            unit = size[who] >> _US
-            value = owner[np.minimum((code[who] // unit).astype(np.int64), len(owner) - 1)]
-            narrow(who, head.start[value], head.width[value], unit)
+            unit, rest = size[who] >> _SCALE, code[who]
+            value = owner.take(np.minimum(rest // unit, len(owner) - 1)).astype(np.int64)
+            code[who] = rest - unit * head.start.take(value)
+            size[who] = unit * head.width.take(value)
+            settle()
             x[who] = value
         ids[t] = x
         models.learn(x, choice)
