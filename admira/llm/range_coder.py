@@ -21,8 +21,7 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-#: Entries of the naming tables: a block has no more contexts than ids.
-_T2, _T1 = 2048, 1024
+_T2, _T1 = 4096, 1024
 #: Counts of a chunk are scaled to this sum.
 _SCALE = 20
 _LOW, _MASK48 = 1 << 32, (1 << 48) - 1
@@ -51,9 +50,11 @@ class _Head:
         width = np.maximum(counts[known] * ((1 << _SCALE) - len(known)) // len(ids), 0) + 1
         width[counts[known].argmax()] += (1 << _SCALE) - width.sum()
         pairs, n = np.unique(ids[:-1] << 16 | ids[1:], return_counts=True)
-        order = np.lexsort((n, pairs >> 16))
+        first = pairs >> 16
+        at = np.flatnonzero(np.diff(first, prepend=-1))
         best = np.zeros(1 << 16, np.int64)
-        best[pairs[order] >> 16] = pairs[order] & 0xFFFF
+        if len(at):
+            best[first[at]] = np.maximum.reduceat(n << 16 | pairs & 0xFFFF, at) & 0xFFFF
         return cls(known, width, best[known])
 
     def pack(self) -> bytes:
