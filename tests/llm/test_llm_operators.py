@@ -224,6 +224,7 @@ def test_packing(spark, corpus):
 def test_range_coder():
     rng = np.random.default_rng(4)
     cases = [[], [5], rng.integers(0, 65536, 5000), [65535] * 5000, np.arange(9000) % 7, [0] * 2048 + [65535] * 2049]
+    cases += [rng.zipf(1.3, n) % 50000 for n in (1, 2, 2047, 2048, 2049, 4097)] + [np.repeat(rng.integers(0, 65536, 30), 2000)]
     for case in cases:
         ids = np.array(case, dtype=np.int64)
         data = range_coder.encode(ids)
