@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_windows, gif_media, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, token_files
+from . import best_fit, chat_windows, filter_audit, gif_media, language_id, line_dedup, lm_scoring, mixing, multi_index, ngram_join, sharding, token_files, turn_repair
 from .common import shared_dir, stage
 
 
@@ -65,6 +65,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op4_token_files, op5_chat_windows, op6_lm_scoring, op7_language_id, op8_multi_index, op9_mixing, op10_ngram_jaccard_join)}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired_digest(table(spark, sf_dir, "conversations"))
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_lm_scoring": lm_scoring.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op4_token_files, op5_chat_windows, op6_lm_scoring, op7_language_id, op8_multi_index, op9_mixing, op10_ngram_jaccard_join, op11_turn_repair, op12_filter_audit, op13_sharding)}
+
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_lm_scoring": lm_scoring.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
