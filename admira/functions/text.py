@@ -18,6 +18,11 @@ def _any(parts: Sequence[Column]) -> Column:
     return out
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """``rlike`` with word borders, spaces and digits of all alphabets, whatever the Java release."""
+    return text.rlike("(?U)" + pattern)
+
+
 def clean_text(text: Column) -> Column:
     """Runs of white space, no-break spaces, line separators and byte-order marks become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(F.translate(text, "\u2028\u2029\ufeff\u00a0", "    "), r"(?U)\s+", " "))
@@ -71,7 +76,7 @@ def split_sentences(text: Column) -> Column:
 
 
 def word_pattern(words: Sequence[str], plural: bool = False) -> str:
-    return r"\b(?:" + "|".join(re.escape(w.lower()).replace(r"\ ", " ").replace(r"\-", "-") for w in words) + ")" + ("s?" if plural else "") + r"\b"
+    return r"(?U)\b(?:" + "|".join(re.escape(w.lower()).replace(r"\ ", " ").replace(r"\-", "-") for w in words) + ")" + ("s?" if plural else "") + r"\b"
 
 
 def keyword_snippets(text: Column, words: Sequence[str], most: int = 5, **noise) -> Column:
@@ -129,7 +134,7 @@ def entity_slug(name: Column) -> Column:
 
 
 def degree_levels(text: Column, levels: Sequence[tuple[str, str]] = rules.DEGREE_LEVELS) -> Column:
-    return F.array_join(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(label)) for label, p in levels])), ",")
+    return F.array_join(F.array_compact(F.array(*[F.when(matches(text, p), F.lit(label)) for label, p in levels])), ",")
 
 
 def sanitize_int(text: Column) -> Column:

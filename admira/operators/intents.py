@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import rules
-from ..functions.text import word_pattern
+from ..functions.text import matches, word_pattern
 
 
 def detect_entities(text: Column, aliases: dict[str, list[str]]) -> Column:
@@ -22,7 +22,7 @@ def detect_entities(text: Column, aliases: dict[str, list[str]]) -> Column:
 def focus_entities(text: Column, aliases: dict[str, list[str]], words: str = rules.FOCUS_WORDS) -> Column:
     """The named ids, where at least two are named in a comparison or an enumeration; else none."""
     ids = detect_entities(text, aliases)
-    return F.when((F.size(ids) >= 2) & (text.rlike(words) | text.contains(",")), ids).otherwise(F.array().cast("array<string>"))
+    return F.when((F.size(ids) >= 2) & (matches(text, words) | text.contains(",")), ids).otherwise(F.array().cast("array<string>"))
 
 
 def category_hints(text: Column, words: dict[str, list[str]] = rules.CATEGORY_WORDS) -> Column:
@@ -32,7 +32,7 @@ def category_hints(text: Column, words: dict[str, list[str]] = rules.CATEGORY_WO
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+    return matches(text, "|".join(f"(?:{p})" for p in patterns))
 
 
 #: What the flags of a message look for: patterns of a ``why`` over lower case, phrases of a ``chart``, else one pattern.
@@ -47,15 +47,15 @@ def message_intents(text: Column, aliases: dict[str, list[str]], words: dict = I
     t = F.trim(F.coalesce(text, F.lit("")))
     low = F.lower(t)
     why = _any(low, words["why"])
-    again, follow = t.rlike(words["rerank"]), t.rlike(words["followup"])
+    again, follow = matches(t, words["rerank"]), matches(t, words["followup"])
     chart = F.exists(F.lit(list(words["chart"])), lambda p: low.contains(p))
     focused = F.size(focus_entities(t, aliases, words["focus"])) > 0
     return {
         "asks_why_ranked": why,
         "asks_rerank": again,
         "is_followup": ~focused & ~(again & ~follow) & (follow | why),
-        "is_question": (t != "") & ~chart & (t.contains("?") | t.rlike(words["question"])),
-        "has_question_sign": t.rlike(words["sign"]),
+        "is_question": (t != "") & ~chart & (t.contains("?") | matches(t, words["question"])),
+        "has_question_sign": matches(t, words["sign"]),
         "asks_about_chart": chart,
     }
 

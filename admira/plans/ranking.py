@@ -33,6 +33,10 @@ totals AS (SELECT *, CAST(round_even((CASE priority_focus
     ELSE 25 * program_match + 20 * eligibility_match + 20 * budget_fit + 15 * location_fit + 10 * scholarship_fit + 10 * goal_alignment END) / 100.0::DOUBLE, 0) AS INTEGER) AS total_score FROM scores),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY total_score DESC, id) AS INTEGER) AS rank FROM totals)"""
 _RANKED = f"{_EP}, {_PAIRS}, {_SCORES}"
+#: The same, each step computed once: for SQL that reads the ranking more than once.
+_RANKED_ONCE = _RANKED
+for _step in ("courses", "entities", "ranked"):
+    _RANKED_ONCE = _RANKED_ONCE.replace(f"{_step} AS (SELECT", f"{_step} AS MATERIALIZED (SELECT", 1)
 
 
 def _ranked(spark, d, limit=5):
@@ -56,18 +60,22 @@ def recommend(spark, d):
 _VECTOR_DIST = "list_sum(list_transform(list_zip(q, v), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 
 
-@query("r12_recommend_with_chunks", f"""{_RANKED}, c AS (SELECT r.profile_id, r.id, embedding AS q FROM ranked r JOIN embeddings ON vec_id = r.profile_id WHERE rank <= 5),
+_TOLD = """coalesce(nullif(array_to_string(list_filter([e.name, e.city, CASE WHEN e.province <> '' THEN 'province ' || e.province END, CASE WHEN e.fee_amount <> 0 THEN 'tuition ' || e.fee_amount || ' ' || e.fee_period END,
+  CASE WHEN e.min_eligibility IS NOT NULL THEN 'min eligibility ' || e.min_eligibility || '%' END, CASE WHEN e.has_scholarships THEN 'scholarships available' END, CASE WHEN e.hostel THEN 'hostel available' END], lambda x: x IS NOT NULL AND x <> ''), '. '), ''), '')"""
+
+
+@query("r12_recommend_with_chunks", f"""{_RANKED_ONCE}, best AS MATERIALIZED (SELECT profile_id, rank, id, total_score FROM ranked WHERE rank <= 5), c AS MATERIALIZED (SELECT r.profile_id, r.id, embedding AS q FROM best r JOIN embeddings ON vec_id = r.profile_id),
 a AS (SELECT c.profile_id, c.id, vec_id AS chunk_id, {_VECTOR_DIST} AS dist FROM c JOIN (SELECT vec_id, label, embedding AS v FROM embeddings) e ON c.id = e.label),
 k AS (SELECT *, row_number() OVER (PARTITION BY profile_id, id ORDER BY dist, chunk_id) AS place FROM a QUALIFY place <= 4),
 g AS (SELECT profile_id, id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY place) AS chunk_ids FROM k GROUP BY 1, 2)
-SELECT r.profile_id, r.rank, r.id, r.total_score, CASE WHEN c.id IS NOT NULL THEN coalesce(g.chunk_ids, '') END AS chunk_ids
-FROM ranked r LEFT JOIN c ON r.profile_id = c.profile_id AND r.id = c.id LEFT JOIN g ON r.profile_id = g.profile_id AND r.id = g.id WHERE rank <= 5""")
+SELECT r.profile_id, r.rank, r.id, r.total_score, CASE WHEN c.id IS NOT NULL THEN coalesce(g.chunk_ids, '') END AS chunk_ids, CASE WHEN c.id IS NOT NULL THEN CASE WHEN g.id IS NULL THEN {_TOLD} ELSE '' END END AS fallback
+FROM best r JOIN entities e ON r.id = e.id LEFT JOIN c ON r.profile_id = c.profile_id AND r.id = c.id LEFT JOIN g ON r.profile_id = g.profile_id AND r.id = g.id""")
 def recommend_with_chunks(spark, d):
     e = table(spark, d, "embeddings")
     asked = e.select(F.col("vec_id").alias("profile_id"), F.col("embedding").alias("q"), F.lit(None).cast("string").alias("level"))
     vectors = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("entity"), F.col("embedding").alias("v"), F.lit("").alias("levels"))
     found = R.recommend(profiles(spark, d), entities(spark, d), 5, asked=asked, vectors=vectors)
-    return found.select("profile_id", "rank", "id", "total_score", "chunk_ids")
+    return found.select("profile_id", "rank", "id", "total_score", "chunk_ids", "fallback")
 
 
 @query("w4_rank_all", f"{_RANKED} SELECT profile_id, rank, id, total_score FROM ranked WHERE rank <= 20")

@@ -311,7 +311,9 @@ def site(spark, d):
 
 
 _ALIASES = {"w_the": ["the", "of the"], "w_was": ["was"], "w_with": ["with", "this"], "w_and": ["and"]}
-_MATCH = r"list_transform(regexp_extract_all(lower(text), '\b(?:of the|this|with|the|was|and)\b'), lambda a: CASE WHEN a IN ('the', 'of the') THEN 'w_the' WHEN a = 'was' THEN 'w_was' WHEN a IN ('with', 'this') THEN 'w_with' ELSE 'w_and' END)"
+# Word borders of all letters: DuckDB's \b knows ASCII letters only. Words are put between two marks first.
+_MARKED = r"regexp_replace(lower(text), '([\p{L}\p{M}\p{Nd}_]+)', chr(1) || '\1' || chr(2), 'g')"
+_MATCH = rf"list_transform(list_transform(regexp_extract_all({_MARKED}, '\x01(?:of\x02 \x01the|this|with|the|was|and)\x02'), lambda m: replace(replace(m, chr(1), ''), chr(2), '')), lambda a: CASE WHEN a IN ('the', 'of the') THEN 'w_the' WHEN a = 'was' THEN 'w_was' WHEN a IN ('with', 'this') THEN 'w_with' ELSE 'w_and' END)"
 _M = f"m AS (SELECT *, {_MATCH} AS ms FROM conversations)"
 
 
@@ -343,12 +345,13 @@ _INTENTS = {
 }
 
 
+_B, _E, _GAP = r"(^|[^\p{L}\p{M}\p{Nd}_])", r"($|[^\p{L}\p{M}\p{Nd}_])", r"[^\p{L}\p{M}\p{Nd}_\n](.*[^\p{L}\p{M}\p{Nd}_\n])?"
 _FLAGS = rf"""WITH {_M}, t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS t, lower(trim(coalesce(text, ''))) AS low, coalesce(len(list_distinct(ms)), 0) AS named FROM m),
-w AS (SELECT *, named >= 2 AND (contains(t, ',') OR regexp_matches(t, '(?i)\b(as|at)\b')) AS focused, regexp_matches(low, '\bwas\b.*\bwith\b|\bby\b.*\bbe\b') AS asks_why_ranked,
-  regexp_matches(t, '(?i)\b(this|from)\b') AS asks_rerank, regexp_matches(t, '(?i)\b(for|are)\b') AS follow, contains(low, 'of the') OR contains(low, 'is to') AS asks_about_chart,
-  regexp_matches(t, '(?i)\?|\bit\b|\bthat\b') AS has_question_sign FROM t),
+w AS (SELECT *, named >= 2 AND (contains(t, ',') OR regexp_matches(t, '(?i){_B}(as|at){_E}')) AS focused, regexp_matches(low, '{_B}was{_GAP}with{_E}|{_B}by{_GAP}be{_E}') AS asks_why_ranked,
+  regexp_matches(t, '(?i){_B}(this|from){_E}') AS asks_rerank, regexp_matches(t, '(?i){_B}(for|are){_E}') AS follow, contains(low, 'of the') OR contains(low, 'is to') AS asks_about_chart,
+  regexp_matches(t, '(?i)\?|{_B}(it|that){_E}') AS has_question_sign FROM t),
 f AS (SELECT *, NOT focused AND NOT (asks_rerank AND NOT follow) AND (follow OR asks_why_ranked) AS is_followup,
-  t <> '' AND NOT asks_about_chart AND (contains(t, '?') OR regexp_matches(t, '(?i)\b(is|on)\b')) AS is_question FROM w)"""
+  t <> '' AND NOT asks_about_chart AND (contains(t, '?') OR regexp_matches(t, '(?i){_B}(is|on){_E}')) AS is_question FROM w)"""
 
 
 @query("i4_message_intents", f"{_FLAGS} SELECT conv_id, turn, asks_why_ranked, asks_rerank, is_followup, is_question, has_question_sign, asks_about_chart FROM f")
