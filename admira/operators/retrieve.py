@@ -6,28 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .nearest import nearest
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, d: s + d * d)
-
-
-#: Questions up to which every task holds them all; more go in blocks.
-QUESTIONS = 4096
-
-
-def knn(questions: DataFrame, vectors: DataFrame, k: int, match: Column | None = None) -> DataFrame:
-    """questions(question_id, q) with their k nearest vectors(id, v, ...): a stated query set against all rows.
-
-    The best k of each slice of the vectors are kept first, so that what is shuffled per question does not grow with the
-    vectors' number.
-    """
-    n = questions.count()
-    side = F.broadcast(questions) if n <= QUESTIONS else questions
-    near = vectors.withColumn("__slice", F.pmod(F.xxhash64("id"), F.lit(64))).join(side, F.lit(True) if match is None else match)
-    near = near.withColumn("distance", squared_l2(F.col("q"), F.col("v")))
-    best = lambda keys: F.row_number().over(W.partitionBy(*keys).orderBy("distance", "id"))
-    near = near.withColumn("rank", best(["question_id", "__slice"])).where(F.col("rank") <= k)
-    return near.withColumn("rank", best(["question_id"])).where(F.col("rank") <= k).drop("__slice", "q", "v")
+def knn(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """questions(question_id, q) with their k nearest vectors(id, v, ...): a stated query set against all rows."""
+    one = F.lit("")
+    return nearest(questions.select("question_id", "q", one.alias("list")), vectors.withColumn("list", one), k)
 
 
 def metadata_where(entity: str | None = None, categories: list[str] | None = None) -> Column:
@@ -45,19 +29,30 @@ def retrieve(questions: DataFrame, vectors: DataFrame, k: int = 6) -> DataFrame:
 
     questions(question_id, q, want_entity, want_categories, strict); vectors(id, v, entity, category). A question takes
     the hits of entity and categories; without any, those of its entity alone (if it named both); without any, and unless
-    strict, all. The widest tier that is needed is known from counts by (entity, category), so distances are computed
-    for one tier only.
+    strict, all.
+
+    Vectors stand in inverted lists by entity and category, by each of them, and in one of all. The sizes of the lists tell
+    which tier a question needs, and it opens the lists of this tier only; lists that nobody opens are not built.
     """
-    cells = vectors.groupBy("entity", "category").agg(F.count(F.lit(1)).alias("n"))
-    entity_given, cats_given = F.col("want_entity").isNotNull(), F.coalesce(F.size("want_categories"), F.lit(0)) > 0
-    same_entity = ~entity_given | (F.col("entity") == F.col("want_entity"))
-    same_cat = ~cats_given | F.array_contains("want_categories", F.col("category"))
-    asked = questions.select("question_id", "want_entity", "want_categories")
-    filled = asked.join(cells, same_entity, "left").groupBy("question_id").agg(F.count_if(F.col("entity").isNotNull() & same_cat).alias("both"), F.count("entity").alias("one"))
-    tier = F.when(F.col("both") > 0, 1).when(entity_given & cats_given & (F.col("one") > 0), 2).when(~F.col("strict") & (entity_given | cats_given), 3).otherwise(0)
-    side = questions.join(filled, "question_id").withColumn("tier", tier).where("tier > 0")
-    match = F.when(F.col("tier") == 1, same_entity & same_cat).when(F.col("tier") == 2, F.col("entity") == F.col("want_entity")).otherwise(True)
-    return knn(side, vectors, k, match).select("question_id", "rank", "id", "entity", "category", "distance", "tier")
+    name = lambda *parts: F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), p), F.lit("*")) for p in parts])
+    any_ = F.lit(None).cast("string")
+    entity, category = F.col("entity"), F.col("category")
+    lists = F.array_compact(F.array(F.when(entity.isNotNull() & category.isNotNull(), name(entity, category)), F.when(entity.isNotNull(), name(entity, any_)), F.when(category.isNotNull(), name(any_, category)), name(any_, any_)))
+    sizes = vectors.groupBy("entity", "category").agg(F.count(F.lit(1)).alias("n")).select(F.explode(lists).alias("list")).distinct()
+
+    asked, cats = F.col("want_entity"), F.array_distinct(F.array_compact(F.coalesce("want_categories", F.array().cast("array<string>"))))
+    named, grouped = asked.isNotNull(), F.coalesce(F.size("want_categories"), F.lit(0)) > 0
+    first = F.when(grouped, F.transform(cats, lambda c: name(asked, c))).otherwise(F.array(name(asked, any_)))
+    second = F.when(named & grouped, F.array(name(asked, any_))).otherwise(F.array().cast("array<string>"))
+    third = F.when(~F.col("strict") & (named | grouped), F.array(name(any_, any_))).otherwise(F.array().cast("array<string>"))
+    tiers = F.array(*[F.struct(F.lit(i).alias("tier"), c.alias("lists")) for i, c in ((1, first), (2, second), (3, third))])
+    wanted = questions.select("question_id", F.inline(tiers)).select("question_id", "tier", F.explode("lists").alias("list"))
+    there = wanted.join(sizes, "list").withColumn("least", F.min("tier").over(W.partitionBy("question_id"))).where("tier = least")
+    opened = there.select("question_id", "tier", "list").join(questions.select("question_id", "q"), "question_id")
+    kept = vectors.select("id", "v", "entity", "category", F.explode(lists).alias("list")).join(opened.select("list").distinct(), "list", "left_semi")
+    found = nearest(opened.select("question_id", "q", "list"), kept, k)
+    tier = opened.select("question_id", "tier").distinct()
+    return found.join(tier, "question_id").select("question_id", "rank", "id", "entity", "category", "distance", "tier")
 
 
 def degree_filter(levels: Column, wanted: Column) -> Column:
@@ -69,10 +64,12 @@ def degree_filter(levels: Column, wanted: Column) -> Column:
 def topk_per_entity(candidates: DataFrame, vectors: DataFrame, n: int = 4) -> DataFrame:
     """candidates(profile_id, id, q, level) with the n nearest of their entity's chunks (chunk_id, entity, v, levels):
     of the 3n nearest those of the wanted level."""
-    met = candidates.join(vectors, F.col("id") == F.col("entity")).withColumn("distance", squared_l2(F.col("q"), F.col("v")))
-    place = lambda: F.row_number().over(W.partitionBy("profile_id", "id").orderBy("distance", "chunk_id"))
-    near = met.withColumn("rank", place()).where(F.col("rank") <= 3 * n).where(degree_filter(F.col("levels"), F.col("level")))
-    return near.withColumn("rank", place()).where(F.col("rank") <= n).select("profile_id", "id", "rank", "chunk_id", "distance")
+    asked = candidates.select(F.struct("profile_id", "id", "level").alias("question_id"), "q", F.col("id").cast("string").alias("list"))
+    lists = vectors.select(F.col("chunk_id").alias("id"), "v", "levels", F.col("entity").cast("string").alias("list"))
+    near = nearest(asked, lists, 3 * n).where(degree_filter(F.col("levels"), F.col("question_id.level")))
+    place = F.row_number().over(W.partitionBy("question_id").orderBy("distance", "id"))
+    kept = near.withColumn("rank", place).where(F.col("rank") <= n)
+    return kept.select("question_id.profile_id", F.col("question_id.id").alias("of"), "rank", F.col("id").alias("chunk_id"), "distance").withColumnRenamed("of", "id")
 
 
 def structured_snippet() -> Column:

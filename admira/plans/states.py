@@ -10,6 +10,9 @@ from ..adapters import ENTITIES, EVENT_LOG, PROFILES, event_log, profiles, table
 from ..operators import chunks as C
 from ..operators import profiles as U
 from ..operators import retrieve as V
+from ..sources import versioned
+from ..sources.folders import shared_dir
+from ..streaming import keyed as K
 from ..streaming import state as E
 from .dashboard import _SHORT
 from .registry import query
@@ -82,10 +85,16 @@ def latest(spark, d):
 _PEV = "p AS (SELECT user_id AS student, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'save' END AS kind, CASE WHEN event_id % 2 = 0 THEN event_type END AS name, CASE WHEN value > 40 THEN value END AS academic_percentage FROM events)"
 
 
-@query("e7_profile_state", f"WITH {_PEV}, s AS (SELECT student, arg_max(kind, seq) AS kind, arg_max(name, seq) FILTER (WHERE name IS NOT NULL) AS name, arg_max(coalesce(academic_percentage, -1), seq) AS a FROM p GROUP BY 1) SELECT student, name, nullif(a, -1) AS academic_percentage, CAST(round_even(((CASE WHEN name IS NOT NULL THEN 5 ELSE 0 END) + (CASE WHEN a <> -1 THEN 15 ELSE 0 END)) * 100.0::DOUBLE / 110, 0) AS INTEGER) AS completeness_pct FROM s WHERE kind <> 'delete'")
+_PROFILE_SQL = f"WITH {_PEV}, s AS (SELECT student, arg_max(kind, seq) AS kind, arg_max(name, seq) FILTER (WHERE name IS NOT NULL) AS name, arg_max(coalesce(academic_percentage, -1), seq) AS a FROM p GROUP BY 1) SELECT student, name, nullif(a, -1) AS academic_percentage, CAST(round_even(((CASE WHEN name IS NOT NULL THEN 5 ELSE 0 END) + (CASE WHEN a <> -1 THEN 15 ELSE 0 END)) * 100.0::DOUBLE / 110, 0) AS INTEGER) AS completeness_pct FROM s WHERE kind <> 'delete'"
+
+
+def _profile_events(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("student"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("save").alias("kind"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("name"), F.when(F.col("value") > 40, F.col("value")).alias("academic_percentage"))
+
+
+@query("e7_profile_state", _PROFILE_SQL)
 def profile(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("student"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("save").alias("kind"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("name"), F.when(F.col("value") > 40, F.col("value")).alias("academic_percentage"))
-    return E.profile_state(e, ["name", "academic_percentage"])
+    return E.profile_state(_profile_events(spark, d), ["name", "academic_percentage"])
 
 
 @query("e8_ensure_students", "SELECT DISTINCT user_id AS session_id, CASE WHEN user_id % 2 = 0 THEN 'known' || user_id ELSE sha256(CAST(user_id AS VARCHAR)) END AS id FROM events")
@@ -95,22 +104,38 @@ def students(spark, d):
     return E.ensure_students(s, known)
 
 
-@query("e9_stream_state", f"WITH {_SHORT} SELECT profile_id, id, seq FROM shortlist")
-def streamed(spark, d):
-    """The shortlist fold over the events as a stream, in files of one batch each; the result is the state it leaves."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        spark.sparkContext.setCheckpointDir(shared := tempfile.mkdtemp(prefix="spark-"))
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    log = event_log(spark, d).select("seq", "ts", "student", "entity", "kind")
+def _streamed(spark, log, fold):
+    """The state table that a stream of the log leaves, in three batches of files."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     log.repartitionByRange(3, "seq").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = E.stream_state(stream, E.shortlist_state, f"{base}/log", f"{base}/state", f"{base}/offsets")
-    q.awaitTermination()
-    number = int((q.lastProgress or {"batchId": 0})["batchId"])
-    return spark.read.parquet(f"{base}/state/version={number % 2}").select("profile_id", "id", "seq")
+    K.stream_state(stream, fold, f"{base}/state", f"{base}/offsets").awaitTermination()
+    return K.read_state(spark, fold, f"{base}/state")
+
+
+@query("e9_stream_state", f"WITH {_SHORT} SELECT profile_id, id, created_at, seq FROM shortlist")
+def streamed(spark, d):
+    return _streamed(spark, event_log(spark, d).select("seq", "ts", "student", "entity", "kind"), K.shortlist_fold())
+
+
+@query("e9_stream_conversations", f"WITH {_CSTATE} SELECT * FROM cs")
+def streamed_conversations(spark, d):
+    return _streamed(spark, _conv_events(spark, d), K.conversation_fold())
+
+
+@query("e9_stream_profiles", _PROFILE_SQL)
+def streamed_profiles(spark, d):
+    return _streamed(spark, _profile_events(spark, d), K.profile_fold("student long", "name string, academic_percentage double"))
+
+
+@query("s11_bucketed_upserts", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
+def upserts(spark, d):
+    """The last order of each customer, merged in three commits that overlap."""
+    path = f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    for commit, part in enumerate(("o_orderkey % 3 <> 0", "o_orderkey % 3 <> 1", "o_orderkey % 3 <> 2")):
+        versioned.upsert(orders.where(part), path, ["o_custkey"], "o_orderkey", commit)
+    return versioned.read(spark, path, "o_custkey long, o_orderkey long, o_totalprice double")
 
 
 @query("w6_ordered_messages", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY -turn % 3, turn) AS INTEGER) AS place FROM conversations")

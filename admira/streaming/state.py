@@ -1,4 +1,4 @@
-"""State tables as folds over append-only event logs, in batch or merged batch by batch from a stream.
+"""State tables as folds over append-only event logs. ``keyed`` keeps the same tables by a stream.
 
 Every fold is a group-by with order-insensitive aggregates (last value by sequence number), so partial results combine on
 the map side and a replayed batch changes nothing.
@@ -6,9 +6,7 @@ the map side and a replayed batch changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -29,14 +27,21 @@ def shortlist_state(events: DataFrame) -> DataFrame:
     return saves.groupBy(F.col("student").alias("profile_id"), F.col("entity").alias("id")).agg(F.min_by("ts", "seq").alias("created_at"), F.min("seq").alias("seq"))
 
 
+def conversation_columns() -> tuple[Column, Column]:
+    """The title that an event sets, or null, and whether it shows or hides the conversation, or null."""
+    renamed = F.coalesce(F.nullif(F.substring(F.trim("title"), 1, 120), F.lit("")), F.lit(DEFAULT_TITLE))
+    title = F.when(F.col("kind") == "rename", renamed).when(F.col("kind") == "upsert", F.col("title"))
+    return title, F.when(F.col("kind") == "upsert", True).when(F.col("kind") == "delete", False)
+
+
 def conversation_state(events: DataFrame) -> DataFrame:
     """One row for each conversation from its events (seq, ts, conv, kind, title, filter).
 
     upsert keeps the title where it is null, replaces the filter and undeletes; rename cuts at 120 and blanks fall back to
     the default; delete hides; touch only dates.
     """
-    title = F.when(F.col("kind") == "rename", F.coalesce(F.nullif(F.substring(F.trim("title"), 1, 120), F.lit("")), F.lit(DEFAULT_TITLE))).when(F.col("kind") == "upsert", F.col("title"))
-    rows = events.withColumn("new_title", title).withColumn("alive", F.when(F.col("kind") == "upsert", True).when(F.col("kind") == "delete", False))
+    title, alive = conversation_columns()
+    rows = events.withColumns({"new_title": title, "alive": alive})
     last = lambda c, when: F.max_by(F.when(when, F.col(c)), F.when(when, F.col("seq")))
     return rows.groupBy("conv").agg(
         F.coalesce(last("new_title", F.col("new_title").isNotNull()), F.lit(DEFAULT_TITLE)).alias("title"),
@@ -108,16 +113,3 @@ def agent_context(profiles: DataFrame, shortlist: DataFrame, ranked: DataFrame)
     best = ranked.groupBy("profile_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda r: r["id"]), ",").alias("recommended"), F.count(F.lit(1)).alias("n_recommended"))
     out = profiles.join(saved, "profile_id", "left").join(best, "profile_id", "left")
     return out.select("profile_id", "completeness_pct", F.array_join("missing", ",").alias("missing"), F.coalesce("saved_ids", F.lit("")).alias("saved_ids"), F.coalesce("n_saved", F.lit(0)).alias("n_saved"), F.coalesce("recommended", F.lit("")).alias("recommended"), F.coalesce("n_recommended", F.lit(0)).alias("n_recommended"))
-
-
-def stream_state(events: DataFrame, fold: Callable[[DataFrame], DataFrame], log_path: str, state_path: str, checkpoint: str):
-    """Run a fold over a stream of events: each micro-batch is kept in the log under its own number (so that a replayed
-    batch overwrites itself) and the state is written anew from the log. Returns the started query."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        spark = batch.sparkSession
-        log = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(log_path)
-        fold(log).write.mode("overwrite").parquet(f"{state_path}/version={number % 2}")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
