@@ -136,7 +136,7 @@ QUESTION_INDICATOR = r"(?i)\?|\bscholarship|\bhostel|\bfee|\btuition|\beligib|\b
 CHART_PHRASES = ["analytics chart", "chart data snapshot", "agent takeaways", "university dataset field completeness"]
 FIRST_WORDS = r"\b(first|#1|top|ranked highest|leading)\b"
 
-# Factors of the ranking, in order, and their weights by priority; the boosted factor stands first.
+# Factors of the ranking, in order, their weights, and the factor that a priority raises by so many points.
 FACTOR_LABELS = {
     "program_match": "Program available",
     "eligibility_match": "Meets eligibility",
@@ -145,11 +145,9 @@ FACTOR_LABELS = {
     "location_fit": "Preferred location",
     "goal_alignment": "Career goal alignment",
 }
-FACTOR_WEIGHTS = {
-    None: {"program_match": 25, "eligibility_match": 20, "budget_fit": 20, "location_fit": 15, "scholarship_fit": 10, "goal_alignment": 10},
-    "fees": {"budget_fit": 30, "program_match": 21, "eligibility_match": 18, "location_fit": 13, "scholarship_fit": 9, "goal_alignment": 9},
-    "distance": {"location_fit": 25, "program_match": 21, "eligibility_match": 18, "budget_fit": 18, "scholarship_fit": 9, "goal_alignment": 9},
-}
+FACTOR_WEIGHTS = {"program_match": 25, "eligibility_match": 20, "budget_fit": 20, "location_fit": 15, "scholarship_fit": 10, "goal_alignment": 10}
+PRIORITY_FACTORS = {"fees": "budget_fit", "distance": "location_fit"}
+PRIORITY_POINTS = 10
 
 # Themes of programmes in the dashboard.
 PROGRAM_THEMES = [

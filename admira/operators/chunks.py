@@ -14,34 +14,39 @@ from ..functions.text import degree_levels, split_sentences
 MAX_CHARS, OVERLAP_CHARS = 1200, 150
 
 
-def pack_units(units: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
-    """Whole units packed greedily into chunks of up to ``most`` characters, a space counted with each.
+def spans_of(sizes: np.ndarray, most: int, overlap: int) -> tuple[list[int], list[int]]:
+    """The first and the last-but-one unit of each chunk, by binary search in prefix sums: no unit is looked at twice.
 
-    A unit is never split. The last units of a full chunk that fit ``overlap`` together begin the next one.
+    A chunk ends before the unit that would pass ``most``; the next one begins with the last units that fit ``overlap``
+    together, takes that unit in any case, and goes on.
     """
-    none = F.array().cast("array<string>")
-    size = lambda u: F.length(u) + 1
+    ahead = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    starts, ends, start, end, n = [], [], 0, 1, len(sizes)
+    while n:
+        end = max(end, int(np.searchsorted(ahead, ahead[start] + most, side="right")) - 1)
+        starts.append(start)
+        ends.append(min(end, n))
+        if end >= n:
+            break
+        start = max(start, int(np.searchsorted(ahead, ahead[end] - overlap, side="left")))
+        end += 1
+    return starts, ends
 
-    def carry(current: Column) -> Column:
-        start = F.struct(none.alias("kept"), F.lit(0).alias("len"), F.lit(True).alias("open"))
 
-        def take(a: Column, u: Column) -> Column:
-            fits = a["open"] & (a["len"] + size(u) <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(u), a["kept"])).otherwise(a["kept"]).alias("kept"), F.when(fits, a["len"] + size(u)).otherwise(a["len"]).alias("len"), fits.alias("open"))
+def pack_units(units: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
+    """Whole units packed greedily into chunks of up to ``most`` characters, a space counted with each.
 
-        return F.aggregate(F.reverse(current), start, take)
+    A unit is never split. The last units of a full chunk that fit ``overlap`` together begin the next one. Only the units'
+    sizes go to Python; their texts are joined where they are.
+    """
 
-    def step(a: Column, u: Column) -> Column:
-        full = (F.size(a["cur"]) > 0) & (a["len"] + size(u) > most)
-        carried = carry(a["cur"])
-        return F.struct(
-            F.when(full, F.concat(a["out"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["out"]).alias("out"),
-            F.concat(F.when(full, carried["kept"]).otherwise(a["cur"]), F.array(u)).alias("cur"),
-            (F.when(full, carried["len"]).otherwise(a["len"]) + size(u)).alias("len"),
-        )
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def spans(sizes: pd.Series) -> pd.Series:
+        made = (spans_of(np.asarray(x, dtype=np.int64), most, overlap) if x is not None else ([], []) for x in sizes)
+        return pd.Series([[{"a": a, "b": b} for a, b in zip(*m, strict=True)] for m in made])
 
-    start = F.struct(none.alias("out"), none.alias("cur"), F.lit(0).alias("len"))
-    return F.aggregate(units, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["out"]))
+    found = spans(F.transform(units, lambda u: F.length(u) + 1))
+    return F.when(units.isNotNull(), F.transform(found, lambda s: F.array_join(F.slice(units, s["a"] + 1, s["b"] - s["a"]), " ")))
 
 
 def chunk_text(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:

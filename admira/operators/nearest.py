@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .blocks import deal
+
 #: Rows of a block, on either side, about.
 BLOCK = 4096
 #: Questions of a block whose distances are held at a time.
 SLICE = 256
-#: Lists up to which their block numbers are broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def _sound(v: Column) -> Column:
@@ -70,14 +70,7 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK
     in_list = lambda v: F.struct("list", F.size(v).alias("dims"))
     q = questions.where(_sound(F.col("q"))).select("question_id", "q", in_list("q").alias("l"))
     v = vectors.where(_sound(F.col("v"))).select("id", "v", *more, in_list("v").alias("l"))
-    parts = lambda df, name: df.groupBy("l").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    deal = parts(q, "qs").join(parts(v, "vs"), "l")
-    few = deal.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    deal = F.broadcast(deal) if few else deal
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    q = q.join(deal, "l").withColumn("qb", own("question_id", "qs")).withColumn("vb", every("vs")).drop("qs", "vs")
-    v = v.join(deal, "l").withColumn("vb", own("id", "vs")).withColumn("qb", every("qs")).drop("qs", "vs")
+    q, v = deal(q, v, "l", "question_id", "id", block, block)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["question_id", "id", *more, "distance"]
@@ -89,7 +82,7 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK
 
     kinds = {f.name: f.dataType for f in [*q.schema, *v.schema]}
     schema = ", ".join(f"`{n}` {kinds[n].simpleString()}" for n in ("question_id", "id", *more)) + ", distance double"
-    keys = ("l", "qb", "vb")
+    keys = ("l", "lb", "rb")
     met = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(meet, schema)
     first = F.row_number().over(W.partitionBy("question_id").orderBy("distance", "id"))
     return met.withColumn("rank", first).where(F.col("rank") <= k)

@@ -1,12 +1,12 @@
 """Candidate pairs of applicants and institutions, hard gates, factor scores and the explained ranking.
 
-All of it is columns over one joined table, so that a job ranks every applicant at once. ``recommend`` reads course lists
-once for every different wish (field and goals) and institution, not once a pair; applicants meet these by an equi-join on
-their wish, with the gates in its condition. A pair is a few numbers until the best of each applicant are known, before
-the shuffle; only these get their factors and texts.
+All of it is columns over joined tables, so that a job ranks every applicant at once. What applicants look for in course
+lists are a few phrases each; one automaton finds all phrases of all applicants in one pass over the courses, and a pair
+compares two short arrays. A pair is a few numbers until the best of each applicant are known, before the shuffle; only
+these get their factors and texts.
 
-Where all pairs are asked for, the institutions' side is broadcast while it has at most ``BROADCAST_ROWS`` rows and
-``BROADCAST_CHARS`` characters of course lists; beyond that the pairs come from a shuffle of both sides over blocks.
+``recommend`` doesn't meet every institution: these stand in bins, a bin's best attributes bound what any of it can score,
+and an applicant opens bins as long as their bound reaches the last place of the own list.
 """
 
 from __future__ import annotations
@@ -16,22 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import rules
-from ..functions.geo import haversine_km, tokens, tokens_contained
+from ..functions.geo import EARTH_KM, haversine_km, tokens, tokens_contained
+from ..sources.folders import stage
+from .blocks import bounded, deal
+from .candidates import bin_of, gate, gated, province
+from .phrases import find
 from .retrieve import attach_chunks
 
-#: Institutions up to which every applicant task holds them all.
-BROADCAST_ROWS = 200_000
-BROADCAST_CHARS = 64_000_000
-_BLOCKS = 64
-
-
-def gate(profile: dict[str, Column], entity: dict[str, Column]) -> Column:
-    """Drop a pair that is known not to fit: percentage below the minimum, no hostel, another province."""
-    pct, least = profile["academic_percentage"], entity["min_eligibility"]
-    wanted, own = F.lower(F.trim(profile["preferred_province"])), F.lower(F.trim(entity["province"]))
-    fits = pct.isNull() | least.isNull() | (pct >= least)
-    fits &= ~F.coalesce(profile["hostel_required"], F.lit(False)) | F.coalesce(entity["hostel"], F.lit(True))
-    return fits & (F.coalesce(wanted, F.lit("")).isin("") | F.coalesce(own, F.lit("")).isin("") | (wanted == own))
+__all__ = ["gate", "gated"]
+#: What the gates read.
+_GATE_P, _GATE_E = ("profile_id", "academic_percentage", "hostel_required", "preferred_province"), ("id", "min_eligibility", "hostel", "province")
 
 
 def candidate_pairs(profiles: DataFrame, entities: DataFrame, focus: DataFrame | None = None) -> DataFrame:
@@ -40,51 +34,68 @@ def candidate_pairs(profiles: DataFrame, entities: DataFrame, focus: DataFrame |
     ``focus`` (profile_id, pos, id) names institutions for applicants; these get exactly the known ones among them, not
     gated, with their place in ``pos``.
     """
-    p = profiles.select(F.struct(*profiles.columns).alias("p"))
     entities = _prepared(entities)
-    e = entities.select(F.struct(*entities.columns).alias("e"))
-    side = lambda name, df: {c: F.col(f"{name}.{c}") for c in df.columns}
-    rule = gate(side("p", profiles), side("e", entities))
+    p, e = profiles.select(F.struct(*profiles.columns).alias("p")), entities.select(F.struct(*entities.columns).alias("e"))
     if focus is None:
-        return _every_pair(p, e, rule).withColumn("pos", F.lit(None).cast("int"))
+        bare = entities.select(F.struct(*[c for c in _GATE_E if c in entities.columns]).alias("e"))
+        met = gated(p, bare).select("p", F.col("e.id").alias("__id"))
+        return met.join(bounded(e), F.col("__id") == F.col("e.id")).select("p", "e", F.lit(None).cast("int").alias("pos"))
     named = focus.select(F.col("profile_id").alias("f_profile"), F.col("id").alias("f_id"), "pos")
     known = named.join(e, F.col("e.id") == F.col("f_id")).join(p, F.col("p.profile_id") == F.col("f_profile")).select("p", "e", F.col("pos").cast("int").alias("pos"))
-    free = p.join(named.select("f_profile").distinct(), F.col("p.profile_id") == F.col("f_profile"), "left_anti")
-    return known.unionByName(_every_pair(free, e, rule).withColumn("pos", F.lit(None).cast("int")))
+    free = profiles.join(named.select(F.col("f_profile").alias("profile_id")).distinct(), "profile_id", "left_anti")
+    return known.unionByName(candidate_pairs(free, entities))
+
+
+def gated_ids(profiles: DataFrame, entities: DataFrame) -> DataFrame:
+    """(profile_id, id) of the pairs that pass the gates."""
+    p, e = profiles.select(F.struct(*_GATE_P).alias("p")), entities.select(F.struct(*_GATE_E).alias("e"))
+    return gated(p, e).select("p.profile_id", "e.id")
 
 
 def _prepared(entities: DataFrame) -> DataFrame:
     """Add what the scores read of the courses: each in lower case, and all as one text."""
-    if "courses" not in entities.columns:
+    if "courses" not in entities.columns or "listed" in entities.columns:
         return entities
     low = F.coalesce(F.transform("courses", F.lower), F.array().cast("array<string>"))
     return entities.withColumn("low_courses", low).withColumn("listed", F.array_join("low_courses", " "))
 
 
-def _every_pair(p: DataFrame, e: DataFrame, rule: Column) -> DataFrame:
-    chars = F.length("e.listed") if "listed" in e.schema["e"].dataType.names else F.lit(0)
-    return every_pair(p, e, rule, F.xxhash64("e.id"), chars)
+def focus_join(focus: DataFrame, entities: DataFrame) -> DataFrame:
+    """Known institutions of each requested list, in the requested order."""
+    return focus.join(entities, "id").withColumn("place", F.row_number().over(W.partitionBy("profile_id").orderBy("pos")))
 
 
-def every_pair(left: DataFrame, right: DataFrame, rule: Column, spread: Column, chars: Column | None = None) -> DataFrame:
-    """All pairs that ``rule`` takes: the right side is broadcast within the bounds, else dealt to blocks by ``spread``."""
-    n, size = right.agg(F.count(F.lit(1)), F.sum(F.lit(0) if chars is None else chars)).first()
-    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_CHARS:
-        return left.join(F.broadcast(right), rule)
-    blocks = right.withColumn("b", F.pmod(spread, F.lit(_BLOCKS)))
-    return left.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BLOCKS - 1).cast("long")))).join(blocks, "b").where(rule).drop("b")
+def factor_weights(base: dict[str, int] = rules.FACTOR_WEIGHTS, raised: str | None = None, points: int = rules.PRIORITY_POINTS) -> dict[str, int]:
+    """Weights that sum as ``base`` does, with ``raised`` in front and ``points`` heavier.
 
+    The others shrink in proportion, rounded half to even; what rounding leaves goes to the heaviest of them.
+    """
+    if raised is None:
+        return dict(base)
+    whole, others = sum(base.values()), {c: w for c, w in base.items() if c != raised}
+    rest = whole - base[raised] - points
+    shrunk = {c: round(w * rest / sum(others.values())) for c, w in others.items()}
+    shrunk[max(shrunk, key=shrunk.get)] += rest - sum(shrunk.values())
+    return {raised: base[raised] + points} | shrunk
 
-def focus_join(focus: DataFrame, entities: DataFrame) -> DataFrame:
-    """Known institutions of each requested list, in the requested order."""
-    return focus.join(entities, "id").withColumn("place", F.row_number().over(W.partitionBy("profile_id").orderBy("pos")))
+
+def weight_sets(base: dict[str, int] = rules.FACTOR_WEIGHTS, raises: dict[str, str] = rules.PRIORITY_FACTORS, points: int = rules.PRIORITY_POINTS) -> dict[str | None, dict[str, int]]:
+    """The weights of each priority; None for those who have none."""
+    return {None: factor_weights(base)} | {p: factor_weights(base, c, points) for p, c in raises.items()}
+
+
+def _by_priority(priority: Column, made: dict[str | None, Column]) -> Column:
+    key, out = F.lower(F.trim(priority)), F
+    for name, value in made.items():
+        if name is not None:
+            out = out.when(key == name, value)
+    return made[None] if out is F else out.otherwise(made[None])
 
 
-def weights(priority: Column) -> Column:
-    """array of struct(criterion, weight), the boosted factor first."""
-    made = {k: F.array(*[F.struct(F.lit(c).alias("criterion"), F.lit(n).alias("weight")) for c, n in w.items()]) for k, w in rules.FACTOR_WEIGHTS.items()}
-    key = F.lower(F.trim(priority))
-    return F.when(key == "fees", made["fees"]).when(key == "distance", made["distance"]).otherwise(made[None])
+def weights(priority: Column, sets: dict[str | None, dict[str, int]] | None = None) -> Column:
+    """array of struct(criterion, weight), the raised factor first."""
+    sets = weight_sets() if sets is None else sets
+    return _by_priority(priority, {k: F.array(*[F.struct(F.lit(c).alias("criterion"), F.lit(n).alias("weight")) for c, n in w.items()]) for k, w in sets.items()})
 
 
 def fee_per_semester(amount: Column, period: Column) -> Column:
@@ -117,13 +128,13 @@ def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def score_program(field: Column, courses: Column, low_courses: Column | None = None, made=_scored) -> Column:
-    """``low_courses``: the courses in lower case, where they are at hand."""
+def score_program(field: Column, courses: Column, low_courses: Column | None = None, made=_scored, match: Column | None = None) -> Column:
+    """``low_courses``: the courses in lower case, where they are at hand; ``match``: whether they hold the field."""
     low_courses = F.transform(courses, F.lower) if low_courses is None else low_courses
     given = _text(field) != ""
     low = F.lower(_text(field))
     words = F.filter(F.split(low, r"[\s,/]+"), lambda t: F.length(t) > 2)
-    match = F.exists(low_courses, lambda c: c.contains(low) | F.exists(words, lambda t: c.contains(t)))
+    match = match if match is not None else F.exists(low_courses, lambda c: c.contains(low) | F.exists(words, lambda t: c.contains(t)))
     return made(
         (~given, 50, "warn", "Program preference not specified"),
         (F.coalesce(match, F.lit(False)), 100, "pass", F.concat(field, F.lit(" offered"))),
@@ -181,15 +192,16 @@ def score_location(cities: Column, province: Column, city: Column, own_province:
     )
 
 
-def score_goals(goals: Column, field: Column, courses: Column, listed: Column | None = None, made=_scored) -> Column:
-    """``listed``: all courses as one text in lower case, where it is at hand."""
+def score_goals(goals: Column, field: Column, courses: Column, listed: Column | None = None, made=_scored, aligned: Column | None = None, related: Column | None = None) -> Column:
+    """``listed``: all courses as one text in lower case, where it is at hand; ``aligned`` and ``related``: whether it holds
+    the field, or a word of the goals."""
     low, wanted = F.lower(_text(goals)), F.lower(_text(field))
     listed = F.lower(F.array_join(F.coalesce(courses, F.array().cast("array<string>")), " ")) if listed is None else listed
     words = F.filter(F.split(low, r"[\s,]+"), lambda t: F.length(t) > 3)
     return made(
         (low == "", 60, "warn", "Career goals not specified"),
-        ((wanted != "") & listed.contains(wanted), 90, "pass", "Program aligns with stated goals"),
-        (F.exists(words, lambda t: listed.contains(t)), 80, "pass", "Related programs available"),
+        ((wanted != "") & (listed.contains(wanted) if aligned is None else aligned), 90, "pass", "Program aligns with stated goals"),
+        (F.exists(words, lambda t: listed.contains(t)) if related is None else related, 80, "pass", "Related programs available"),
         (None, 50, "warn", "Limited alignment with career goals"),
     )
 
@@ -212,15 +224,22 @@ def _pair_scores(made=_scored) -> dict[str, Column]:
 
 
 def _wish_scores(pairs: DataFrame, made=_scored) -> dict[str, Column]:
-    """The scores that need an applicant's field and goals and an institution's courses."""
-    ready = "listed" in pairs.schema["e"].dataType.names
-    low_courses, listed = (F.col("e.low_courses"), F.col("e.listed")) if ready else (None, None)
+    """The scores that need an applicant's field and goals and an institution's courses, by phrases where they were looked up."""
+    p, e = pairs.schema["p"].dataType.names, pairs.schema["e"].dataType.names
+    low_courses, listed = (F.col("e.low_courses"), F.col("e.listed")) if "listed" in e else (None, None)
+    match, aligned, related = _held() if "hits" in e and "goals" in p else (None, None, None)
     return {
-        "program_match": score_program(F.col("p.field_of_study"), F.col("e.courses"), low_courses, made),
-        "goal_alignment": score_goals(F.col("p.career_goals"), F.col("p.field_of_study"), F.col("e.courses"), listed, made),
+        "program_match": score_program(F.col("p.field_of_study"), F.col("e.courses"), low_courses, made, match),
+        "goal_alignment": score_goals(F.col("p.career_goals"), F.col("p.field_of_study"), F.col("e.courses"), listed, made, aligned, related),
     }
 
 
+def _held() -> tuple[Column, Column, Column]:
+    """Whether the side ``e`` holds what ``p`` looks for: a phrase of the field, the whole field, a word of the goals."""
+    whole = (F.col("p.whole") != "") & (F.array_contains("e.hits", F.col("p.whole")) | F.array_contains("e.across", F.col("p.whole")))
+    return F.arrays_overlap("p.field", "e.hits"), whole, F.arrays_overlap("p.goals", "e.hits")
+
+
 def factor_scores(pairs: DataFrame) -> DataFrame:
     """Add a column (score, status, detail) for each factor to (p, e, ...)."""
     out = _measured(pairs)
@@ -238,32 +257,140 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return out.withColumn("total_score", F.bround(total / 100.0, 0).cast("int")).withColumn("distance_km", F.bround("km", 1)).select(*pairs.columns, "factors", "total_score", "distance_km")
 
 
-_WISH = ("field_of_study", "career_goals")
-#: What a pair reads of an institution besides its courses.
+#: What a pair reads of an institution besides its courses, and of an applicant besides the wish.
 _BARE = ("id", "city", "province", "fee_amount", "fee_period", "min_eligibility", "hostel", "has_scholarships", "latitude", "longitude")
+_OWN = ("profile_id", "academic_percentage", "hostel_required", "preferred_province", "preferred_cities", "budget_pkr_per_semester", "scholarship_required", "priority_focus", "latitude", "longitude")
+
+
+def _wishes(profiles: DataFrame) -> DataFrame:
+    """What an applicant looks for in course lists: ``field`` (the whole field and its words), ``whole`` and ``goals``."""
+    low, goals = F.lower(_text(F.col("field_of_study"))), F.lower(_text(F.col("career_goals")))
+    field = F.concat(F.array(low), F.filter(F.split(low, r"[\s,/]+"), lambda t: F.length(t) > 2))
+    said = F.filter(F.split(goals, r"[\s,]+"), lambda t: F.length(t) > 3)
+    none = F.array().cast("array<string>")
+    return profiles.select(*_OWN, F.when(low != "", F.array_distinct(field)).otherwise(none).alias("field"), low.alias("whole"), F.when(goals != "", F.array_distinct(said)).otherwise(none).alias("goals"), (goals != "").alias("has_goals"))
+
+
+def _offers(wishes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Institutions with the phrases that their courses hold (``hits``), those of the joined list besides (``across``)."""
+    whole = _prepared(entities)
+    asked = wishes.select(F.explode(F.concat("field", "goals")).alias("phrase")).where("phrase <> ''").distinct()
+    text = lambda level, t: F.struct(F.struct("id", F.lit(level).alias("level")).alias("id"), t.alias("text"))
+    texts = whole.select(F.inline(F.array(text("hits", F.array_join("low_courses", "\x00")), text("across", F.col("listed")))))
+    some = lambda level: F.collect_set(F.when(F.col("id.level") == level, F.col("phrase"))).alias(level)
+    held = find(texts, asked).where((F.col("id.level") == "hits") | F.col("phrase").contains(" ")).groupBy(F.col("id.id").alias("of")).agg(some("hits"), some("across"))
+    out = whole.select(*_BARE, (F.size("low_courses") > 0).alias("has_courses")).join(held, F.col("id") == F.col("of"), "left")
+    none = F.array().cast("array<string>")
+    return out.select(*_BARE, "has_courses", F.coalesce("hits", none).alias("hits"), F.coalesce("across", none).alias("across"))
+
+
+def _found(courses: Column, empty: Column) -> dict[str, Column]:
+    """The scores of a wish by phrases; ``courses`` and ``empty`` say whether the side has institutions with and without."""
+    match, aligned, related = _held()
+    return {
+        "program_match": F.when(F.col("p.whole") == "", 50).when(match, 100).when(empty, 40).when(courses, 35).otherwise(40),
+        "goal_alignment": F.when(~F.col("p.has_goals"), 60).when(aligned, 90).when(related, 80).otherwise(50),
+    }
+
+
+def _total(priority: Column, points: dict[str, Column]) -> Column:
+    summed = {k: sum((points[c] * n for c, n in w.items()), F.lit(0)) for k, w in weight_sets().items()}
+    return F.bround(_by_priority(priority, summed) / 100.0, 0).cast("int")
+
+
+def _totals(pairs: DataFrame) -> DataFrame:
+    """(profile_id, id, total_score, km) of pairs (p, e) of wishes and offers."""
+    measured = _measured(pairs)
+    points = _pair_scores(_points) | _found(F.col("e.has_courses"), ~F.col("e.has_courses"))
+    return measured.select("p.profile_id", "e.id", _total(F.col("p.priority_focus"), points).alias("total_score"), "km")
 
 
 def totals(profiles: DataFrame, entities: DataFrame) -> DataFrame:
     """(profile_id, id, total_score, km) of every pair that passes the gates."""
+    wishes, offers = prepared(profiles, entities)
+    return _totals(gated(wishes.select(F.struct("*").alias("p")), offers.select(F.struct("*").alias("e"))))
+
+
+def prepared(profiles: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored wishes and offers."""
     tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wishes = profiles.select(F.struct(*_WISH).alias("p")).distinct().repartition(tasks, "p")  # few rows, much work
-    whole = _prepared(entities)
-    met = _every_pair(wishes, whole.select(F.struct(*whole.columns).alias("e")), F.lit(True))
-    bare = F.struct(*[F.col(f"e.{c}").alias(c) for c in _BARE]).alias("bare")
-    traits = met.select(F.col("p.field_of_study").alias("w_field"), F.col("p.career_goals").alias("w_goals"), bare, *[v.alias(f"w_{k}") for k, v in _wish_scores(met, _points).items()]).withColumnRenamed("bare", "e")
-    used = [c for c in profiles.columns if c not in ("name", "career_goals", "field_of_study")]
-    p = profiles.select(*_WISH, F.struct(*used).alias("p"))
-    if wishes.count() * entities.select("id").count() <= BROADCAST_ROWS:  # else both sides are shuffled, in tasks enough
-        traits, p = F.broadcast(traits), p.repartition(tasks, "p.profile_id")
-    side = lambda name, cols: {c: F.col(f"{name}.{c}") for c in cols}
-    wish = F.col("field_of_study").eqNullSafe(F.col("w_field")) & F.col("career_goals").eqNullSafe(F.col("w_goals"))
-    pairs = _measured(p.join(traits, wish & gate(side("p", used), side("e", _BARE))))
-    points = _pair_scores(_points) | {k: F.col(f"w_{k}") for k in ("program_match", "goal_alignment")}
-    pairs = pairs.select("p", "e", "km", *[v.alias(f"n_{k}") for k, v in points.items()])
-    summed = {k: sum((F.col(f"n_{c}") * n for c, n in w.items()), F.lit(0)) for k, w in rules.FACTOR_WEIGHTS.items()}
-    key = F.lower(F.trim(F.col("p.priority_focus")))
-    total = F.when(key == "fees", summed["fees"]).when(key == "distance", summed["distance"]).otherwise(summed[None])
-    return pairs.select("p.profile_id", "e.id", F.bround(total / 100.0, 0).cast("int").alias("total_score"), "km")
+    wishes = stage(_wishes(profiles).repartition(tasks, "profile_id"), "wishes")  # few bytes, much work: not to be coalesced
+    return wishes, stage(_offers(wishes, entities), "offers")
+
+
+#: Fees of a bin lie within this factor, minimum percentages within so many steps of the gates' bins.
+_FEE_STEP, _LEAST_STEPS = 4.0, 2
+
+
+def _bins(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Offers with their ``bin``, and the bins with the best that they hold, in the columns of an institution."""
+    fee = fee_per_semester(F.col("fee_amount"), F.col("fee_period"))
+    step = F.coalesce(F.floor(F.log(F.greatest(fee, F.lit(1)).cast("double")) / F.log(F.lit(_FEE_STEP))), F.lit(-1)).cast("int")
+    placed = (F.col("latitude") != 0) & (F.col("longitude") != 0)
+    rows = offers.withColumn("fee", fee).withColumn("placed", F.coalesce(placed, F.lit(False)))
+    rows = rows.withColumn("bin", F.struct(province(F.col("province")).alias("place"), F.coalesce(F.floor(bin_of(F.col("min_eligibility")) / _LEAST_STEPS).cast("int"), F.lit(-1)).alias("least"), F.coalesce("has_scholarships", F.lit(False)).alias("helped"), step.alias("fee")))
+    bins = rows.groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("min_eligibility").alias("min_eligibility"), F.max(F.coalesce("hostel", F.lit(True))).alias("hostel"), F.first("bin.helped").alias("has_scholarships"), F.min("fee").alias("fee"),
+        F.first("bin.place").alias("province"), F.collect_set("city").alias("cities"), F.max("has_courses").alias("some"), F.max(~F.col("has_courses")).alias("empty"),
+        F.max(~F.col("placed")).alias("unplaced"), F.min(F.when(F.col("placed"), F.col("latitude"))).alias("south"), F.max(F.when(F.col("placed"), F.col("latitude"))).alias("north"),
+    )
+    for name in ("hits", "across"):  # phrases that anyone asked for
+        held = rows.select("bin", F.explode(name).alias("x")).groupBy(F.col("bin").alias("b")).agg(F.collect_set("x").alias(name))
+        bins = bins.join(held, F.col("bin") == F.col("b"), "left").drop("b").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return rows, bins.withColumn("id", F.xxhash64("bin"))
+
+
+def _bound(met: DataFrame) -> Column:
+    """What no institution of the bin ``e`` can pass, for the applicant ``p``."""
+    city = F.exists("p.preferred_cities", lambda c: F.exists("e.cities", lambda x: (x != "") & (F.lower(x).contains(F.lower(c)) | F.lower(c).contains(F.lower(x)))))
+    wanted, here = F.lower(_text(F.col("p.preferred_province"))), F.col("p.latitude").isNotNull() & F.col("p.longitude").isNotNull()
+    apart = F.greatest(F.col("p.latitude") - F.col("e.north"), F.col("e.south") - F.col("p.latitude"), F.lit(0.0))
+    km = F.radians(apart) * EARTH_KM - 0.001  # no place is nearer than its latitude
+    near = F.when(here & F.col("e.south").isNotNull(), F.when(km <= 8, 95).when(km <= 20, 75).otherwise(45)).otherwise(0)
+    vague = F.when(F.col("e.unplaced") | ~here, 60).otherwise(0)
+    points = {
+        "eligibility_match": score_eligibility(F.col("p.academic_percentage"), F.col("e.min_eligibility"), _points),
+        "budget_fit": score_budget(F.col("p.budget_pkr_per_semester"), F.col("e.fee"), _points),
+        "scholarship_fit": score_scholarship(F.col("p.scholarship_required"), F.col("e.has_scholarships"), _points),
+        "location_fit": F.when(F.coalesce(city, F.lit(False)), 100).when((wanted != "") & (F.col("e.province") != "") & F.col("e.province").contains(wanted), 85).otherwise(F.greatest(near, vague)),
+    } | _found(F.col("e.some"), F.col("e.empty"))
+    return _total(F.col("p.priority_focus"), points)
+
+
+def opened(wishes: DataFrame, offers: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Of stored wishes and offers: the ``limit`` best of each applicant (profile_id, id, total_score, rank), and how far bins were opened: (profile_id,
+    number of opened institutions).
+
+    First the bins of the highest bounds, until they hold twice the limit, are opened; the last total that is in the list
+    then tells which other bins can still change it.
+    """
+    tasks = int(wishes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    offers, bins = _bins(offers)
+    p, e = wishes.select(F.struct("*").alias("p")), offers.select("bin", F.struct("*").alias("e"))
+    met = gated(p, bins.select(F.struct("*").alias("e")))
+    bounds = met.select("p.profile_id", F.col("e.bin").alias("bin"), F.col("e.n").alias("n"), _bound(met).alias("bound"))
+    before = W.partitionBy("profile_id").orderBy(F.desc("bound"), "bin").rowsBetween(W.unboundedPreceding, -1)
+    bounds = stage(bounds.withColumn("early", F.coalesce(F.sum("n").over(before), F.lit(0)) < 2 * limit), "bounds")
+
+    def scored(some: DataFrame) -> DataFrame:
+        left = some.select("profile_id", "bin").repartition(tasks, "profile_id").join(p, F.col("profile_id") == F.col("p.profile_id")).select("p", "bin")
+        side = bounded(e)
+        if side is e:  # too many to send: bins are dealt to blocks
+            left, right = deal(left, e, "bin", "p.profile_id", "e.id", 4096, 4096)
+            pairs = left.join(right, ["bin", "lb", "rb"])
+        else:
+            pairs = left.join(side, "bin")
+        fits = gate({c: F.col(f"p.{c}") for c in _GATE_P}, {c: F.col(f"e.{c}") for c in _GATE_E})
+        return _totals(pairs.where(fits).select("p", "e"))
+
+    own = W.partitionBy("profile_id").orderBy(F.desc("total_score"), "id")
+    best = lambda df: df.select("profile_id", "id", "total_score").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= limit)
+    first = stage(best(scored(bounds.where("early"))), "first")
+    last = first.where(F.col("rank") == limit).select(F.col("profile_id").alias("of"), F.col("total_score").alias("last"))
+    more = bounds.where("NOT early").join(last, F.col("profile_id") == F.col("of"), "left").where(F.col("last").isNull() | (F.col("bound") >= F.col("last")))
+    more = stage(more.select("profile_id", "bin", "n"), "more")
+    seen = bounds.where("early").select("profile_id", "n").unionByName(more.select("profile_id", "n")).groupBy("profile_id").agg(F.sum("n").alias("opened"))
+    return best(first.drop("rank").unionByName(scored(more).drop("km"))), seen
 
 
 def _shown(scored: DataFrame, rank: Column, focused: Column) -> DataFrame:
@@ -279,12 +406,13 @@ def recommend(profiles: DataFrame, entities: DataFrame, limit: int = 5, focus: D
     the chunks of the institution that are nearest to the applicant's question, or what is known of it as a text.
     """
     free = profiles if focus is None else profiles.join(focus.select("profile_id").distinct(), "profile_id", "left_anti")
-    own = W.partitionBy("profile_id").orderBy(F.desc("total_score"), "id")
-    top = totals(free, entities).select("profile_id", "id", "total_score").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= limit)
-    p = free.select(F.struct(*free.columns).alias("p"))
-    whole = _prepared(entities)
-    e = whole.select(F.struct(*whole.columns).alias("e"))
-    pairs = top.drop("total_score").join(p, F.col("profile_id") == F.col("p.profile_id")).join(e, F.col("id") == F.col("e.id")).select("p", "e", "rank")
+    entities = stage(entities, "entities")  # course lists are gathered once
+    wishes, offers = prepared(free, entities)
+    top, _ = opened(wishes, offers, limit)
+    found = wishes.select("profile_id", "field", "whole", "goals")
+    p = free.join(found, "profile_id").select(F.struct(*free.columns, "field", "whole", "goals").alias("p"))
+    e = entities.join(offers.select("id", "hits", "across"), "id").select(F.struct(*entities.columns, "hits", "across").alias("e"))
+    pairs = top.drop("total_score").join(p, F.col("profile_id") == F.col("p.profile_id")).join(bounded(e), F.col("id") == F.col("e.id")).select("p", "e", "rank")
     out = _shown(score_pairs(pairs), F.col("rank"), F.lit(False))
     if focus is not None:
         known = candidate_pairs(profiles.join(focus.select("profile_id").distinct(), "profile_id", "left_semi"), entities, focus).where("pos IS NOT NULL")
@@ -340,15 +468,29 @@ def geocode(areas: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """areas(area) with the coordinates of gazetteer(pos, place, latitude, longitude).
 
     An exact name wins; else token sets that hold one another, the longest name first, then the gazetteer's order. Areas
-    are matched once each, whatever their number of rows; candidates share a token, so this is an equi-join.
+    are matched once each, whatever their number of rows.
+
+    A set that another one holds shares its rarest token with it, so each side's rarest tokens are joined with all tokens of
+    the other; a token of many names meets only names of which it is the rarest. Tokens are dealt to blocks, so one in a
+    tenth of all names stays in no single task, and the best place is a minimum, which combines before the shuffle.
     """
     wanted = areas.select("area").distinct().withColumn("k", F.lower(F.trim("area"))).withColumn("t", tokens(F.col("k")))
     named = gazetteer.select("pos", F.lower(F.trim("place")).alias("g"), F.col("latitude").alias("la"), F.col("longitude").alias("lo")).withColumn("gt", tokens(F.col("g")))
-    left = wanted.select("area", "k", "t", F.explode_outer("t").alias("w"))
-    met = left.join(named.select("*", F.explode("gt").alias("w")), "w").where((F.col("k") == F.col("g")) | tokens_contained(F.col("t"), F.col("gt"))).dropDuplicates(["area", "pos"])
-    first = W.partitionBy("area").orderBy(F.when(F.col("k") == F.col("g"), 0).otherwise(1), F.desc(F.size("gt")), "pos")
-    best = met.withColumn("r", F.row_number().over(first)).where("r = 1").select("area", F.col("la").alias("latitude"), F.col("lo").alias("longitude"))
-    return wanted.select("area").join(best, "area", "left")
+    wanted, named = stage(wanted.where("area IS NOT NULL"), "areas"), stage(named, "places")
+    known = F.struct("pos", "g", "la", "lo", "gt").alias("p")
+    left, right = wanted.select("area", "k", "t", F.explode("t").alias("w")), named.select(known, F.explode("gt").alias("w"))
+    counts = bounded(stage(left.select("w").unionByName(right.select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "tokens"))
+    rarest = lambda df, keys: df.join(counts, "w").groupBy(*keys).agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = deal(a, b, "w", "area", "p.pos", 4096, 4096)
+        return a.join(b, ["w", "lb", "rb"]).where(tokens_contained(F.col("t"), F.col("p.gt"))).select("area", "k", "p")
+
+    same = wanted.join(named.select(known), F.col("k") == F.col("p.g")).select("area", "k", "p")
+    every = met(rarest(left, ["area", "k", "t"]), right).unionByName(met(left, rarest(right, ["p"]))).unionByName(same)
+    order = F.struct(F.when(F.col("k") == F.col("p.g"), 0).otherwise(1), -F.size("p.gt"), "p.pos")
+    best = every.groupBy("area").agg(F.min_by(F.struct("p.la", "p.lo"), order).alias("b"))
+    return areas.select("area").distinct().join(best, "area", "left").select("area", F.col("b.la").alias("latitude"), F.col("b.lo").alias("longitude"))
 
 
 def find_recommendation(questions: DataFrame, ranked: DataFrame, aliases: DataFrame) -> DataFrame:

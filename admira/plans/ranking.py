@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import ENTITIES, PROFILES, entities, profiles, table
 from ..functions.geo import haversine_km, tokens, tokens_contained
 from ..operators import rank as R
+from ..operators.blocks import every_pair
 from ..operators.rank import candidate_pairs
 from .registry import query
 
@@ -85,12 +86,12 @@ def rank_all(spark, d):
 
 @query("j2_candidate_pairs", f"{_EP} SELECT p.profile_id, count(*) AS n, CAST(sum(e.id) AS BIGINT) AS ids FROM profiles p JOIN entities e ON {_GATE} GROUP BY 1")
 def pairs(spark, d):
-    return candidate_pairs(profiles(spark, d), entities(spark, d)).groupBy("p.profile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("e.id").alias("ids"))
+    return R.gated_ids(profiles(spark, d), entities(spark, d)).groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
 @query("f2_hard_gates", f"{_EP} SELECT e.id, count(*) AS n FROM entities e JOIN profiles p ON {_GATE} GROUP BY 1")
 def gates(spark, d):
-    return candidate_pairs(profiles(spark, d), entities(spark, d)).groupBy("e.id").agg(F.count(F.lit(1)).alias("n"))
+    return R.gated_ids(profiles(spark, d), entities(spark, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("r1_ranking_weights", f"{_P} SELECT profile_id, CASE priority_focus WHEN 'fees' THEN 'budget_fit:30,program_match:21,eligibility_match:18,location_fit:13,scholarship_fit:9,goal_alignment:9' WHEN 'distance' THEN 'location_fit:25,program_match:21,eligibility_match:18,budget_fit:18,scholarship_fit:9,goal_alignment:9' ELSE 'program_match:25,eligibility_match:20,budget_fit:20,location_fit:15,scholarship_fit:10,goal_alignment:10' END AS weights FROM profiles")
@@ -153,7 +154,7 @@ def focus(spark, d):
 def distances(spark, d):
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("la"), F.col("lo"))
     spots = entities(spark, d).select(F.col("latitude").alias("la"), F.col("longitude").alias("lo")).distinct()  # 60 places
-    met = R.every_pair(profiles(spark, d).where("latitude IS NOT NULL").select("profile_id", "latitude", "longitude"), spots, F.lit(True), F.xxhash64("la", "lo"))
+    met = every_pair(profiles(spark, d).where("latitude IS NOT NULL").select("profile_id", "latitude", "longitude"), spots)
     return met.groupBy("profile_id").agg(F.round(F.max(km), 3).alias("far"), F.round(F.min(km), 3).alias("near"))
 
 

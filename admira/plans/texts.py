@@ -7,6 +7,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..adapters import PROFILES, profiles, table
 from ..functions import text as T
+from ..operators.phrases import find
 from ..operators import intents as I
 from ..operators import pages as G
 from ..operators import profiles as U
@@ -327,6 +328,17 @@ def detect(spark, d):
     return _messages(spark, d).select("conv_id", "turn", ids.alias("a")).select("conv_id", "turn", F.size("a").cast("long").alias("n"), F.get("a", F.lit(0)).alias("first"), F.array_join(F.array_sort("a"), ",").alias("ids"))
 
 
+@query("i1_detect_many_aliases", r"""WITH a AS (SELECT DISTINCT phrase FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}_]+')) AS phrase FROM benchmark) WHERE length(phrase) >= 4),
+w AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}_]+') AS w FROM documents))
+SELECT doc_id, count(*) AS n, count(DISTINCT word) AS named, arg_min(word, i) AS first FROM w JOIN a ON word = phrase GROUP BY 1""")
+def detect_many(spark, d):
+    """Whole words of the benchmark, some thousand aliases, in every text, by one automaton."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{Nd}_]+"), F.lit(0)))
+    aliases = table(spark, d, "benchmark").select(words.alias("phrase")).where(F.length("phrase") >= 4)
+    found = find(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), aliases, "words")
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("phrase").alias("named"), F.min_by("phrase", "start").alias("first"))
+
+
 @query("i2_focus_entities", f"WITH {_M} SELECT conv_id, turn, CASE WHEN len(list_distinct(ms)) >= 2 AND contains(text, ',') THEN array_to_string(list_sort(list_distinct(ms)), ',') ELSE '' END AS ids FROM m")
 def focus(spark, d):
     ids = I.focus_entities(F.col("text"), _ALIASES)

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from admira.operators import blocks
 from admira import catalog
 from admira.operators import pages as G
 from admira.operators import rank as R
@@ -142,7 +143,7 @@ def test_questions_and_names_without_cuts(spark, duck, sf_dir, name):
 def test_more_places_than_a_thousand(spark, duck, sf_dir, monkeypatch, rows):
     made = spark.range(3000).selectExpr("20 + id / 100.0D AS latitude", "60 + id / 200.0D AS longitude")
     monkeypatch.setattr(ranking, "entities", lambda spark, d: made)
-    monkeypatch.setattr(R, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(blocks.bounded, "__defaults__", (rows,))
     one = catalog.queries()["p35_haversine"](spark, sf_dir).orderBy("profile_id").first()
     at = ranking.profiles(spark, sf_dir).where(f"profile_id = {one.profile_id}").first()
     rad = [(math.radians(20 + i / 100), math.radians(60 + i / 200)) for i in range(3000)]
