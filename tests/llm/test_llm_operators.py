@@ -330,7 +330,7 @@ def test_long_conversation(spark):
 # 6 scores
 
 
-def brute_scores(docs, order, backoff=0.4):
+def brute_scores(docs, order, backoff=0.4, by_others=False):
     c, d = Counter(), Counter()
     marked = [["^", *x] if x else [] for x in docs]
     for y in marked:
@@ -342,7 +342,7 @@ def brute_scores(docs, order, backoff=0.4):
         total = 0.0
         for i in range(1, len(y)):
             grams = [(k, tuple(y[i - k + 1 : i + 1])) for k in range(order, 1, -1) if i - k + 1 >= 0]
-            k, g = next(((k, g) for k, g in grams if d[g] > 1), (1, (y[i],)))
+            k, g = next(((k, g) for k, g in grams if d[g] > by_others), (1, (y[i],)))
             total += np.log(backoff ** (order - k) * c[g] / (c[g[:-1]] if k > 1 else sum(map(len, docs))))
         out.append(total)
     return out
@@ -354,16 +354,22 @@ def test_lm_scores_against_counts(spark, monkeypatch, top, hot, order):
     monkeypatch.setattr(lm_scoring, "HOT_IN_SLICE", hot)
     rng = random.Random(6)
     texts = ["a b a b c", "a b", None, "", "A B d", "e", "a b a b c", "q r s t", "q r s t u"] + [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 12))) for _ in range(30)]
-    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), order=order).collect()}
     docs = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
-    for i, want in enumerate(brute_scores(docs, order)):
-        assert got[i].n_words == len(docs[i])
-        assert got[i].log_score is None if not docs[i] else abs(got[i].log_score - want) < 1e-3
+    for by_others in (False, True):
+        got = {r.doc_id: r for r in lm_scoring.score(frame(spark, texts), order=order, by_others=by_others).collect()}
+        for i, want in enumerate(brute_scores(docs, order, by_others=by_others)):
+            assert got[i].n_words == len(docs[i])
+            assert got[i].log_score is None if not docs[i] else abs(got[i].log_score - want) < 1e-3
     assert lm_scoring.score(frame(spark, [])).count() == 0
     same = lm_scoring.score(frame(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, None)]), order=2).collect()
     assert sorted((str(r.doc_id), r.n_words, r.log_score) for r in same) == [("1", 2, 0.0), ("1", 2, 0.0), ("2", 0, None), ("None", 2, 0.0)]
 
 
+def test_own_ngrams_count(spark):
+    got = {r.doc_id: r.log_score for r in lm_scoring.score(frame(spark, ["a b " * 50, "c d", "c d"])).collect()}
+    assert abs(got[0] - brute_scores([["a", "b"] * 50, ["c", "d"], ["c", "d"]], 2)[0]) < 1e-3 and round(got[0], 1) == -2.1
+
+
 # 7 languages
 
 
