@@ -15,8 +15,8 @@ characters include the spaces at word borders.
 Texts stay where they are read and go to Python by batches of rows, in slices of ``SLICE`` characters.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; rows without a label are never learned
-from; a null doc_id is not held out; with no labelled row at all everything is ``und``; beyond ``LANGUAGES`` labels the
-commonest are learned; repeated rows get equal answers; an empty table gives an empty result; other columns are ignored.
+from; a null doc_id is not held out; with no labelled row at all everything is ``und``; more than
+``LANGUAGES`` labels are an error, none is left out; repeated rows get equal answers; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ HASHES = 3
 SHARE = 0.5
 #: Languages in one word of the filter.
 WORD_BITS = 62
-#: Labels that are learned at most: four words of bits, a filter of 32 MB.
-LANGUAGES = 4 * WORD_BITS
+#: Labels up to which the filter goes to every task: 8 MB for each ``WORD_BITS`` of them, so 132 MB here.
+LANGUAGES = 1024
 #: Characters that are looked at in one go.
 SLICE = 1 << 18
 
@@ -84,9 +84,12 @@ def _places(g: np.ndarray) -> list[np.ndarray]:
 def sample(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], DataFrame]:
     """The languages, and (lang, text) of about ``TRAIN_DOCS`` documents of each."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 20)).alias("h"))
-    held = stage(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES), "labels")
+    held = stage(rows.groupBy("lang").count(), "labels")
+    names = sorted(r.lang for r in held.limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels: raise language_id.LANGUAGES if tasks can hold the filter")
     chosen = rows.join(F.broadcast(held), "lang").where(F.col("h") * F.col("count") < F.lit(TRAIN_DOCS) * F.lit(1 << 20)).select("lang", "text")
-    return sorted(r.lang for r in held.collect()), chosen  # LANGUAGES rows at most
+    return names, chosen
 
 
 def tops(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> dict[str, np.ndarray]:

@@ -389,6 +389,37 @@ def test_language_id(spark, corpus):
     assert kept.columns == corpus.columns and kept.count() >= 0.97 * corpus.where("text IS NOT NULL").count()
 
 
+def test_decision_against_exact_sets():
+    rng = random.Random(71)
+    vocab = {f"l{i}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(40)] for i in range(70)}  # two words of bits
+    of = {name: np.unique(language_id.grams([" ".join(ws)])[0]) for name, ws in vocab.items()}
+    langs, table = language_id.bit_filter(of)
+    fill = [np.count_nonzero(table[:, i // language_id.WORD_BITS] >> np.uint64(i % language_id.WORD_BITS) & np.uint64(1)) / language_id.POSITIONS for i in range(len(langs))]
+    texts = [" ".join(rng.choice(vocab[f"l{rng.randrange(70)}"] if rng.random() < 0.3 else vocab[name]) for _ in range(30)) for name in vocab] + ["", "12 ?", "zzzz"]
+    names, scores = language_id._judge(texts, langs, table, np.array([f**language_id.HASHES for f in fill]))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        g = language_id.grams([text])[0]
+        share = {x: float(np.isin(g, of[x]).mean()) if len(g) else 0.0 for x in langs}
+        best = max(share.values())
+        assert name == ("und" if not any(map(str.isalpha, text)) else name) and abs(score - best) < 0.01
+        if len(g) and best > 0.05:
+            assert share[name] >= best - 0.01
+
+
+def test_many_labels(spark, monkeypatch):
+    rng = random.Random(72)
+    vocab = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(260)}
+    rows = [(i * 260 + j, " ".join(rng.choice(ws) for _ in range(30)), name) for i in range(2) for j, (name, ws) in enumerate(vocab.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model[0] == sorted(vocab)
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert sum(found[i] == lang for i, _, lang in rows) > 0.97 * len(rows)
+    monkeypatch.setattr(language_id, "LANGUAGES", 259)
+    with pytest.raises(ValueError):
+        language_id.train(docs)
+
+
 def test_grams_equal_windows():
     texts = ["Ab c", "", "x", "é--É 12 z", "ab"]
     g, n = language_id.grams(texts, 3)
