@@ -5,8 +5,8 @@ lists are a few phrases each; one automaton finds all phrases of all applicants
 compares two short arrays. A pair is a few numbers until the best of each applicant are known, before the shuffle; only
 these get their factors and texts.
 
-``recommend`` doesn't meet every institution: these stand in bins, a bin's best attributes bound what any of it can score,
-and an applicant opens bins as long as their bound reaches the last place of the own list.
+Beyond ``PLAIN`` institutions ``recommend`` doesn't meet every one: they stand in bins, a bin's best attributes bound what
+any of it can score, and an applicant opens bins as long as their bound reaches the last place of the own list.
 """
 
 from __future__ import annotations
@@ -393,6 +393,19 @@ def opened(wishes: DataFrame, offers: DataFrame, limit: int) -> tuple[DataFrame,
     return best(first.drop("rank").unionByName(scored(more).drop("km"))), seen
 
 
+#: Institutions up to which all gated pairs are scored: their bins would be nearly as many.
+PLAIN = 4096
+
+
+def ranked_pairs(wishes: DataFrame, offers: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best of each applicant: of all gated pairs where these are few, else of the bins that are opened."""
+    if offers.limit(PLAIN + 1).count() > PLAIN:
+        return opened(wishes, offers, limit)[0]
+    every = _totals(gated(wishes.select(F.struct("*").alias("p")), offers.select(F.struct("*").alias("e")))).drop("km")
+    own = W.partitionBy("profile_id").orderBy(F.desc("total_score"), "id")
+    return every.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= limit)
+
+
 def _shown(scored: DataFrame, rank: Column, focused: Column) -> DataFrame:
     name = F.coalesce("e.name", F.initcap(F.replace(F.col("e.id").cast("string"), F.lit("_"), F.lit(" "))))
     return scored.select(F.col("p.profile_id").alias("profile_id"), rank.alias("rank"), F.col("e.id").alias("id"), name.alias("name"), "total_score", "distance_km", "factors", focused.alias("focused"))
@@ -408,7 +421,7 @@ def recommend(profiles: DataFrame, entities: DataFrame, limit: int = 5, focus: D
     free = profiles if focus is None else profiles.join(focus.select("profile_id").distinct(), "profile_id", "left_anti")
     entities = stage(entities, "entities")  # course lists are gathered once
     wishes, offers = prepared(free, entities)
-    top, _ = opened(wishes, offers, limit)
+    top = ranked_pairs(wishes, offers, limit)
     found = wishes.select("profile_id", "field", "whole", "goals")
     p = free.join(found, "profile_id").select(F.struct(*free.columns, "field", "whole", "goals").alias("p"))
     e = entities.join(offers.select("id", "hits", "across"), "id").select(F.struct(*entities.columns, "hits", "across").alias("e"))

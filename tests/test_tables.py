@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from admira.operators import blocks
 from admira.operators import explore as X
 from admira.operators import intents as I
 from admira.operators import rank as R
@@ -83,9 +84,11 @@ def test_gates_scores_and_focus(spark):
 
 def test_big_side_goes_by_blocks(spark, monkeypatch):
     ps, es = _pairs(spark)
-    want = R.recommend(ps, es).select("id", "total_score").collect()
-    monkeypatch.setattr(R, "BROADCAST_ROWS", 1)
-    assert R.recommend(ps, es).select("id", "total_score").collect() == want
+    want = sorted(R.recommend(ps, es).select("id", "total_score").collect())
+    monkeypatch.setattr(blocks.bounded, "__defaults__", (1,))
+    assert sorted(R.recommend(ps, es).select("id", "total_score").collect()) == want
+    monkeypatch.setattr(R, "PLAIN", 1)
+    assert sorted(R.recommend(ps, es).select("id", "total_score").collect()) == want
 
 
 def test_intents(spark):
