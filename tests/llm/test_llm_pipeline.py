@@ -25,7 +25,8 @@ def test_rows_equal_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     rel = con.sql(queries.ORACLE_SQL[name])
     cols = sorted(df.columns)
