@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import dashboard, ranking, states, texts  # noqa: F401  they register their queries
+from .plans import dashboard, ranking, states, stored, texts  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL
 
 

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
-def scan_json_records(spark: SparkSession, path: str, schema: StructType | str, suffix: str = "") -> DataFrame:
-    """One JSON document a file, with ``stem``: the file's name without ending and suffix."""
+_BAD = "__bad"
+
+
+def _schema(schema: StructType | str) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
+
+def _parsed(spark: SparkSession, path: str, schema: StructType, suffix: str, lines: bool) -> DataFrame:
+    """(stem, value, rec): a row for each file, or for each line of the files; ``rec`` is null or marked where it is spoiled."""
     stem = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""), f"{suffix}$" if suffix else "^$", "")
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("stem", stem)
+    marked = StructType([*schema.fields, StructField(_BAD, StringType())])
+    rec = F.from_json("value", marked, {"columnNameOfCorruptRecord": _BAD})
+    return spark.read.text(path, wholetext=not lines).select(stem.alias("stem"), "value", rec.alias("rec"))
+
+
+def scan_json_records(spark: SparkSession, path: str, schema: StructType | str, suffix: str = "", lines: bool = False) -> DataFrame:
+    """One JSON document a file (or a line), with ``stem``: the file's name without ending and suffix. Spoiled ones have nulls."""
+    schema = _schema(schema)
+    return _parsed(spark, path, schema, suffix, lines).select(*[F.col("rec")[f.name].alias(f.name) for f in schema], "stem")
+
+
+def scan_with_rejects(spark: SparkSession, path: str, schema: StructType | str, suffix: str = "", lines: bool = False, counts: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sound records, as ``scan_json_records`` gives them, and (stem, value) of the rest.
+
+    Rejected are blank texts, texts that are no JSON document, and documents with a value of another type than the schema's.
+    Files of no bytes are skipped by Spark and give no row.
+    ``counts`` observes ``records`` and ``rejected`` when the sound records are read.
+    """
+    schema = _schema(schema)
+    every = _parsed(spark, path, schema, suffix, lines).withColumn("spoiled", F.isnull("rec") | F.isnotnull(F.col("rec")[_BAD]))
+    seen = every.observe(counts, F.count(F.lit(1)).alias("records"), F.count_if("spoiled").alias("rejected")) if counts else every
+    good = seen.where(~F.col("spoiled")).select(*[F.col("rec")[f.name].alias(f.name) for f in schema], "stem")
+    return good, every.where("spoiled").select("stem", "value")
 
 
 def write_records(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -23,9 +52,19 @@ def write_records(df: DataFrame, path: str, kind: str = "parquet", partition_by:
 PDF_SCHEMA = "source_url string, saved_path string, sha256 string, parsed struct<text string, tables array<struct<page int, header array<string>, rows array<array<string>>>>, metadata struct<parser string, pages_extracted int>>"
 
 
-def scan_pdf_records(spark: SparkSession, path: str) -> DataFrame:
+def _by_table(records: DataFrame) -> DataFrame:
+    return records.select("source_url", "sha256", F.col("parsed.text").alias("text"), F.posexplode_outer("parsed.tables").alias("table_idx", "t")).select("source_url", "sha256", "text", "table_idx", "t.page", "t.header", "t.rows")
+
+
+def scan_pdf_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Decoded PDF records, a row for each table; records without tables keep one row."""
-    return scan_json_records(spark, path, PDF_SCHEMA).select("source_url", "sha256", F.col("parsed.text").alias("text"), F.posexplode_outer("parsed.tables").alias("table_idx", "t")).select("source_url", "sha256", "text", "table_idx", "t.page", "t.header", "t.rows")
+    return _by_table(scan_json_records(spark, path, PDF_SCHEMA, lines=lines))
+
+
+def scan_pdfs_with_rejects(spark: SparkSession, path: str, lines: bool = False, counts: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``scan_pdf_records`` from the sound records, and (stem, value) of the rest."""
+    good, rejected = scan_with_rejects(spark, path, PDF_SCHEMA, lines=lines, counts=counts)
+    return _by_table(good), rejected
 
 
 def guess_table_headers(rows: Column) -> Column:
@@ -91,13 +130,49 @@ def read_entities_with_fallback(primary: DataFrame | None, fallback: DataFrame)
     return primary.select(*fallback.columns)
 
 
-def ensure_built(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> bool:
-    """Build a stage's output unless it is there with rows; tells whether it was built."""
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs
-    where = files.Path(path)
-    if not force and where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) and not spark.read.parquet(path).isEmpty():
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def fingerprint(spark: SparkSession, paths: Sequence[str], content: bool = False) -> str:
+    """What tells states of input folders apart: number, lengths and times of their files, with ``content`` their bytes instead of the times.
+
+    The files are listed and summed up by Spark; a missing folder is an empty one.
+    """
+    out = []
+    for path in paths:
+        fs, where = _fs(spark, path)
+        if not fs.exists(where):
+            out.append("-")
+            continue
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        mark = F.sha2("content", 256) if content else F.unix_micros("modificationTime").cast("string")
+        h = F.xxhash64("path", "length", mark)
+        r = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+        out.append(":".join(str(x) for x in r))
+    return " ".join(out)
+
+
+def _manifest(spark: SparkSession, path: str) -> str | None:
+    """The manifest of a stage: the fingerprint of the inputs that it was built from; null where none was written."""
+    fs, where = _fs(spark, f"{path}.manifest/_SUCCESS")
+    return "\n".join(r.value for r in spark.read.text(f"{path}.manifest").collect()) if fs.exists(where) else None  # one row
+
+
+def ensure_built(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False, inputs: Sequence[str] = (), content: bool = False) -> bool:
+    """Build a stage's output unless it is there, whole and of the present inputs; tells whether it was built.
+
+    A manifest beside the output names the state of the folders in ``inputs`` (see ``fingerprint``). It goes before a build
+    begins and is written after the output, so an interrupted build has none and runs again. An empty output is a built one.
+    """
+    now = fingerprint(spark, inputs, content)
+    if not force and _manifest(spark, path) == now:
         return False
+    fs, where = _fs(spark, f"{path}.manifest")
+    fs.delete(where, True)
     write_records(build(), path)
+    spark.createDataFrame([(now,)], "value string").coalesce(1).write.text(f"{path}.manifest")
     return True
 
 

@@ -1,7 +1,10 @@
 """Operators on small tables, sources and sinks, and streams against batches."""
 
 import json
+import os
 
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from admira.operators import blocks
@@ -28,6 +31,48 @@ def test_json_round_trip_and_rebuild(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_spoiled_records_are_rejected_and_counted(spark, tmp_path):
+    texts = {"a": '{"n": 1, "s": "x"}', "b": '{"n": 1, "s"', "c": '{"n": "one"}', "d": " ", "e": "{}", "f": '{"n": null, "more": 2}'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    counts = Observation()
+    good, rejected = records.scan_with_rejects(spark, str(tmp_path), "n int, s string", counts=counts)
+    assert sorted((r.stem, r.n, r.s) for r in good.collect()) == [("a", 1, "x"), ("e", None, None), ("f", None, None)]
+    assert counts.get == {"records": 6, "rejected": 3}
+    assert sorted((r.stem, r.value) for r in rejected.collect()) == [("b", texts["b"]), ("c", texts["c"]), ("d", " ")]
+
+
+def test_stage_is_built_again_when_interrupted_or_outdated(spark, tmp_path):
+    source, out, ran = tmp_path / "in", f"{tmp_path}/out", []
+    source.mkdir()
+
+    def build(fail=False):
+        ran.append(1)
+        if fail:
+            raise RuntimeError("lost")
+        return spark.read.text(str(source))
+
+    ask = lambda fail=False, **more: records.ensure_built(spark, out, lambda: build(fail), inputs=[str(source)], **more)
+    (source / "a.txt").write_text("1")
+    assert ask() and not ask() and len(ran) == 1
+    (source / "b.txt").write_text("2")
+    with pytest.raises(RuntimeError):
+        ask(fail=True)
+    assert ask() and not ask() and spark.read.parquet(out).count() == 2
+    # the content alone decides where asked so
+    assert ask(content=True) and not ask(content=True)
+    os.utime(source / "a.txt", (1, 1))
+    assert not ask(content=True)
+    (source / "a.txt").write_text("3")
+    assert ask(content=True)
+    # an output without a manifest is half an output; an empty one with it is whole
+    empty = f"{tmp_path}/empty"
+    spark.createDataFrame([], "x int").write.parquet(empty)
+    nothing = lambda: spark.createDataFrame([], "x int")
+    assert records.ensure_built(spark, empty, nothing) and not records.ensure_built(spark, empty, nothing)
+    assert records.ensure_built(spark, empty, nothing, inputs=[f"{tmp_path}/missing"])
+
+
 def test_pdf_records(spark, tmp_path):
     doc = {"source_url": "u", "saved_path": "p", "sha256": "s", "parsed": {"text": "t", "tables": [{"page": 1, "header": ["h"], "rows": [["1"]]}], "metadata": {"parser": "x", "pages_extracted": 1}}}
     (tmp_path / "a.json").write_text(json.dumps(doc))
