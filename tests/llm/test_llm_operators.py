@@ -284,14 +284,14 @@ def test_chat_windows(spark, sf_dir):
     assert chat_windows.digest(chat_windows.windows(df.limit(0))).count() == 0
 
 
-def brute_windows(turns, budget, history_turns, history_tokens, segment):
+def brute_windows(turns, budget, history_turns, history_tokens):
     """(window, turns repeated, turns of its own, positions under the mask) of a conversation [(role, text)]."""
     tok = [-(-len(x.encode()) // 4) + 1 for _, x in turns]
     system = turns[0][0] == "system"
     room = budget - history_tokens - (tok[0] if system else 0)
     starts, held = [], 0
     for i, n in enumerate(tok):
-        if i % segment == 0 or held + n > (budget if starts[-1] == 0 else room):
+        if i == 0 or held + n > (budget if starts[-1] == 0 else room):
             starts.append(i)
             held = 0
         held += n
@@ -303,20 +303,37 @@ def brute_windows(turns, budget, history_turns, history_tokens, segment):
     return out
 
 
-def test_chat_windows_against_plain_python(spark, monkeypatch):
-    monkeypatch.setattr(chat_windows, "SEGMENT", 8)
-    rng = random.Random(55)
-    convs = {c: [(("system" if c % 2 and t == 0 else rng.choice(["user", "assistant"])), "x" * rng.choice([0, 3, 40, 90, 400, 900]) + "[/INST]") for t in range(rng.randint(1, 40))] for c in range(12)}
+def windows_of(spark, convs, **more):
     df = spark.createDataFrame([(c, t, r, x) for c, turns in convs.items() for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
-    made = chat_windows.windows(df, budget=200, history_turns=2, history_tokens=60)
+    made = chat_windows.windows(df, **more)
     read = made.select("conv_id", "window", "n_context", "n_new", "loss", "formatted", chat_windows.read_turns(F.col("formatted")).alias("turns"), chat_windows.learned(F.col("formatted"), F.col("loss")).alias("learned"))
     got = {}
     for r in read.collect():
         turns = [(t.role, t.text) for t in r.turns]
         got.setdefault(r.conv_id, []).append((r.window, turns[: r.n_context], turns[r.n_context :]))
         assert r.learned == [x for role, x in turns[r.n_context :] if role == "assistant"] and len(turns) == r.n_context + r.n_new
-    for c, turns in convs.items():
-        assert sorted(got[c]) == brute_windows(turns, 200, 2, 60, 8)
+    return {c: sorted(w) for c, w in got.items()}
+
+
+def test_chat_windows_against_plain_python(spark):
+    rng = random.Random(55)
+    convs = {c: [(("system" if c % 2 and t == 0 else rng.choice(["user", "assistant"])), "x" * rng.choice([0, 3, 40, 90, 400, 900]) + "[/INST]") for t in range(rng.randint(1, 40))] for c in range(12)}
+    assert windows_of(spark, convs, budget=200, history_turns=2, history_tokens=60) == {c: brute_windows(t, 200, 2, 60) for c, t in convs.items()}
+
+
+@pytest.mark.parametrize(("budget", "history_turns", "history_tokens", "fan"), [(12, 2, 3, 2), (12, 30, 40, 3), (7, 0, 0, 64)])
+def test_spans_cross_blocks(spark, monkeypatch, budget, history_turns, history_tokens, fan):
+    """Conversations of many blocks, three levels of tables and more; a room below zero leaves every turn alone."""
+    monkeypatch.setattr(chat_windows, "FAN", fan)
+    rng = random.Random(56)
+    one = lambda n, first: [((first if t == 0 else rng.choice(["user", "assistant"])), "x" * rng.choice([0, 0, 1, 4, 9, 60])) for t in range(n)]
+    convs = {c: one(n, "system" if c % 2 else "user") for c, n in enumerate([1, budget - 1, budget, budget + 1, 2 * budget, 100, 199])}
+    assert windows_of(spark, convs, budget=budget, history_turns=history_turns, history_tokens=history_tokens) == {c: brute_windows(t, budget, history_turns, history_tokens) for c, t in convs.items()}
+
+
+def test_short_turns_fill_the_budget(spark):
+    got = windows_of(spark, {1: [("user", "x")] * 300})[1]
+    assert [len(new) for _, _, new in got] == [256, 44]
 
 
 def test_long_conversation(spark):
