@@ -9,9 +9,12 @@ entry with their smallest ids, which is exact for the k nearest as ties go to th
 largest component, which gives multiples of a vector the same bits. The ranking works in blocks of ``QUERIES`` queries by
 ``ENTRIES`` entries of one first centroid, some MB each, as matrix products; per query and block the best k+1 leave.
 
-Defined results: null vectors, vectors with null or non-finite components, zero vectors and vectors of another length
-than the commonest take no part; rows with a query's id are never its candidates; of rows that share an id one is the
-query; a query without candidates has no rows; an empty table gives an empty result; other columns are ignored.
+The index holds the vectors of the commonest length. Those of every other length are compared exactly, each length by itself,
+in blocks of queries by blocks of entries of ``BLOCK_BYTES``; a vector has a cosine with vectors of its length only.
+
+Defined results: null vectors, vectors with null or non-finite components and zero vectors take no part; rows with a query's
+id are never its candidates; of rows that share an id and a length one is the query; a query without candidates of its length
+has no rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stage
+from .common import bounded, stage
 
 #: The parameter that bounds the sample for the codebooks.
 SAMPLE = 8192
@@ -34,6 +37,8 @@ CENTROIDS = 64
 VISIT, VISIT_LEAST = 0.5, 2000
 #: Entries and queries that meet in a task, and queries of one matrix product.
 ENTRIES, QUERIES, STRIP = 8192, 8192, 128
+#: Bytes of the vectors in a block of a rarer length, one vector at least.
+BLOCK_BYTES = 4 << 20
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -92,14 +97,63 @@ def _valid(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(v.isNotNull() & F.col("id").isNotNull())
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).select("dims")
-    return rows.join(F.broadcast(size), F.size("v") == F.col("dims")).select("id", "v")
+    return rows.withColumn("dims", F.size("v"))
+
+
+def best_of(score: np.ndarray, ids: list[list[int]], own: int, k: int) -> list[tuple[float, int]]:
+    """(score, id) of the entries among which the k best ids other than ``own`` are; an entry holds its ids in order."""
+    at = np.arange(len(score))
+    if len(score) > k + 1:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+    best = sorted(zip((-score[at]).tolist(), [ids[j] for j in at], strict=True))[: k + 1]
+    return [(-x, y) for x, ys in best for y in ys if y != own]
+
+
+def _found(out: list[tuple]) -> pa.Table:
+    cols = list(zip(*out, strict=True)) if out else [[]] * 3
+    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "score": pa.array(cols[1], pa.float64()), "vec_id": pa.array(cols[2], pa.int64())})
+
+
+def _each_length(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """query_id, score, vec_id: the nearest of each block, among the vectors of the query's length."""
+    whole = F.floor(F.lit(BLOCK_BYTES) / (F.col("dims") * 8))
+    held = F.greatest(F.lit(1), F.least(F.lit(ENTRIES), whole))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / held)).cast("int")
+    sizes = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("m")).where("m > 0")
+    sizes = stage(sizes.select(F.col("dims").alias("d"), parts(F.col("n")).alias("es"), parts(F.col("m")).alias("qs")), "lengths")
+    met = rows.join(bounded(sizes, sizes.count()), F.col("dims") == F.col("d"))
+    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = met.where(is_query).groupBy("id", "dims").agg(F.min("v").alias("v"), F.first("es").alias("es"), F.first("qs").alias("qs"))
+    left = asked.select("id", "v", "dims", block("qs").alias("q"), every("es").alias("e")).groupBy("dims", "e", "q")
+    right = met.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.col("dims").alias("rd"), block("es").alias("re"), every("qs").alias("rq")).groupBy("rd", "re", "rq")
+
+    def units(col) -> np.ndarray:
+        return _unit(np.array([direction(v) for v in col.to_pylist()]))
+
+    def rank(queries: pa.Table, entries: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(queries) and len(entries):
+            own: dict[bytes, list[int]] = {}
+            for i, v in zip(entries["rid"].to_pylist(), entries["rv"].to_pylist(), strict=True):
+                own.setdefault(direction(v).tobytes(), []).append(i)
+            ids = [sorted(set(x))[: k + 1] for x in own.values()]
+            e, q, names = _unit(np.array([np.frombuffer(x, dtype="<f8") for x in own])), units(queries["v"]), queries["id"].to_pylist()
+            for first in range(0, len(q), STRIP):
+                for i, s in enumerate(q[first : first + STRIP] @ e.T, first):
+                    out += [(names[i], *x) for x in best_of(s, ids, names[i], k)]
+        return _found(out)
+
+    return left.cogroup(right).applyInArrow(rank, "query_id long, score double, vec_id long")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = VISIT, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row where ``is_query`` (a column of ``id``)."""
     spark = vectors.sparkSession
-    rows = _valid(vectors, vec_id, vector)
+    valid = _valid(vectors, vec_id, vector)
+    lengths = valid.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(2).collect()
+    common = F.lit(lengths[0].dims if lengths else 0)
+    rows = valid.where(F.col("dims") == common).select("id", "v")
 
     def combine(batches):
         """Vectors of one direction become one row of a batch, with their k + 1 smallest ids."""
@@ -175,17 +229,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = VISI
                     open_[:] = False
                     open_[lists[i]] = True
                     at = np.flatnonzero(open_[cell])
-                    s = s[at]
-                    if len(s) > k + 1:
-                        keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                        at, s = at[keep], s[keep]
-                    best = sorted(zip((-s).tolist(), [ids[j] for j in at], strict=True))[: k + 1]
-                    out += [(names[i], -x, y) for x, ys in best for y in ys if y != names[i]]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "score": pa.array(cols[1], pa.float64()), "vec_id": pa.array(cols[2], pa.int64())})
+                    out += [(names[i], *x) for x in best_of(s[at], [ids[j] for j in at], names[i], k)]
+        return _found(out)
 
     left = queries.select("id", "v", "bs", "a", "e", "q").groupBy("a", "e", "q")
     right = listed.select(F.col("b"), F.col("v"), F.col("ids"), F.col("a").alias("ra"), F.col("e").alias("re"), F.col("q").alias("rq")).groupBy("ra", "re", "rq")
     near = left.cogroup(right).applyInArrow(rank, "query_id long, score double, vec_id long")
+    if len(lengths) > 1:
+        near = near.unionByName(_each_length(valid.where(F.col("dims") != common), is_query, k))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(vec_id), "score")

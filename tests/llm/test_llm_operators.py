@@ -496,6 +496,30 @@ def test_ties_of_parallel_vectors(spark):
     assert [r.vec_id for r in got] == [3, 4, 5, 7, 9] and len({r.score for r in got}) == 1
 
 
+def test_rarer_lengths_are_compared_exactly(spark, monkeypatch):
+    """Each length by itself, over several blocks, against brute force; ties and repeated directions go to smaller ids."""
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", 400)
+    rng = np.random.default_rng(9)
+    made = {i: rng.normal(size=(8 if i % 2 else 3 + i % 3)).tolist() for i in range(400)}
+    made |= {i + 402: [x * 4 for x in made[i]] for i in range(0, 120, 6)}  # multiples tie exactly
+    rows = [*made.items(), (1000, [1.0]), (1050, [2.0, 1.0]), (1100, None), (1101, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in multi_index.search(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    valid = {i: np.array(v) for i, v in rows if v and any(v)}
+    want = {}
+    for i in [i for i in valid if i % 50 == 0]:
+        unit = lambda x: x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max())
+        scores = sorted((-round(float(unit(valid[i]) @ unit(v)), 12), j) for j, v in valid.items() if j != i and len(v) == len(valid[i]))
+        if scores:
+            want[i] = [(j, -s) for s, j in scores[:5]]
+    assert {len(made[i]) for i in want} == {3, 4, 5} and set(got) == set(want)
+    for i, best in want.items():
+        assert [j for j, _ in got[i]] == [j for j, _ in best]
+        assert np.allclose([s for _, s in got[i]], [s for _, s in best])
+
+
 def test_search_recall_on_the_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = {r.vec_id: np.array(r.embedding, dtype=float) for r in df.collect()}
