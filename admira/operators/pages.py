@@ -128,7 +128,7 @@ def aggregate_pages(parsed: DataFrame, key: str, order: str, lists: list[str], p
 
     Without lists that keep repeats, an item's repeats are combined before the rows of an institution meet.
     """
-    none = F.array().cast("array<string>")
+    none = F.array().cast(parsed.schema[lists[0]].dataType)
     if plain:
         joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("a")))), lambda x: x["a"]))
         return parsed.groupBy(key).agg(*[F.array_distinct(joined(c)).alias(c) for c in lists], *[joined(c).alias(c) for c in plain])
@@ -197,3 +197,34 @@ def normalize_records(parsed: DataFrame, seeds: DataFrame, sites: DataFrame) ->
         "fee_structure": F.struct("fees", F.array_compact(F.transform("fees", lambda f: numeric_range(f["value"]))).alias("numeric_summary")),
     }).drop("fees")
     return enrich(out, seeds, "entity_id", ["location"]).join(sites.withColumnRenamed("site", "official_website"), "university", "left")
+
+
+def page_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, tables): the tables of each page that has some, as array<struct<headers, rows>>."""
+    from ..sources.html import extract_html_tables
+
+    found = extract_html_tables(pages, key, html).where("kind = 'table'")
+    whole = found.groupBy(key, "idx").agg(F.first("headers").alias("headers"), F.sort_array(F.collect_list(F.struct("row_idx", "cells"))).alias("rs"))
+    made = F.struct("idx", "headers", F.transform("rs", lambda r: r["cells"]).alias("rows"))
+    listed = F.transform(F.sort_array(F.collect_list(made)), lambda t: F.struct(t["headers"].alias("headers"), t["rows"].alias("rows")))
+    return whole.groupBy(key).agg(listed.alias("tables"))
+
+
+def records_of_pages(pages: DataFrame, seeds: DataFrame, university: Column | None = None) -> DataFrame:
+    """Normalized records, one for each institution, of raw pages (page_id, url, html): the whole chain.
+
+    An institution is a host unless ``university`` names it otherwise; its lists follow the pages' ids. ``seeds`` as in
+    ``normalize_records``. Pages without html have empty contents; a page without a host belongs to the institution "".
+    """
+    from ..sources.folders import stage
+    from ..sources.html import html_to_page_record
+
+    named = (university if university is not None else host(F.col("url"))).alias("university")
+    read = html_to_page_record(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), named))
+    none = F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>>>")
+    met = read.join(page_tables(read), "page_id", "left").withColumn("tables", F.coalesce("tables", none))
+    parsed = parse_pages(met.select("university", F.col("page_id").alias("pos"), "url", F.col("title").alias("page_title"), "content", "tables"))
+    parsed = stage(parsed.withColumn("source_pages", F.array("url")), "parsed")
+    lists = [*rules.FIELD_WORDS, "offered_courses", "source_pages"]
+    whole = aggregate_pages(parsed, "university", "pos", lists).join(aggregate_pages(parsed, "university", "pos", ["fees"]), "university")
+    return normalize_records(whole.withColumn("location", F.lit(None).cast("string")), seeds, official_site(parsed, "university"))

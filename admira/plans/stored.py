@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..adapters import table
 from ..functions import rules
+from ..functions.text import entity_slug
 from ..operators import pages as G
+from ..operators.chunks import build_chunks
 from ..sources import html as H
 from ..sources import records as S
 from ..sources.folders import shared_dir
@@ -136,6 +138,34 @@ def _degree_name(i):
     return F.concat(start, "p_name", end)
 
 
+_PANEL = "<div class='panel'><h3>Fees {0}</h3>see<table><thead><tr><th>Program</th><th>Fee per year</th></tr></thead><tr><td>BS Alpha Studies of the day</td><td>{0}</td></tr></table></div>"
+
+
+@query(
+    "s5_html_panels",
+    "SELECT page_id, 'Fees ' || page_id AS title, 'see' AS said, 'Program|Fee per year' AS headers, 'BS Alpha Studies of the day|' || page_id AS cells FROM pages",
+)
+def panels(spark, d):
+    """The driver's pages hold no panels: each gets one with a table."""
+    before, middle, after = _PANEL.split("{0}")
+    k = F.col("page_id").cast("string")
+    made = table(spark, d, "pages").select("page_id", F.concat("html", F.lit(before), k, F.lit(middle), k, F.lit(after)).alias("html"))
+    found = H.extract_html_tables(made)
+    told = found.where("kind = 'panel'").select("page_id", "title", F.array_join("cells", "|").alias("said"))
+    return told.join(found.where("kind = 'table'").select("page_id", F.array_join("headers", "|").alias("headers"), F.array_join("cells", "|").alias("cells")), "page_id")
+
+
+@query("p0_records_of_pages")
+def chain(spark, d):
+    """Raw pages to chunks: read, parsed, gathered for each host, normalized, with a table of programmes and fees for each page."""
+    before, middle, after = _PANEL.split("{0}")
+    k = F.col("page_id").cast("string")
+    pages = table(spark, d, "pages").select("page_id", "url", F.concat("html", F.lit(before), k, F.lit(middle), k, F.lit(after)).alias("html"))
+    seeds = table(spark, d, "pages").select(entity_slug(G.host(F.col("url"))).alias("entity_id")).distinct().withColumns({"location": F.lit("given"), "province": F.lit("North"), "is_public": F.lit(True)})
+    records = G.records_of_pages(pages, seeds)
+    return build_chunks(records.withColumn("stem", F.col("entity_id"))).select("chunk_id", "category", "text")
+
+
 def _listed(words):
     return "(" + ", ".join("'" + w + "'" for w in words) + ")"
 

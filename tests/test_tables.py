@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from admira.operators import blocks
 from admira.operators import explore as X
 from admira.operators import intents as I
+from admira.operators import pages as G
 from admira.operators import rank as R
 from admira.operators import retrieve as V
 from admira.sources import html, records
@@ -94,6 +95,23 @@ def test_html_tables_and_panels(spark):
     assert [(r.title, r.cells) for r in rows if r.kind == "panel"] == [("Fees", ["told"])]
 
 
+def test_pages_become_records_and_chunks(spark, sf_dir):
+    first = "<html><head><title>Eligibility</title></head><body><main><p>Applicants must have at least 60% marks in their intermediate examination.</p><p>Hostel rooms are available for students who live far away.</p></main><table><tr><th>Program</th><th>Fee per year</th></tr><tr><td>BS Alpha Studies</td><td>Rs 90,000</td></tr><tr><td>Master of Beta Design</td><td></td></tr></table></body></html>"
+    second = "<html><head><title>Money</title></head><body><main>Every scholarship covers the whole tuition of a student. Applicants must have at least 60% marks in their intermediate examination.</main><table><tr><td>Degree</td></tr><tr><td>BS Alpha Studies</td></tr><tr><td>MS Gamma Analysis</td></tr></table></body></html>"
+    rows = [(2, "https://b-uni.example/money", second), (1, "https://b-uni.example/eligibility", first), (3, "no address", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("b_uni.example", "North", "Town")], "entity_id string, province string, location string")
+    got = {r.university: r for r in G.records_of_pages(pages, seeds).collect()}
+    r = got["b-uni.example"]
+    assert r.entity_id == "b_uni.example" and r.province == "North" and r.official_website == "https://b-uni.example"
+    assert r.eligibility_criteria == ["Applicants must have at least 60% marks in their intermediate examination."]
+    assert r.min_eligibility_percentage == 60.0 and r.hostel_available is True
+    assert r.offered_courses == ["BS Alpha Studies", "Master of Beta Design", "MS Gamma Analysis"]
+    assert [tuple(f) for f in r.fee_structure.fees] == [("BS Alpha Studies", "Fee per year: Rs 90,000")]
+    assert r.source_pages == ["https://b-uni.example/eligibility", "https://b-uni.example/money"]
+    assert len(r.scholarships) == 1 and got[""].offered_courses == [] and got[""].fee_structure.fees == []
+
+
 def test_upsert_takes_the_last_batch(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     b = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
