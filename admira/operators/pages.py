@@ -222,7 +222,6 @@ def records_of_pages(pages: DataFrame, seeds: DataFrame, university: Column | No
     named = (university if university is not None else host(F.col("url"))).alias("university")
     read = html_to_page_record(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), named))
     none = F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>>>")
-    read = stage(read, "read")  # the contents are asked for by many expressions, their patterns run once
     met = read.join(page_tables(read), "page_id", "left").withColumn("tables", F.coalesce("tables", none))
     parsed = parse_pages(met.select("university", F.col("page_id").alias("pos"), "url", F.col("title").alias("page_title"), "content", "tables"))
     parsed = stage(parsed.withColumn("source_pages", F.array("url")), "parsed")
