@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from admira.operators import cells
+from admira.operators import candidates, cells
 from admira.operators import rank as R
 
 NAN = float("nan")
@@ -60,3 +60,13 @@ def test_nothing_is_sent_whole(both):
     for df in (R.total_sums(*both), R.score_counts(*both, "budget_fit"), R.ranked_pairs(*R.prepared(*both), 5)):
         assert "Broadcast" not in df._jdf.queryExecution().toString()
     assert all(r.id is not None for r in R.recommend(*both, 3).collect())
+
+
+def test_numbers_of_gated_pairs_without_pairs(both):
+    met = R.gated_ids(*both).cache()
+    sums, counts = candidates.gated_sums(*both), candidates.gated_counts(*both)
+    want = met.groupBy("profile_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    assert sorted(map(tuple, sums.select("profile_id", "n", "ids").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, counts.select("id", "n").collect())) == sorted(map(tuple, met.groupBy("id").count().collect()))
+    for df in (sums, counts):  # the pairs themselves were joined
+        assert "sequence(" not in df._jdf.queryExecution().toString()  # no blocks
