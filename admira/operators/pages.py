@@ -69,20 +69,26 @@ def _programs_of(candidates: Column) -> Column:
     return F.filter(cleaned, lambda c: (F.length(c) >= 5) & ~is_noise_page_text(c) & ~is_catalog_line(c) & ~has_cost_info(c) & looks_like_program_name(c) & (F.size(F.split(c, r"\s+")) <= 30))
 
 
-def extract_programs(content: Column, tables: Column) -> Column:
-    """Programme names of a page: of table cells, else of whole rows, else of snippets; distinct, in order, about 20."""
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def extract_programs(content: Column, tables: Column, most: int | None = 20) -> Column:
+    """Programme names of a page: of table cells, else of whole rows, else of snippets; distinct, in order, ``most`` at most
+    (None: all)."""
 
     def of_row(cells: Column) -> Column:
         own = F.filter(F.transform(F.filter(cells, lambda c: c.isNotNull()), lambda x: F.trim(x)), lambda c: c != "")
-        named = F.filter(own, has_program_indicator)
-        joined = F.array_join(own, " ")
-        source = F.when(F.size(named) > 0, named).when(has_program_indicator(joined), F.array(joined)).otherwise(F.array().cast("array<string>"))
+        whole = lambda own: _bound(F.array_join(own, " "), lambda j: F.when(has_program_indicator(j), F.array(j)).otherwise(F.array().cast("array<string>")))
+        source = _bound(own, lambda own: _bound(F.filter(own, has_program_indicator), lambda named: F.when(F.size(named) > 0, named).otherwise(whole(own))))
         return F.flatten(F.transform(source, split_program_blocks))
 
     rows = F.flatten(F.transform(tables, lambda t: t["rows"]))
     first = F.array_distinct(_programs_of(F.flatten(F.transform(rows, of_row))))
     more = _programs_of(F.filter(split_snippets(content), has_program_indicator))
-    return F.when(F.size(first) >= 10, F.slice(first, 1, 20)).otherwise(F.slice(F.array_distinct(F.concat(first, more)), 1, 20))
+    cut = lambda names: names if most is None else F.slice(names, 1, most)
+    return _bound(first, lambda first: F.when(F.size(first) >= 10, cut(first)).otherwise(cut(F.array_distinct(F.concat(first, more)))))
 
 
 def is_real_header(headers: Column) -> Column:
@@ -97,23 +103,30 @@ def extract_fees(content: Column, tables: Column) -> Column:
 
     def of_table(t: Column) -> Column:
         heads = F.filter(F.transform(F.filter(t["headers"], lambda h: h.isNotNull()), lambda x: F.trim(x)), lambda h: h != "")
+        return _bound(heads, lambda heads: _bound(is_real_header(heads), lambda real: of_rows(t["rows"], heads, real)))
+
+    def of_rows(rows: Column, heads: Column, real: Column) -> Column:
         is_fee = F.exists(heads, lambda h: F.lower(h).contains("fee") | F.lower(h).contains("amount"))
-        real = is_real_header(heads)
 
         def of_row(row: Column) -> Column:
-            cells = F.transform(row, lambda c: F.trim(F.coalesce(c, F.lit(""))))
-            filled = F.filter(cells, lambda c: c != "")
-            label = F.get(filled, F.lit(0))
+            return _bound(F.transform(row, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda cells: _bound(F.filter(cells, lambda c: c != ""), lambda filled: of_cells(cells, filled)))
+
+        def of_cells(cells: Column, filled: Column) -> Column:
             both = F.zip_with(F.slice(heads, 2, 1000), F.slice(cells, 2, 1000), lambda h, v: F.when(v != "", F.concat(h, F.lit(": "), v)))
             value = F.when(real & (F.size(heads) == F.size(cells)), F.array_join(F.array_compact(both), " | ")).otherwise(F.array_join(F.slice(filled, 2, 1000), " | "))
-            ok = (F.size(filled) >= 2) & ~is_noise_fee_label(label) & ~F.lower(label).isin(*rules.FEE_LABEL_STOPWORDS) & (value != "") & ~F.lower(F.trim(value)).isin(*rules.FEE_VALUE_STOPWORDS)
-            return F.when(F.coalesce(ok, F.lit(False)), F.struct(label.alias("label"), value.alias("value")))
+            return F.when(F.size(filled) >= 2, _bound(F.struct(F.get(filled, F.lit(0)).alias("label"), value.alias("value")), kept))
+
+        def kept(f: Column) -> Column:
+            ok = ~is_noise_fee_label(f["label"]) & ~F.lower(f["label"]).isin(*rules.FEE_LABEL_STOPWORDS) & (f["value"] != "") & ~F.lower(F.trim(f["value"])).isin(*rules.FEE_VALUE_STOPWORDS)
+            return F.when(F.coalesce(ok, F.lit(False)), f)
 
-        return F.when(F.coalesce(is_fee, F.lit(False)), F.array_compact(F.transform(t["rows"], of_row))).otherwise(F.array().cast(pair))
+        return F.when(F.coalesce(is_fee, F.lit(False)), F.array_compact(F.transform(rows, of_row))).otherwise(F.array().cast(pair))
 
     listed = F.flatten(F.transform(tables, of_table))
     told = F.slice(F.filter(split_snippets(content), lambda s: F.lower(s).contains("fee") & F.lower(s).rlike(rules.FEE_CURRENCY)), 1, 5)
-    return F.when(F.size(listed) > 0, listed).otherwise(F.transform(told, lambda s: F.struct(F.lit("fee_snippet").alias("label"), s.alias("value"))))
+    none = F.coalesce(content, F.lit("")) == ""
+    snippets = F.when(none, F.array().cast(pair)).otherwise(F.transform(told, lambda s: F.struct(F.lit("fee_snippet").alias("label"), s.alias("value"))))
+    return _bound(listed, lambda listed: F.when(F.size(listed) > 0, listed).otherwise(snippets))
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
