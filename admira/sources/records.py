@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.blocks import spread
+
 
 _BAD = "__bad"
 
@@ -183,4 +185,4 @@ def recommendations_markdown(ranked: DataFrame, profiles: DataFrame) -> DataFram
     part = F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), F.col("name"), F.lit(" — "), F.col("total_score").cast("string"), F.lit("% match\n\n"), bullets)
     body = ranked.groupBy("profile_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))), lambda r: r["part"]), "\n\n").alias("body"))
     about = F.array_join(F.array_compact(F.array(F.col("name"), F.nullif("field_of_study", F.lit("")), F.nullif("degree_level", F.lit("")))), " · ")
-    return profiles.select("profile_id", about.alias("about")).join(body, "profile_id").select("profile_id", F.concat(F.lit("# Recommendations\n\n"), "about", F.lit("\n\n"), "body", F.lit("\n")).alias("markdown"))
+    return profiles.select("profile_id", about.alias("about")).join(spread(body), "profile_id").select("profile_id", F.concat(F.lit("# Recommendations\n\n"), "about", F.lit("\n\n"), "body", F.lit("\n")).alias("markdown"))
