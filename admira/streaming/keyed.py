@@ -1,25 +1,30 @@
-"""State tables from a stream of events, with keyed state: a batch costs its own keys only.
+"""State tables from a stream of events, with keyed state: a batch costs the groups of its own keys only.
 
 A ``KeyedFold`` says what is kept of a key. Its state merges events by their sequence numbers, so late, repeated and
 replayed events leave what a fold over the whole log would give. Events are thinned in every input batch first, which is the
-map-side combining that a hot key needs; the rest meets the key's state in ``transformWithState``. Changed keys are merged
-into a bucketed table under the batch's number, so a batch that runs again replaces itself.
+map-side combining that a hot key needs; the rest meets the key's state in ``transformWithState``. A call of the state costs
+about a millisecond, so keys are dealt to ``GROUPS`` groups, whose states are read and written as one list. Changed keys are
+merged into a bucketed table under the batch's number, so a batch that runs again replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.profiles import completeness
 from ..sources import versioned
+from ..sources.folders import stage
 from .state import DEFAULT_TITLE, conversation_columns
 
+#: Groups of keys, and events of a group that are held at a time.
+GROUPS, AT_ONCE = 1024, 1 << 16
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,7 +33,7 @@ class KeyedFold:
     """How a state table follows from events.
 
     ``prepare`` gives the columns ``keys`` and ``events`` (both DDL) of an event; ``thin`` drops events of a frame that
-    others of it outdo; ``merge`` gives the new state (of ``state``, DDL) from the old one, or None, and frames of events;
+    others of it outdo; ``add`` gives the new state (of ``state``, DDL) from the old one, or None, and tuples of events;
     ``show`` gives the values of ``shown`` (DDL), or None where the key has no row; ``finish`` makes the final columns.
     """
 
@@ -38,7 +43,7 @@ class KeyedFold:
     shown: str
     prepare: Callable[[DataFrame], DataFrame]
     thin: Callable[[pd.DataFrame], pd.DataFrame]
-    merge: Callable[[tuple | None, Iterator[pd.DataFrame]], tuple]
+    add: Callable[[tuple | None, Iterable[tuple]], tuple]
     show: Callable[[tuple], tuple | None]
     finish: Callable[[DataFrame], DataFrame]
 
@@ -46,6 +51,11 @@ class KeyedFold:
     def key_names(self) -> list[str]:
         return _names(self.keys)
 
+    def merge(self, old: tuple | None, frames: Iterable[pd.DataFrame]) -> tuple:
+        """``add`` of frames that have the columns of ``events`` among others."""
+        names = _names(self.events)
+        return self.add(old, (tuple(map(_plain, r)) for f in frames for r in zip(*[f[c].tolist() for c in names], strict=True)))
+
     @property
     def table(self) -> str:
         return f"{self.keys}, {self.shown}, gone boolean, batch long"
@@ -61,38 +71,55 @@ def _plain(v):
 
 
 class _Keyed(StatefulProcessor):
+    """The states of a group of keys. Rows: number of the group, keys, events."""
+
     def __init__(self, fold: KeyedFold):
         self.fold = fold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.fold.state)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        held = self.state.get()
-        old = None if held is None else tuple(held)
-        new = self.fold.merge(old, rows)
-        if new == old:
+        self.states = handle.getListState("states", f"{self.fold.keys}, {self.fold.state}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
+        n = len(self.fold.key_names)
+        held = {t[:n]: t[n:] for t in map(tuple, self.states.get())}
+        before = {}
+        while some := [tuple(r)[1:] for r in islice(rows, AT_ONCE)]:
+            events: dict[tuple, list[tuple]] = {}
+            for r in some:
+                events.setdefault(r[:n], []).append(r[n:])
+            for k, more in events.items():
+                old = held.get(k)
+                new = self.fold.add(old, more)
+                if new != old:
+                    before.setdefault(k, old)
+                    held[k] = new
+        changed = [k for k, old in before.items() if held[k] != old]
+        if not changed:
             return
-        self.state.update(new)
-        shown = self.fold.show(new)
-        names = _names(self.fold.shown)
-        row = dict(zip(self.fold.key_names, key, strict=True)) | dict(zip(names, shown or [None] * len(names), strict=True)) | {"gone": shown is None}
-        yield pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in row.items()})
+        self.states.put([(*k, *v) for k, v in held.items()])
+        none = (None,) * len(_names(self.fold.shown))
+        made = Row(*self.fold.key_names, *_names(self.fold.shown), "gone")
+        for k in changed:
+            shown = self.fold.show(held[k])
+            yield made(*k, *(none if shown is None else shown), shown is None)
 
     def close(self) -> None:
         pass
 
 
-def stream_state(events: DataFrame, fold: KeyedFold, path: str, checkpoint: str, buckets: int = versioned.BUCKETS):
-    """Keep the table at ``path`` by a stream of events; ``read_state`` reads it. Returns the started query."""
+def stream_state(events: DataFrame, fold: KeyedFold, path: str, checkpoint: str, buckets: int = versioned.BUCKETS, groups: int = GROUPS):
+    """Keep the table at ``path`` by a stream of events; ``read_state`` reads it. Returns the started query. ``groups`` must
+    stay the same for a checkpoint."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     rows = fold.prepare(events).select(*fold.key_names, *_names(fold.events))
     thinned = rows.mapInPandas(lambda frames: (fold.thin(f) for f in frames), rows.schema)
-    changed = thinned.groupBy(*fold.key_names).transformWithStateInPandas(_Keyed(fold), f"{fold.keys}, {fold.shown}, gone boolean", "Update", "None")
+    dealt = thinned.select(versioned.bucket_of(fold.key_names, groups).alias("group"), *thinned.columns)
+    changed = dealt.groupBy("group").transformWithState(_Keyed(fold), f"{fold.keys}, {fold.shown}, gone boolean", "Update", "None")
 
     def merge(batch: DataFrame, number: int) -> None:
-        versioned.upsert(batch.withColumn("batch", F.lit(number).cast("long")), path, fold.key_names, "batch", number, buckets)
+        rows = stage(batch.withColumn("batch", F.lit(number).cast("long")), "changed")  # read twice, and the state is dear
+        versioned.upsert(rows, path, fold.key_names, "batch", number, buckets)
 
     return changed.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -115,14 +142,13 @@ def shortlist_fold() -> KeyedFold:
         kept = frame[frame["saved"].astype(bool).to_numpy() & ~(frame["seq"].to_numpy() <= last)].drop_duplicates()
         return pd.concat([drops, kept])
 
-    def merge(old, frames):
+    def add(old, events):
         dropped, saves = (old[0], dict(zip(old[1], old[2], strict=True))) if old else (None, {})
-        for f in frames:
-            for seq, us, saved in zip(f["seq"].tolist(), f["us"].tolist(), f["saved"].tolist(), strict=True):
-                if saved:
-                    saves[seq] = us
-                else:
-                    dropped = seq if dropped is None else max(dropped, seq)
+        for seq, us, saved in events:
+            if saved:
+                saves[seq] = us
+            else:
+                dropped = seq if dropped is None else max(dropped, seq)
         kept = sorted((s, u) for s, u in saves.items() if dropped is None or s > dropped)
         return dropped, [s for s, _ in kept], [u for _, u in kept]
 
@@ -131,7 +157,7 @@ def shortlist_fold() -> KeyedFold:
 
     return KeyedFold(
         "profile_id long, id long", "seq long, us long, saved boolean", "dropped long, seqs array<long>, times array<long>", "seq long, us long",
-        prepare, thin, merge, lambda s: (s[1][0], s[2][0]) if s[1] else None, finish,
+        prepare, thin, add, lambda s: (s[1][0], s[2][0]) if s[1] else None, finish,
     )
 
 
@@ -145,21 +171,20 @@ def last_values_fold(keys: str, values: str, prepare: Callable[[DataFrame], Data
 
     def thin(frame: pd.DataFrame) -> pd.DataFrame:
         order = frame.sort_values("seq", kind="stable")
-        kept = {i for v in names for i in order[order[f"has_{v}"].astype(bool)].groupby(keyed, sort=False).tail(1).index}
+        kept = {i for v in names for i in order[order[f"has_{v}"].astype(bool)].groupby(keyed, sort=False, dropna=False).tail(1).index}
         return frame.loc[sorted(kept)]
 
-    def merge(old, frames):
+    def add(old, rows):
         seqs, last = (list(old[: len(names)]), list(old[len(names) :])) if old else ([None] * len(names), [None] * len(names))
-        for f in frames:
-            for row in f.itertuples(index=False):
-                for i, v in enumerate(names):
-                    if getattr(row, f"has_{v}") and (seqs[i] is None or row.seq > seqs[i]):
-                        seqs[i], last[i] = int(row.seq), _plain(getattr(row, v))
+        for seq, *values in rows:
+            for i, (v, has) in enumerate(zip(values[::2], values[1::2], strict=True)):
+                if has and (seqs[i] is None or seq > seqs[i]):
+                    seqs[i], last[i] = seq, _plain(v)
         return (*seqs, *last)
 
     state = ", ".join([f"seq_{v} long" for v in names] + [f"{v} {t}" for v, t in parts])
     events = "seq long, " + ", ".join(f"{v} {t}, has_{v} boolean" for v, t in parts)
-    return KeyedFold(keys, events, state, values, prepare, thin, merge, lambda s: tuple(s[len(names) :]), finish)
+    return KeyedFold(keys, events, state, values, prepare, thin, add, lambda s: tuple(s[len(names) :]), finish)
 
 
 def conversation_fold() -> KeyedFold:

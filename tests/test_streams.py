@@ -94,3 +94,23 @@ def test_commits_touch_their_buckets_only(spark, tmp_path):
     versioned.upsert(change, path, ["k"], "seq", 1, buckets=16)  # the same commit again
     assert state() == want and versioned.manifest(spark, path) == now
     assert versioned.upsert(change.limit(0), path, ["k"], "seq", 2, buckets=16) == [] and state() == want
+
+
+def test_keys_share_calls_of_the_state(spark, tmp_path, monkeypatch):
+    """Many keys in few groups, two batches: late events and an absent key; calls follow the groups."""
+    rng, big = random.Random(5), 1 << 40
+    schema = "student long, seq long, kind string, entity long"
+    rows = [(rng.choice((None,) * 9 + tuple(range(big, big + 300))), i, rng.choice(("a", None)), rng.choice((None, big + i))) for i in range(2000)]
+    fold = K.last_values_fold("student long", "entity long", lambda df: df.select("student", "seq", "entity", F.col("kind").isNotNull().alias("has_entity")), lambda df: df)
+    rng.shuffle(rows)
+    for part in (rows[:1000], rows[1000:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = K.stream_state(stream, fold, f"{tmp_path}/state", f"{tmp_path}/offsets", buckets=2, groups=4)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * 301
+    want = {}
+    for student, seq, kind, entity in sorted(rows, key=lambda r: r[1]):
+        if kind is not None:
+            want[student] = entity
+    assert {r.student: r.entity for r in K.read_state(spark, fold, f"{tmp_path}/state").collect()} == want
