@@ -70,3 +70,23 @@ def test_numbers_of_gated_pairs_without_pairs(both):
     assert sorted(map(tuple, counts.select("id", "n").collect())) == sorted(map(tuple, met.groupBy("id").count().collect()))
     for df in (sums, counts):  # the pairs themselves were joined
         assert "sequence(" not in df._jdf.queryExecution().toString()  # no blocks
+
+
+def test_courses_as_rows_give_what_lists_give(spark):
+    """Each text is searched once; lists of institutions were gathered and searched whole, twice."""
+    wish = [(1, "Fine Art", "fine art"), (2, "art law", "in law"), (3, "music", ""), (4, None, "art"), (5, "law", None)]
+    p = spark.createDataFrame([(i, None, None, None, None, 0, None, None, None, None, f, g) for i, f, g in wish], "profile_id long, academic_percentage double, hostel_required boolean, preferred_province string, preferred_cities array<string>, budget_pkr_per_semester int, scholarship_required boolean, priority_focus string, latitude double, longitude double, field_of_study string, career_goals string")
+    courses = {10: "Fine Art", 11: "Law", 12: "Fine Arts of Law", 13: "History", 14: None}
+    links = [(0, 10), (0, 11), (0, 11), (1, 12), (2, 13), (3, 99), (4, 14)]  # a course twice, one that is nowhere, one without text
+    bare = "id long, name string, city string, province string, fee_amount int, fee_period string, min_eligibility double, hostel boolean, has_scholarships boolean, latitude double, longitude double"
+    e = spark.createDataFrame([(i, f"E{i}", *[None] * 9) for i in range(6)], bare)
+    lists = {i: sorted({courses[c] for j, c in links if j == i and courses.get(c)}) for i in range(6)}
+    listed = e.join(spark.createDataFrame(list(lists.items()), "id long, courses array<string>"), "id")
+    taught = spark.createDataFrame(links, "id long, course long"), spark.createDataFrame(list(courses.items()), "course long, text string")
+    for asked in (p, p.where("profile_id > 2")):  # with and without phrases that reach across
+        for name in ("program_match", "goal_alignment"):
+            want = sorted(map(tuple, R.score_counts(asked, listed, name).collect()))
+            assert sorted(map(tuple, R.score_counts(asked, e, name, taught).collect())) == want
+        assert sorted(map(tuple, R.total_sums(asked, e, taught).collect())) == sorted(map(tuple, R.total_sums(asked, listed).collect()))
+        scored = R.factor_scores(R.candidate_pairs(asked, listed)).groupBy(F.col("s_goal_alignment")["score"].alias("score")).agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, scored.collect())) == sorted((r.score, r.n) for r in R.score_counts(asked, e, "goal_alignment", taught).collect())
