@@ -10,15 +10,18 @@ the corpus by the counts' sizes. With ``by_others`` an n-gram counts only where
 own n-grams don't vouch for it and its words back off. A mark precedes a document's first word and no n-gram reaches beyond
 it. A document's score is the sum of the logarithms over its words.
 
-An n-gram that counts has a suffix that counts. So a document's score is the sum of three parts, each a plain look-up: what
-its words would get by themselves, what each of its bigrams that counts adds, and what each of its trigrams does.
+By plain counts a document's score is the sum of the logarithms of its longest n-grams' counts, less those of the n-grams
+(or words) that they continue. With ``by_others`` an n-gram that counts has a suffix that counts, so a score is the sum of
+what its words would get by themselves, what each of its bigrams that counts adds, and what each of its trigrams does. Either
+way each part is a plain look-up.
 
 1. Words are counted with combining on the map side. The commonest (``TOP_WORDS`` at most) get numbers and go to every
    task with their counts. Other words that occur again go to every task as a Bloom filter of fixed size: an n-gram with
    a word that occurs once is in one document only and is not moved; a false answer of the filter costs a row.
-2. Documents are exploded to their distinct n-grams, dealt by hash. The count table of each order is grouped from them in
-   the same partitions, gets what its n-grams add by joins with the tables of words and of shorter n-grams, and is joined
-   to the exploded n-grams. The sums meet by document.
+2. Documents are exploded to their distinct n-grams, dealt by hash. By plain counts each n-gram's rows are added up where
+   they meet, in one sorted pass, and each row takes its logarithm along. With ``by_others`` the count table of each order is
+   grouped from them in the same partitions, gets what its n-grams add by joins with the tables of words and of shorter
+   n-grams, and is joined to the exploded n-grams. The sums meet by document.
 3. N-grams that are frequent within slices of the corpus (``HOT_GRAMS`` of an order at most) are counted exactly and sent
    to every task, where they are added up at once: no frequent key gathers rows in one place. Any other has a share of
    under one in ``HOT_GRAMS``, or stands less than ``HOT_IN_SLICE`` times in each slice.
@@ -39,6 +42,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import stage
 from .encode import text_slices
@@ -185,30 +189,83 @@ def _table(spark: SparkSession, keys: np.ndarray, values: np.ndarray, names: tup
     return spark.createDataFrame(frame, f"{names[0]} long, {names[1]} long")
 
 
-def score(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", by_others: bool = False) -> DataFrame:
-    """doc_id, n_words, log_score (natural logarithms, summed), mean_log_score.
+def _mark(t):
+    return F.shiftrightunsigned(t, 32)
 
-    ``order`` is 2 or 3; 3 moves twice as many rows. ``by_others``: only n-grams that two documents have count.
+
+def _plain(base: DataFrame, shared, order: int, partitions: int, backoff: float) -> tuple[DataFrame, DataFrame]:
+    """By plain counts every n-gram is found, so a score is a sum of logarithms of counts: of each longest n-gram, less that
+    of what it continues; no count is asked for by two keys, and no n-gram's parts are moved. (a, t, id, n, x): documents and what is known of their scores at once; (a, m, x): the rest.
     """
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    th = F.xxhash64(F.col(text).cast("string"))
-    key = F.coalesce(F.col(doc_id).cast("long"), th).alias("a")
-    # ids that stand for several texts: rows carry a mark of the text as well
-    several = docs.select(key, th.alias("t")).groupBy("a").agg((F.min("t") != F.max("t")).alias("s")).agg(F.max("s").alias("s")).first()["s"]
-    base = docs.select(key, (F.shiftleft(th, 32) if several else F.lit(0).cast("long")).alias("t"), F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("id"))
-    seen = stage(_survey(base, order), "survey")
-    singles = seen.where("kind = 0").select("h", "n")
-    total, starts = (seen.agg(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias("n")).first()["n"] or 0 for k in (0, 1))
-    keys, counts = _most(singles, TOP_WORDS - 2)
-    at = int(np.searchsorted(keys, _START))
-    keys, counts = np.insert(keys, at, _START), np.insert(counts, at, max(starts, 1))
+
+    def asked(table, v, w, place):
+        """What each place gets at once, and the other counts that it asks for: (g, places, what is taken off less, longest)."""
+        keys, counts, hot, hot_n, _, again = table
+        names = _Names(keys, again)
+        ww = names.word(w)
+        wv = names.before(ww, place)
+        once = names.once(ww)
+        lone = once | np.roll(once, 1) & (place > 0)  # an n-gram with a word that occurs once occurs once
+        first, last = place == 0, np.append(place[1:] == 0, True)[: len(w)]
+        begin = (order - 2) * np.log(backoff) - np.log(counts[names.start])  # a text's first word has no trigram
+        value, rest = np.where(first, begin, 0.0), []
+        if order == 2:
+            known = np.flatnonzero(ww < _RARE)
+            value[known] -= ~last[known] * np.log(counts[ww[known]])
+            at = np.flatnonzero((ww >= _RARE) & ~once)
+            rest.append((ww[at], at, last[at].astype(np.int64), False))
+        for k in range(2, order + 1):
+            h, at = _hashed(v, w, place, k)
+            i = _find(hot[k], h)
+            here = i >= 0
+            times = 1 if k == order else first[at].astype(np.int64) + last[at] - 1
+            value[at] += times * np.where(here, np.log(np.maximum(hot_n[k], 1))[i], 0.0) if len(hot[k]) else 0.0
+            moved = ~(here | lone[at] | (lone[at - 1] if k == 3 else False))
+            at = at[moved]
+            g = names.pair(wv[at], ww[at]) if k == 2 else names.triple(wv[at - 1], wv[at], ww[at])
+            rest.append((g, at, np.zeros(len(at), np.int64) if k == order else first[at].astype(np.int64) + last[at], k == order))
+        return value, rest
+
+    def explode(batches):
+        """A document's distinct n-grams: g, a and, in t, how often, and 3 for the longest or what is taken off less."""
+        for batch in batches:
+            a_, t_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for start, _, of, place, v, w in _slices(batch):
+                _, rest = asked(shared.value, v, w, place)
+                g, at, less = (np.concatenate([r[j] for r in rest]) for j in range(3))
+                longest = np.repeat([r[3] for r in rest], [len(r[0]) for r in rest])
+                doc = of[at]
+                rank = np.lexsort((g, doc))
+                g, doc = g[rank], doc[rank]
+                new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])) if len(g) else np.empty(0, np.int64)
+                n = np.diff(np.append(new, len(g)))
+                kind = np.where(longest[rank[new]], 3, np.add.reduceat(less[rank], new) if len(new) else 0)
+                doc = doc[new] + start
+                yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.array(a_[doc]), pa.array(t_[doc] | n << 2 | kind)], names=["g", "a", "t"])
+            pa.default_memory_pool().release_unused()
+
+    def own(batches):
+        """A document, its words and what is known at once."""
+        for batch in batches:
+            a_, t_ = batch.column(0), batch.column(1)
+            for start, size, of, place, v, w in _slices(batch):
+                x = np.bincount(of, asked(shared.value, v, w, place)[0], minlength=size).astype(float)  # whole numbers where there is no word
+                n = np.bincount(of, minlength=size)
+                yield pa.RecordBatch.from_arrays([*[c.slice(start, size) for c in (a_, t_, batch.column(3))], pa.array(n), pa.array(x)], names=["a", "t", "id", "n", "x"])
+            pa.default_memory_pool().release_unused()
+
+    told = base.mapInArrow(own, "a long, t long, id long, n long, x double")
+    rows = base.mapInArrow(explode, "g long, a long, t long").repartition(partitions, "g")
+    n, kind = F.shiftright(F.col("t").bitwiseAND(0xFFFFFFFF), 2), F.col("t").bitwiseAND(3)
+    counted = rows.withColumn("n", F.sum(n).over(W.partitionBy("g")))  # no g has many rows: the frequent ones are not moved
+    times = F.when(kind == 3, n).otherwise(kind - n)
+    return told, counted.groupBy("a", _mark(F.col("t")).alias("m")).agg(F.sum(times * F.log("n")).alias("x"))
+
+
+def _by_others(base: DataFrame, shared, order: int, partitions: int, backoff: float, total: int, seen: DataFrame, hot_pairs: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """As ``_plain``, where an n-gram counts only if two documents have it."""
+    spark, (keys, counts, *_) = base.sparkSession, shared.value
     orders = range(2, order + 1)
-    hot = {k: _most(seen.where(F.col("kind") == k), HOT_GRAMS)[0] for k in orders}
-    hot_n, hot_d, hot_g = ({k: np.zeros(len(hot[k]), np.int64) for k in orders} for _ in range(3))
-    for r in _exact(base, context.broadcast((keys, hot))).collect():  # HOT_GRAMS rows an order at most
-        hot_n[r.k][r.i], hot_d[r.k][r.i], hot_g[r.k][r.i] = r.n, r.d, r.g
-    shared = context.broadcast((keys, counts, hot, hot_n, hot_d, _again(singles)))
     alone = float(np.log(backoff) * (order - 1) - np.log(max(total, 1)))  # and the logarithm of c(w)
     step = float(np.log(backoff))
 
@@ -226,29 +283,16 @@ def score(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER, doc_id:
             here = (i >= 0) & ((wv | ww) < _RARE)
             i, a, b = i[here], wv[here], ww[here]
             adds = np.log(np.maximum(n[2][i], 1)) - np.log(counts[a]) - (alone - step * (order - 2)) - np.log(counts[b])
-            shared_by = d[2][i] > (1 if by_others else 0)
+            shared_by = d[2][i] > 1
         else:
             g = names.triple(wv[at - 1], wv[at], ww[at])
             two = _find(hot[2], _hashed(v, w, place, 2)[0])
             here = (i >= 0) & (two[at - 1] >= 0) & (two[at] >= 0) & ((wv[at - 1] | wv[at] | ww[at]) < _RARE)
             i, p, s = i[here], two[at - 1][here], two[at][here]
             adds = np.log(np.maximum(n[3][i], 1)) - np.log(np.maximum(n[2][p], 1)) - step - np.log(np.maximum(n[2][s], 1)) + np.log(counts[wv[at][here]])
-            shared_by = d[3][i] > (1 if by_others else 0)
+            shared_by = d[3][i] > 1
             alone_ = alone_[at] | alone_[at - 1]
-        adds = np.where(shared_by, adds, 0.0)
-        if by_others:
-            return g, at, adds, here, alone_
-        if order == 3:  # longer n-grams ask for the counts of all shorter ones
-            return g, at, adds, here, np.zeros(len(at), dtype=bool)
-        # an n-gram with a word that occurs once occurs once: it is priced here where the other word's count is known
-        known = lambda ids, single: single | (ids < _RARE)
-        solo = alone_ & known(wv, once_v) & known(ww, once) & ~here
-        size = lambda ids, single: np.log(np.where(single, 1, counts[np.where(single, 0, ids)]))
-        value = np.zeros(len(at))
-        value[here] = adds
-        value[solo] = -size(wv[solo], once_v[solo]) - (alone - step * (order - 2)) - size(ww[solo], once[solo])
-        here = here | solo
-        return g, at, value[here], here, np.zeros(len(at), dtype=bool)
+        return g, at, np.where(shared_by, adds, 0.0), here, alone_
 
     def exploded(k: int) -> DataFrame:
         """The distinct n-grams of every document, but for those that are priced at once: g, a and, in t, how often.
@@ -286,8 +330,6 @@ def score(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER, doc_id:
         made = base.mapInArrow(run, ", ".join(f"{c} long" for c in ("g", "a", "t", *parts)))
         return made.where("g IS NOT NULL").repartition(partitions, "g")
 
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // ROWS))
-
     def rest(batches):
         """A document, its words and what is priced at once."""
         names = _Names(shared.value[0], shared.value[5])
@@ -317,7 +359,7 @@ def score(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER, doc_id:
     def counted(rows: DataFrame, parts: tuple[str, ...]) -> DataFrame:
         """The count table: n-grams, with their parts where words are rare, and rare words. In the rows' own partitions."""
         table = rows.groupBy("g").agg(F.sum(times).alias("n"), F.count("a").alias("d"), *[F.max(c).alias(c) for c in parts])
-        return table.where((F.col("d") > F.lit(1 if by_others else 0)) | reduce(and_, [g < 0, *[F.isnull(c) for c in parts]])).drop("d")
+        return table.where((F.col("d") > 1) | reduce(and_, [g < 0, *[F.isnull(c) for c in parts]])).drop("d")
 
     def looked_up(df: DataFrame, c: str, place, rare: bool) -> DataFrame:
         """Add the count of the word ``place``: a number, or where ``rare`` says so maybe a rare word."""
@@ -328,13 +370,11 @@ def score(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER, doc_id:
         few = rare_words.select(F.col("id_").alias("__id"), F.col("c").alias("__c"))
         return df.join(few, place == F.col("__id"), "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", "__c", F.lit(1))).drop("__id", "__c")  # a word that is nowhere occurs once
 
-    mark = lambda c: F.shiftrightunsigned(c, 32)
-
     def adding(rows: DataFrame, model: DataFrame, parts: tuple[str, ...]) -> DataFrame:
         """What the n-grams of a document add. Every column of ``rows`` is named here and in ``counted``, so that both read one exchange."""
         empty = [F.isnull(c) for c in parts]  # parts are given together or not at all
         x = F.when(reduce(and_, [e == empty[0] for e in empty[1:]]), F.col("x"))
-        return rows.join(model.hint("merge"), "g").groupBy("a", mark(F.col("t")).alias("m")).agg(F.sum(times * x).alias("x"))
+        return rows.join(model.hint("merge"), "g").groupBy("a", _mark(F.col("t")).alias("m")).agg(F.sum(times * x).alias("x"))
 
     rows = exploded(2)
     table = counted(rows, ("v", "w"))
@@ -343,16 +383,43 @@ def score(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER, doc_id:
     model = looked_up(looked_up(table, "v", F.when(g >= 0, F.shiftright("g", 20)), False), "w", F.when(g >= 0, low(g)), False).join(rare, "g", "left")
     found = adding(rows, model.select("g", F.when(g >= 0, adds).when(F.isnull("v"), F.log("n")).otherwise(F.col("rare")).alias("x")), ("v", "w"))
     if order == 3:
-        frequent = hot_g[2] >= 0  # the others hold a rare word and are in the count table
-        hot_pairs = _table(spark, hot_g[2][frequent], hot_n[2][frequent], ("g", "n"))
-        pairs = stage(table.where((g >= 0) | F.isnotnull("v")).select("g", "n").unionByName(hot_pairs), "pairs")
+        frequent = hot_pairs[0] >= 0  # the others hold a rare word and are in the count table
+        pairs = stage(table.where((g >= 0) | F.isnotnull("v")).select("g", "n").unionByName(_table(spark, hot_pairs[0][frequent], hot_pairs[1][frequent], ("g", "n"))), "pairs")
         rows = exploded(3)
         table = counted(rows, ("p", "s", "v")).withColumns({"p": F.coalesce("p", F.shiftright(g - F.lit(_TRI), 20)), "s": F.coalesce("s", g.bitwiseAND((1 << 40) - 1)), "v": F.coalesce("v", low(F.shiftright("g", 20)))})
         both = table.join(pairs.select(F.col("g").alias("p"), F.col("n").alias("n_p")), "p").join(pairs.select(F.col("g").alias("s"), F.col("n").alias("n_s")), "s")
         adds = F.log("n") - F.log("n_p") - F.lit(step) - F.log("n_s") + F.log("c_v")
         found = found.unionByName(adding(rows, looked_up(both, "v", F.col("v"), True).select("g", adds.alias("x")), ("p", "s", "v")))
+    return told, found
+
+
+def score(docs: DataFrame, backoff: float = BACKOFF, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", by_others: bool = False) -> DataFrame:
+    """doc_id, n_words, log_score (natural logarithms, summed), mean_log_score.
 
-    own = told.select("a", mark(F.col("t")).alias("m"), "id", "n", "x", F.lit(1).alias("rows"))
+    ``order`` is 2 or 3; 3 moves twice as many rows. ``by_others``: only n-grams that two documents have count.
+    """
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    th = F.xxhash64(F.col(text).cast("string"))
+    key = F.coalesce(F.col(doc_id).cast("long"), th).alias("a")
+    # ids that stand for several texts: rows carry a mark of the text as well
+    several = docs.select(key, th.alias("t")).groupBy("a").agg((F.min("t") != F.max("t")).alias("s")).agg(F.max("s").alias("s")).first()["s"]
+    base = docs.select(key, (F.shiftleft(th, 32) if several else F.lit(0).cast("long")).alias("t"), F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("id"))
+    seen = stage(_survey(base, order), "survey")
+    singles = seen.where("kind = 0").select("h", "n")
+    total, starts = (seen.agg(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias("n")).first()["n"] or 0 for k in (0, 1))
+    keys, counts = _most(singles, TOP_WORDS - 2)
+    at = int(np.searchsorted(keys, _START))
+    keys, counts = np.insert(keys, at, _START), np.insert(counts, at, max(starts, 1))
+    orders = range(2, order + 1)
+    hot = {k: _most(seen.where(F.col("kind") == k), HOT_GRAMS)[0] for k in orders}
+    hot_n, hot_d, hot_g = ({k: np.zeros(len(hot[k]), np.int64) for k in orders} for _ in range(3))
+    for r in _exact(base, context.broadcast((keys, hot))).collect():  # HOT_GRAMS rows an order at most
+        hot_n[r.k][r.i], hot_d[r.k][r.i], hot_g[r.k][r.i] = r.n, r.d, r.g
+    shared = context.broadcast((keys, counts, hot, hot_n, hot_d, _again(singles)))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // ROWS))
+    told, found = _by_others(base, shared, order, partitions, backoff, total, seen, (hot_g[2], hot_n[2])) if by_others else _plain(base, shared, order, partitions, backoff)
+    own = told.select("a", _mark(F.col("t")).alias("m"), "id", "n", "x", F.lit(1).alias("rows"))
     none = [F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("n"), "x", F.lit(0).alias("rows")]
     every = own.unionByName(found.select("a", "m", *none))
     # repeated rows have one key: their sums are divided again

@@ -387,6 +387,16 @@ def test_own_ngrams_count(spark):
     assert abs(got[0] - brute_scores([["a", "b"] * 50, ["c", "d"], ["c", "d"]], 2)[0]) < 1e-3 and round(got[0], 1) == -2.1
 
 
+def test_own_ngrams_move_without_their_parts(spark, monkeypatch):
+    """Bigrams with a rare word were moved with both words and joined with the rare words' counts, which grew faster than the table."""
+    monkeypatch.setattr(lm_scoring, "TOP_WORDS", 3)
+    scored = lm_scoring.score(frame(spark, ["a b c d", "c d a b", "b a d e e", "e f f"]))
+    plan = scored._jdf.queryExecution().toString()
+    assert "Join" not in plan and len(set(re.findall(r"\[g#\d+L?, a#\d+L?, t#\d+L?\]", plan))) > 0
+    docs = ["abcd", "cdab", "badee", "eff"]
+    assert all(abs(r.log_score - brute_scores(docs, 2)[r.doc_id]) < 1e-3 for r in scored.collect())
+
+
 # 7 languages
 
 
