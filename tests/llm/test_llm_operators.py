@@ -122,6 +122,16 @@ def test_gif_headers_and_many_frames(spark):
     assert [r.frame for r in by[5]] == [0, 1, 2] and not any(r.error for r in by[5])
 
 
+def test_code_widths_are_made_once(monkeypatch):
+    """They were made anew for every file. Random samples fill the table, equal ones name the entry in the making."""
+    rng = random.Random(2)
+    for data in (b"", b"x", bytes(9000), b"ab" * 3000, rng.randbytes(9000)):
+        stream = gif_media.lzw_encode(data)
+        with monkeypatch.context() as m:
+            m.setattr(gif_media, "_widths", None)
+            assert gif_media.lzw_encode(data) == stream and gif_media.lzw_decode(stream, 8, len(data)) == data
+
+
 # 3 and 4 tokens
 
 
