@@ -1,7 +1,7 @@
 """Language ID with language-bitmask n-gram filters.
 
-Training counts character n-grams per language in a bounded sample of labelled documents (``TRAIN_DOCS`` a language, whole
-texts). A language keeps the ``TOP`` n-grams that are commonest in it and, per letter, not much rarer than in another
+Training counts character n-grams per language in all labelled documents, added up within a task before they are
+shuffled. A language keeps the ``TOP`` n-grams that are commonest in it and, per letter, not much rarer than in another
 language. They go into one Bloom filter whose every position holds a word of bits, one bit a language (bit-sliced), so
 that a look-up of an n-gram is the AND of ``HASHES`` words and gives all languages that have it at once.
 
@@ -31,8 +31,6 @@ from .common import stage
 from .encode import text_slices
 from .shingles import mix
 
-#: The parameter that bounds the sample: labelled documents of a language that are learned from, about.
-TRAIN_DOCS = 2000
 #: n-grams that a language keeps.
 TOP = 6000
 GRAM = 3
@@ -45,8 +43,10 @@ SHARE = 0.5
 WORD_BITS = 62
 #: Labels up to which the filter goes to every task: 8 MB for each ``WORD_BITS`` of them, so 132 MB here.
 LANGUAGES = 1024
-#: Characters that are looked at in one go.
-SLICE = 1 << 18
+#: Characters that are looked at in one go, and counts that a task holds at a time.
+SLICE, COUNTS = 1 << 18, 1 << 20
+#: Steps from 0 to 1 in which scores are counted for the cuts.
+STEPS = 1 << 14
 
 _letters: np.ndarray | None = None
 
@@ -81,33 +81,42 @@ def _places(g: np.ndarray) -> list[np.ndarray]:
     return [(mix(g + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))) & np.uint64(POSITIONS - 1)).astype(np.int64) for j in range(HASHES)]
 
 
-def sample(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], DataFrame]:
-    """The languages, and (lang, text) of about ``TRAIN_DOCS`` documents of each."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 20)).alias("h"))
-    held = stage(rows.groupBy("lang").count(), "labels")
-    names = sorted(r.lang for r in held.limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} labels: raise language_id.LANGUAGES if tasks can hold the filter")
-    chosen = rows.join(F.broadcast(held), "lang").where(F.col("h") * F.col("count") < F.lit(TRAIN_DOCS) * F.lit(1 << 20)).select("lang", "text")
-    return names, chosen
+def _labelled(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    return rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+
 
+def tops(labelled: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, np.ndarray]:
+    """Every language's n-grams, from all rows of ``labelled`` that have a label and a text."""
+    rows = _labelled(labelled, lang, text)
+    found = sorted(r.lang for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels: raise language_id.LANGUAGES if tasks can hold the filter")
 
-def tops(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> dict[str, np.ndarray]:
-    """Every language's n-grams, from the sample of ``labelled``."""
-    found, chosen = sample(labelled, lang, text, doc_id)
+    def added(held: dict):
+        for name, parts in held.items():
+            seen, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([p[1] for p in parts]), len(seen)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(times)], names=["lang", "gram", "n"])
 
     def count(batches):
+        held, size = {}, 0
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts, SLICE):
-                g, n = grams(texts[a:b])
-                of = np.repeat(np.arange(b - a), n)
-                for name in sorted(set(names[a:b])):
-                    mine = np.array([x == name for x in names[a:b]])
-                    seen, times = np.unique(g[mine[of]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(times)], names=["lang", "gram", "n"])
-
-    counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            for at in range(0, len(batch), 256):  # some hundred rows are Python objects at a time
+                names, texts = (batch.column(i).slice(at, 256).to_pylist() for i in (0, 1))
+                for a, b in text_slices(texts, SLICE):
+                    g, n = grams(texts[a:b])
+                    of = np.repeat(np.arange(b - a), n)
+                    for name in sorted(set(names[a:b])):
+                        mine = np.array([x == name for x in names[a:b]])
+                        held.setdefault(name, []).append(np.unique(g[mine[of]], return_counts=True))
+                        size += len(held[name][-1][0])
+                    if size > COUNTS:
+                        yield from added(held)
+                        held, size = {}, 0
+        yield from added(held)
+
+    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = stage(counted, "grams")
     total = counted.groupBy("lang").agg(F.sum("n").alias("all"))
     rate = counted.where("n > 1").join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("all"))
@@ -129,8 +138,8 @@ def bit_filter(of: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     return langs, table
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    return bit_filter(tops(labelled, lang, text, doc_id))
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
+    return bit_filter(tops(labelled, lang, text))
 
 
 def _judge(texts: list, langs: list[str], table: np.ndarray, false: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -195,17 +204,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents that are not held out."""
-    model = train(docs.where(~held_out(doc_id)), lang, text, doc_id)
+    model = train(docs.where(~held_out(doc_id)), lang, text)
     return predict(docs, model, doc_id, text).select(doc_id, held_out(doc_id).alias("held_out"), "lang_pred", "score")
 
 
-def cuts(docs: DataFrame, model: tuple[list[str], np.ndarray], most: float, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> dict[str, float]:
-    """The least score that a language's documents may have: half of what all but one in a hundred of its sample
+def cuts(docs: DataFrame, model: tuple[list[str], np.ndarray], most: float, lang: str = "lang", text: str = "text") -> dict[str, float]:
+    """The least score that a language's documents may have: half of what all but one in a hundred of its labelled ones
     reach, ``most`` at most. So a language of which the filter holds a small part only, or with few labels, keeps its texts.
+
+    Scores of all labelled documents are counted in ``STEPS``.
     """
-    _, labelled = sample(docs, lang, text, doc_id)
-    scored = predict(labelled, model, "lang", "text").where("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("score", 0.01).alias("low"))
-    low = {r.lang: r.low for r in scored.collect()}  # a row for each learned language
+    scored = predict(_labelled(docs, lang, text), model, "lang", "text").where("lang = lang_pred")
+    counted = stage(scored.groupBy("lang", F.floor(F.col("score") * STEPS).alias("s")).agg(F.count(F.lit(1)).alias("n")), "scores")
+    total = counted.groupBy("lang").agg(F.sum("n").alias("all"))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("s"))  # STEPS + 1 rows a language at most
+    reached = counted.select("lang", "s", upto.alias("upto")).join(total, "lang").where(F.col("upto") * 100 >= F.col("all"))
+    low = {r.lang: r.low / STEPS for r in reached.groupBy("lang").agg(F.min("s").alias("low")).collect()}  # a row for each learned language
     return {name: min(most, low.get(name, 0.0) / 2) for name in model[0]}
 
 
@@ -214,8 +228,8 @@ def keep_language(docs: DataFrame, most: float = 0.2, doc_id: str = "doc_id", te
 
     The model learns from all labelled rows.
     """
-    model = train(docs, lang, text, doc_id)
-    least = cuts(docs, model, most, lang, text, doc_id)
+    model = train(docs, lang, text)
+    least = cuts(docs, model, most, lang, text)
     judged = _judged(docs.sparkSession.sparkContext.broadcast(model))
     column = docs.columns.index(text)
 

@@ -457,6 +457,23 @@ def test_many_labels(spark, monkeypatch):
         language_id.train(docs)
 
 
+def test_languages_are_learned_from_every_row(spark, monkeypatch):
+    """About 2000 documents of a language were learned from, and gave its cut; counts are exact however they are added up."""
+    monkeypatch.setattr(language_id, "COUNTS", 50)
+    monkeypatch.setattr(language_id, "TOP", 1 << 20)
+    names = ["".join(chr(97 + (i // 26**j) % 26) for j in range(4)) for i in range(6000)]
+    rows = [(i, f"q{x} q{x}", "xx") for i, x in enumerate(names)] + [(9000 + i, "zzz yyy", "yy") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = language_id.tops(docs)
+    want, _ = language_id.grams([f"q{x} q{x}" for x in names])
+    assert set(found) == {"xx", "yy"} and set(found["xx"].tolist()) == set(want.tolist())
+    model = language_id.bit_filter(found)
+    scores = sorted(r.score for r in language_id.predict(docs, model).where("lang_pred = 'xx'").collect())
+    low = language_id.cuts(docs, model, 9.0)["xx"] * 2
+    at = scores[-(-len(scores) // 100) - 1]
+    assert at - 1 / language_id.STEPS <= low <= at
+
+
 def test_grams_equal_windows():
     texts = ["Ab c", "", "x", "é--É 12 z", "ab"]
     g, n = language_id.grams(texts, 3)
