@@ -2,7 +2,9 @@
 
 The byte-level vocabularies start a new token at every space that a visible character follows. Texts are therefore cut
 there, each distinct piece is encoded once by the library and the ids are put together by numpy. A text in which white
-space or its end follows a space is encoded as it stands.
+space or its end follows a space is encoded as it stands. A new token also starts where a letter ends before an ASCII mark
+other than the apostrophe, and where a letter follows a line's end that follows a visible ASCII character; texts are cut
+there, too (of letters, those up to U+00FF are looked for), so a word has one piece whatever mark comes after it.
 
 Pieces of up to seven bytes are their own keys. Longer ones have hashes as keys, and every use of a stored piece compares
 its bytes first: where they differ, the text goes to the library whole.
@@ -13,6 +15,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 
 from .shingles import hashes_of, ragged, runs
 
@@ -23,6 +26,15 @@ WINDOW = 1 << 19
 #: Bytes that may begin white space: a space before one of them is no safe cut.
 _unsafe = np.zeros(256, dtype=bool)
 _unsafe[[*range(9, 14), 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Pieces that go to the library in one string: longer strings take more time a piece.
+TOGETHER = 256
+#: What a byte is: an ASCII letter, an ASCII mark, another visible ASCII character, the second byte of a letter after 0xC3.
+_LETTER, _MARK, _OTHER, _SECOND = 1, 2, 3, 4
+_kind = np.zeros(256, dtype=np.uint8)
+_kind[33:127] = _OTHER
+_kind[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = _MARK
+_kind[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_kind[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = _SECOND  # U+00D7 and U+00F7 are no letters
 _LONG, _FIRST = np.uint64(1 << 63), np.uint64(1 << 62)
 _encoders: dict = {}
 
@@ -60,16 +72,12 @@ class Encoder:
         return [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that begin with a space, and their numbers. Some thousand are encoded at a time."""
-        ids, counts = [], []
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            got = self._raw([b"".join(part).decode()])[0]
-            ends = np.cumsum(self.width[got])
-            stops = np.searchsorted(ends, np.cumsum([len(p) for p in part]), side="left") + 1
-            ids.append(got)
-            counts.append(np.diff(stops, prepend=0))
-        return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.concatenate(counts) if counts else np.empty(0, np.int64)
+        """Ids of pieces that begin with a space, and their numbers."""
+        if not pieces:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        ids = np.concatenate([self._raw([b"".join(pieces[a : a + TOGETHER]).decode()])[0] for a in range(0, len(pieces), TOGETHER)])
+        stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p) for p in pieces]), side="left") + 1
+        return ids, np.diff(stops, prepend=0)
 
     def _learn(self, data: bytes, keys: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> None:
         """Store new pieces; ``keys`` are sorted."""
@@ -110,9 +118,11 @@ class Encoder:
     def _fast(self, raw: list[bytes]) -> list[np.ndarray | None]:
         """The ids of each text, None where a piece has the key of another."""
         joined = b" ".join([*raw, bytes(8)])
-        end = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-        start = np.concatenate([[0], end[:-1] + 1])
-        lead = np.zeros(len(start), dtype=bool)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        end = np.flatnonzero(_stops(data))
+        space = data[end[:-1]] == 32
+        start = np.concatenate([[0], end[:-1] + space])
+        lead = np.concatenate([[True], ~space])
         begins = np.searchsorted(start, np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1) - 1, side="right")
         begins = np.concatenate([[0], begins])  # the first piece of each text, and their number
         lead[begins[:-1]] = True
@@ -133,14 +143,18 @@ class Encoder:
         size = end - start
         first, further, more = runs(joined, start, end)
         keys = np.where(size < 8, first | size.astype(np.uint64) << np.uint64(56), hashes_of(first, further, more, size) >> np.uint64(2) | _LONG) | lead * _FIRST
-        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        back, distinct = pd.factorize(keys)
+        rank = distinct.argsort()
+        place, ranked = np.empty(len(distinct), dtype=np.int64), distinct[rank]
         if len(self.known) > STORE_PIECES:
             self._empty()
-        place = np.searchsorted(self.known, distinct)
+        place[rank] = np.searchsorted(self.known, ranked)
         new = np.ones(len(distinct), dtype=bool) if not len(self.known) else self.known[np.minimum(place, len(self.known) - 1)] != distinct
         if new.any():
-            self._learn(joined, distinct[new], start[at[new]], end[at[new]], lead[at[new]])
-            place = np.searchsorted(self.known, distinct)
+            at = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))[new]  # distinct keys are in the order of their first places
+            at = at[keys[at].argsort()]
+            self._learn(joined, keys[at], start[at], end[at], lead[at])
+            place[rank] = np.searchsorted(self.known, ranked)
         entry = place[back]
         length = self.length[entry].astype(np.int64)
         other = (self.first[entry] != first) | (self.size[entry] != size)
@@ -152,6 +166,20 @@ class Encoder:
         return self.ids[ragged(self.start[entry], length)], length, other
 
 
+def _stops(data: np.ndarray) -> np.ndarray:
+    """Where a piece ends: at a space, which is not of it, or where the next piece begins."""
+    kind = _kind[data]
+    letter = kind == _LETTER
+    ends = letter.copy()
+    ends[1:] |= (kind[1:] == _SECOND) & (data[:-1] == 0xC3)
+    stops = data == 32
+    stops[1:] |= ends[:-1] & (kind[1:] == _MARK)
+    line = np.flatnonzero(data[1:-1] == 10) + 2  # what follows a line's end
+    seen = kind[line - 2]
+    stops[line[(seen >= _LETTER) & (seen <= _OTHER) & (letter[line] | (data[line] == 0xC3))]] = True
+    return stops
+
+
 def text_slices(texts, chars: int = 1 << 20):
     """(from, to) of runs of rows with about ``chars`` characters, so that work arrays stay small."""
     start, held = 0, 0

@@ -152,6 +152,19 @@ def test_encoder_equals_the_library():
         assert [x.tolist() for x in encoder.encode(texts)] == plain_ids(texts)
 
 
+def test_encoder_cuts_at_marks_and_lines():
+    rng = random.Random(5)
+    parts = ["Ab", "é", "ä", "×", "÷", "ª", "1", ".", ",", "-", "'", "'s", "'re", "\n", "\n", "\r\n", "\t", " ", " ", " ", "\u00a0", "\u0301", "日", "ü.", "\nÜb", ".\nTh", "<|endoftext|>"]
+    encoder = Encoder(queries.tokenizer_path())
+    for size in (3, 6, 40):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, size))) for _ in range(1500)]
+        assert [x.tolist() for x in encoder.encode(texts)] == plain_ids(texts)
+    encoder = Encoder(queries.tokenizer_path())
+    texts = [" ".join(w + m for w in ("alpha", "größe", "Rot", "done") for m in ",.;:!?")]
+    assert [x.tolist() for x in encoder.encode(texts)] == plain_ids(texts)
+    assert len(encoder.known) < 15  # a word is one piece, whatever mark comes after it
+
+
 def thue_morse(n, a, b):
     word = a
     while len(word) < n:
@@ -248,6 +261,15 @@ def test_range_coder():
         range_coder.encode(np.array([65536]))
 
 
+def test_range_coder_carries():
+    """Intervals at the upper end of the scale, whose low ends carry often, and through words of ones."""
+    rng = np.random.default_rng(11)
+    for n in (3000, 30000):
+        ids = np.where(rng.random(n) < 0.02, rng.integers(0, 65536, n), 65535 - (rng.random(n) < 0.3))
+        data = range_coder.encode(ids)
+        assert np.array_equal(range_coder.decode(data), ids)
+
+
 def test_range_coder_beats_zlib_on_real_ids(corpus):
     coder = Encoder(queries.tokenizer_path())
     ids = np.concatenate([np.append(x, 0) for x in coder.encode([r.text or "" for r in corpus.orderBy("doc_id").collect()])]).astype(np.int64)
