@@ -1,7 +1,8 @@
 """Token files: all documents' ids in doc_id order, compressed by the adaptive range coder, and their reader.
 
 Texts are dealt to files by ranges of doc_id and the text's hash and sorted, so file after file holds the corpus in order. A file is Parquet
-with a row for each chunk of about ``CHUNK`` ids: the doc_ids, their numbers of ids, and the coded blocks. The place of a
+with a row for each chunk of about ``CHUNK`` ids (the last one has from half to one and a half of it, if no very long document
+comes before it, as a step of the coder costs much the same for few blocks): the doc_ids, their numbers of ids, and the coded blocks. The place of a
 document in the whole stream is a sum over files, over the file's chunks and within the chunk; only the first sum meets in
 one task, with a row for each file.
 
@@ -38,7 +39,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
         coder, part, chunk = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, names, total = [], [], 0
 
-        def row():
+        def row(held, names):
             ids = np.concatenate(held).astype(np.int64)
             counts = [len(x) for x in held]
             cols = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([range_coder.encode(ids)], pa.binary())]
@@ -51,11 +52,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: s
                     held.append(np.append(got, np.uint32(end_id)))
                     names.append(ids[i])
                     total += len(held[-1])
-                    if total >= CHUNK:
-                        yield row()
-                        held, names, total, chunk = [], [], 0, chunk + 1
+                    while total >= CHUNK + CHUNK // 2:
+                        ends = np.cumsum([len(x) for x in held])
+                        k = int(np.searchsorted(ends, CHUNK)) + 1
+                        yield row(held[:k], names[:k])
+                        held, names, total, chunk = held[k:], names[k:], total - int(ends[k - 1]), chunk + 1
         if held:
-            yield row()
+            yield row(held, names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("h"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

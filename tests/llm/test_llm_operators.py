@@ -291,6 +291,20 @@ def test_token_files(spark, corpus, tmp_path):
     assert token_files.read(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_token_files_have_no_small_chunk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK", 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for i, sizes in enumerate(([300] * 7, [1400, 9000, 600], [5000], [999, 1, 1])):
+            token_files.write(frame(spark, [(d, " a" * n) for d, n in enumerate(sizes)]).select("doc_id", "text"), f"{tmp_path}/{i}", queries.tokenizer_path())
+            got = [(r.doc_id, r.start, r.n_tokens) for r in token_files.read(spark, f"{tmp_path}/{i}").orderBy("doc_id").collect()]
+            assert got == [(d, sum(sizes[:d]) + d, n + 1) for d, n in enumerate(sizes)]
+            assert all(r.n_ids >= 500 for r in spark.read.parquet(f"{tmp_path}/{i}").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # 5 chat windows
 
 
