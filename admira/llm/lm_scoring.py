@@ -441,3 +441,16 @@ s AS (SELECT g.doc_id, count(*) AS n_words, sum(CASE WHEN c2.c IS NOT NULL THEN
 SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, round(s.s, 4) AS log_score, round(s.s / s.n_words, 4) AS mean_log_score
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN s ON d.doc_id = s.doc_id
 """
+
+#: Order 3, plain counts.
+TRIGRAM_SQL = r"""
+WITH t AS (SELECT doc_id, list_prepend(chr(1) || ' ', regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS ws FROM documents),
+g AS (SELECT doc_id, unnest(ws[2:]) AS w, unnest(ws[1:len(ws) - 1]) AS v, unnest(list_prepend(NULL, ws[1:len(ws) - 2])) AS u FROM t WHERE len(ws) > 1),
+c1 AS (SELECT v, count(*) AS c FROM g WHERE u IS NULL GROUP BY v),
+c2 AS (SELECT v, w, count(*) AS c FROM g GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c FROM g WHERE u IS NOT NULL GROUP BY u, v, w),
+s AS (SELECT g.doc_id, count(*) AS n_words, sum(CASE WHEN g.u IS NULL THEN ln(0.4) + ln(c2.c) - ln(c1.c) ELSE ln(c3.c) - ln(p.c) END) AS s
+      FROM g JOIN c2 ON g.v = c2.v AND g.w = c2.w LEFT JOIN c1 ON g.v = c1.v LEFT JOIN c3 ON g.u = c3.u AND g.v = c3.v AND g.w = c3.w LEFT JOIN c2 p ON g.u = p.v AND g.v = p.w GROUP BY g.doc_id)
+SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, round(s.s, 4) AS log_score, round(s.s / s.n_words, 4) AS mean_log_score
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN s ON d.doc_id = s.doc_id
+"""

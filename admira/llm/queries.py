@@ -49,6 +49,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op6_trigram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), order=3)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,6 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op4_token_files, op5_chat_windows, op6_lm_scoring, op7_language_id, op8_multi_index, op9_mixing, op10_ngram_jaccard_join, op11_turn_repair, op12_filter_audit, op13_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_best_fit_packing, op4_token_files, op5_chat_windows, op6_lm_scoring, op6_trigram_scoring, op7_language_id, op8_multi_index, op9_mixing, op10_ngram_jaccard_join, op11_turn_repair, op12_filter_audit, op13_sharding)}
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_lm_scoring": lm_scoring.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_lm_scoring": lm_scoring.ORACLE_SQL, "op6_trigram_scoring": lm_scoring.TRIGRAM_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
