@@ -54,3 +54,28 @@ def test_budget_points_fall_as_fees_rise():
 
     got = np.concatenate([cell.points("budget_fit", s) for s in cell.slices()])
     assert got.tolist() == [[one(b, f) for f in fees] for b in budgets]
+
+
+def test_budget_counts_without_pairs(monkeypatch):
+    """Counts by orders of minimums and fees are those of the pairs, which are not looked at."""
+    import random
+
+    import pyarrow as pa
+
+    from admira.operators import cells
+
+    rng, nan = random.Random(3), float("nan")
+    one = lambda *x: rng.choice(x)
+    p = {"cities": [], "wanted": "", "lat": None, "lon": None, "needs": False, "priority": "", "field": [], "whole": "", "goals": [], "has_goals": False}
+    e = {"city": "", "area": "", "lat": None, "lon": None, "helps": False, "hits": [], "across": [], "has_courses": False}
+    ps = [{"pct": one(None, nan, 45.0, 55.0, 65.5), "hostel": one(True, False), "place": one("", "n", "s"), "budget": one(None, 0.0, 100.0, -50.0, float(rng.randint(1, 400))), "n": rng.randint(1, 5)} for _ in range(80)]
+    es = [{"least": one(None, nan, 40.0, 50.0, 65.5), "hostel": one(True, False), "place": one("", "n", "s"), "fee": one(None, 0.0, -20.0, 100.0, 115.0, 135.0, float(rng.randint(1, 600))), "n": rng.randint(1, 4), "ids": rng.randint(1, 999)} for _ in range(70)]
+    a, b = pa.Table.from_pylist([r | p for r in ps]), pa.Table.from_pylist([r | e for r in es])
+    cell, want = cells.Cell(a.drop_columns(["n"]), b.drop_columns(["n", "ids"])), {}
+    for s in cell.slices():
+        for i, row in enumerate(cell.points("budget_fit", s).tolist(), s.start):
+            for x, r in zip(row, es, strict=True):
+                n, ids = want.get(x, (0, 0))
+                want[x] = n + ps[i]["n"] * r["n"], ids + ps[i]["n"] * r["ids"]
+    monkeypatch.setattr(cells.Cell, "points", None)
+    assert cells.priced_pairs(a, b) == {k: v for k, v in want.items() if k >= 0}
