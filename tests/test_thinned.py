@@ -70,3 +70,22 @@ def test_more_phrases_than_bits(both, spark, monkeypatch):  # noqa: F811
     monkeypatch.setattr(R, "BITS", 1)
     assert sorted(map(tuple, R.rank_all(p, bare, 4, taught).collect())) == few
     assert few == sorted(map(tuple, R.ranked_pairs(*R.prepared(p, e), 4).collect()))
+
+
+@pytest.mark.parametrize("name", ["r12_recommend", "r12_recommend_with_chunks", "r10_explain", "r11_format_list", "r11_format_comparison", "s17_recommendations_markdown", "i8_find_recommendation"])
+def test_queries_gather_no_course_lists(spark, sf_dir, monkeypatch, name):
+    from admira.plans import ranking
+
+    def made(spark, d, courses=True):
+        assert not courses
+        return entities(spark, d, courses=False)
+
+    def ranked(profiles, entities, *limit, taught=None, **chunks):
+        assert taught is not None and "courses" not in entities.columns
+        return spark.createDataFrame([], "profile_id long, rank int, id long, name string, total_score int, distance_km double, factors array<struct<criterion:string,label:string,status:string,detail:string,score:int,weight:int>>, focused boolean, chunk_ids string, fallback string")
+
+    monkeypatch.setattr(ranking, "entities", made)
+    monkeypatch.setattr(R, "recommend", ranked)
+    from admira.catalog import queries
+
+    assert "courses" not in queries()[name](spark, sf_dir).columns
